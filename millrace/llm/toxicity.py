@@ -1,11 +1,12 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 1. Lexicons. A bounded, hash-ordered sample of labelled training rows gives word stems (word beginnings of
-   3 to 6 letters, and whole words) whose presence goes with the label. They are the lexicon voters: +1 on
+   3 to 8 letters, and whole words) whose presence goes with the label. They are the lexicon voters: +1 on
    presence, silent otherwise. Pattern voters look at the shape of a text only.
 2. Label model. Votes are taken as noisy readings of a hidden class: each voter has a table P(vote | class),
    fitted by EM together with the class share. Correlated voters (residual covariance given the posterior)
-   share their weight, so that near copies of one voter count about once.
+   share their weight, so that near copies of one voter count about once. The annotator's label is one voter
+   among them, of known accuracy; it settles which class is which.
 3. Classifier. Logistic regression on stem presence is trained on the posteriors; its scale and offset are
    then set on the training labels. Only this classifier scores documents.
 
@@ -30,8 +31,11 @@ from millrace.runtime import Written
 
 #: Bounds of the fit: training rows of either label, stems, lexicon voters.
 SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_STEMS, MAX_VOTERS = 2000, 4000, 600, 48
-STEM_LETTERS = (3, 4, 5, 6)
-MIN_TOXIC_ROWS, MIN_LOG_ODDS = 4, 2.5
+STEM_LETTERS = (3, 4, 5, 6, 7, 8)
+#: A stem needs so many toxic sample rows, and such a share of toxic rows among all that have it.
+MIN_TOXIC_ROWS, MIN_PRECISION = 3, 0.75
+#: P(label -1, none, 1 | class 0) and the same for class 1.
+ANNOTATOR = np.array([[0.989, 0.001, 0.01], [0.03, 0.001, 0.969]])
 _SPLIT = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 _LETTER, _CAPITAL = re.compile(r"[^\W\d_]"), re.compile(r"[A-Z\u00C0-\u00D6\u00D8-\u00DE]")
 _LOUD, _SECOND = re.compile(r"[!?]{2,}"), re.compile(r"(?i)\b(you|your|du|dich|tu|toi|vous)\b")
@@ -79,16 +83,19 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     @staticmethod
-    def fit(votes: np.ndarray, share: float, rounds: int = 60, floor: float = 0.1) -> LabelModel:
+    def fit(votes: np.ndarray, start: np.ndarray, known: np.ndarray | None = None, rounds: int = 60, floor: float = 0.1) -> LabelModel:
+        """start: a first posterior for each row. known: the last voter's table, if it isn't to be estimated."""
         n, m = votes.shape
-        own = LabelModel(np.ones((m, 2, 3)) / 3, share, np.ones(m), np.zeros((m, m)))
-        q = np.clip((votes > 0).sum(1) / 2, 0.02, 0.98) if m else np.full(n, share)  # two voices settle the start
+        own = LabelModel(np.ones((m, 2, 3)) / 3, float(start.mean()), np.ones(m), np.zeros((m, m)))
+        q = start
         one = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # [row, voter, vote]
         for _ in range(rounds):
             before = q
             for c, p in ((1, q), (0, 1 - q)):
                 seen = np.einsum("r,rvk->vk", p, one) + [[0.05, 0.1, 0.05]]
                 own.table[:, c] = seen / seen.sum(1, keepdims=True)
+            if known is not None:
+                own.table[-1] = known
             mean = own.table @ np.array([-1.0, 0.0, 1.0])  # [voter, class]
             rest = votes - (q[:, None] * mean[:, 1] + (1 - q)[:, None] * mean[:, 0])
             scale = np.sqrt((rest**2).mean(0)) + 1e-9
@@ -96,6 +103,8 @@ class LabelModel:
             shared = np.where(own.correlation > floor, own.correlation, 0)
             np.fill_diagonal(shared, 0)
             own.weight = 1 / (1 + shared.sum(1))
+            if known is not None:
+                own.weight[-1] = 1
             own.share = float(np.clip(q.mean(), 0.001, 0.999))
             q = own.posterior(votes)
             if np.abs(q - before).max(initial=0) < 1e-5:
@@ -135,9 +144,14 @@ class Model:
         return float(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
 
 
+def _training_rows(labels: DataFrame, id_col: str, toxic_col: str = "toxic") -> DataFrame:
+    rows = labels.select(F.col(id_col).alias("_id"), F.col(toxic_col).cast("int").alias("toxic"))
+    return rows.where((fold(F.col("_id"), 5) != 0) & F.col("_id").isNotNull() & F.col("toxic").isin(0, 1))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str = "toxic", n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> DataFrame:
     """(toxic, text) of at most n_toxic + n_clean training rows, chosen by hash order of the id."""
-    train = labels.select(F.col(id_col).alias("_id"), F.col(toxic_col).cast("int").alias("toxic")).where((fold(F.col("_id"), 5) != 0) & F.col("_id").isNotNull())
+    train = _training_rows(labels, id_col, toxic_col)
     order = [F.xxhash64("_id"), F.col("_id")]
     picked = train.where("toxic = 1").orderBy(*order).limit(n_toxic).union(train.where("toxic = 0").orderBy(*order).limit(n_clean))
     picked = Written(picked, "toxic-sample").df
@@ -159,13 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = Written(labelled_sample(docs, labels, id_col, text_col, **bounds), "toxic-texts").df
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    there = {r["toxic"]: r["n"] for r in _training_rows(labels, id_col).groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     if not n1 or not n0:
         return Model({}, 40.0 if n1 else -40.0)
     counts = sample.select("toxic", "text").mapInPandas(_counts, "stem binary, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
-    found = counts.where(F.col("t") >= MIN_TOXIC_ROWS).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
-    rows = found.orderBy(F.desc(F.col("odds") * F.sqrt("t")), F.length("stem"), "stem").limit(MAX_STEMS).collect()
-    stems = [bytes(r["stem"]) for r in rows]
+    t, c = F.col("t") * (there[1] / n1), F.col("c") * (there[0] / n0)  # in all training rows
+    found = counts.where((F.col("t") >= MIN_TOXIC_ROWS) & (t >= MIN_PRECISION * (t + c)))
+    rows = found.orderBy(F.desc(F.col("t") / (1 + F.col("c"))), F.length("stem"), "stem").limit(MAX_STEMS).collect()
+    stems = _apart([bytes(r["stem"]) for r in rows])
     place = {s: k for k, s in enumerate(stems)}
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,14 +197,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for k, r in enumerate(got):
         x[k, r["hits"]] = 1
     voters = _voters(x)
-    votes = np.c_[x[:, voters].astype(int), np.array([r["shape"] for r in got])]
-    share = n1 / (n1 + n0)
-    q = LabelModel.fit(votes, share).posterior(votes)
+    votes = np.c_[x[:, voters].astype(int), np.array([r["shape"] for r in got]), np.where(label > 0, 1, -1)]  # the annotator is one voter more
+    q = LabelModel.fit(votes, np.where(label > 0, 0.9, 0.05), ANNOTATOR).posterior(votes)
     w = logistic(x, q, 1.0)
+    w[:-1] = np.maximum(w[:-1], 0)  # a stem never speaks for a text
     a, b = logistic((x @ w[:-1] + w[-1])[:, None], label, 1e-3)
     return Model({s: float(a * v) for s, v in zip(stems, w, strict=False) if abs(a * v) > 1e-6}, float(a * w[-1] + b))
 
 
+def _apart(stems: list[bytes]) -> list[bytes]:
+    """Without those that only lengthen a stem that comes before them."""
+    out: list[bytes] = []
+    taken: set[bytes] = set()
+    for stem in stems:
+        if not any(stem[:k] in taken for k in range(1, len(stem))):
+            taken.add(stem)
+            out.append(stem)
+    return out
+
+
 def _voters(x: np.ndarray) -> list[int]:
     """Stems taken as voters: in order of strength, but for those that only repeat one already taken."""
     out: list[int] = []
