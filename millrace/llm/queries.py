@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, packing, simhash, token_count, toxicity, urlfilter
+from millrace.llm import langid, packing, secrets, simhash, token_count, toxicity, urlfilter
 from millrace.runtime import table
 
 
@@ -25,6 +25,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op3_token_counts": op3_token_counts,
+    "op7_secret_scans": op7_secret_scans,
     "op9_url_filters": op9_url_filters,
     "op10_packing": op10_packing,
 }
