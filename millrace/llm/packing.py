@@ -36,7 +36,7 @@ END_ID = 2
 SEQUENCE = 4096
 GRID = 16
 #: Pieces of one bin that are ranked in one task.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 1024
 #: Entries of the table of encoded stretches, per Python worker, and the longest that is kept.
 TABLE_ENTRIES, KEPT_BYTES = 800_000, 48
 #: Letters whose composition and lower case need no table, and ASCII marks but for the apostrophe.
