@@ -17,7 +17,6 @@ inputs of nothing.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +31,8 @@ from millrace.runtime import Written
 #: Bounds of the fit: training rows of either label, stems, lexicon voters.
 SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_STEMS, MAX_VOTERS = 2000, 4000, 600, 48
 STEM_LETTERS = (3, 4, 5, 6, 7, 8)
+#: Stems that a task counts before it passes them on.
+COUNTED = 100_000
 #: A stem needs so many toxic sample rows, and such a share of toxic rows among all that have it.
 MIN_TOXIC_ROWS, MIN_PRECISION = 3, 0.75
 #: P(label -1, none, 1 | class 0) and the same for class 1.
@@ -160,12 +161,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    toxic, clean = Counter(), Counter()
+    """Partial counts of stems, given out whenever COUNTED of them are held."""
+    held: dict[bytes, list[int]] = {}
+
+    def out() -> pd.DataFrame:
+        part = pd.DataFrame({"stem": list(held), "toxic": [c[1] for c in held.values()], "clean": [c[0] for c in held.values()]})
+        held.clear()
+        return part
+
     for batch in batches:
         for label, text in zip(batch["toxic"], batch["text"], strict=True):
-            (toxic if label else clean).update(stems_of(text or ""))
-    keys = list(toxic.keys() | clean.keys())
-    yield pd.DataFrame({"stem": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]})
+            for stem in stems_of(text or ""):
+                held.setdefault(stem, [0, 0])[label] += 1
+            if len(held) > COUNTED:
+                yield out()
+    yield out()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> Model:
