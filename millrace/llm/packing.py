@@ -38,7 +38,7 @@ GRID = 16
 #: Pieces of one bin that are ranked in one task.
 BUCKET_ROWS = 1024
 #: Entries of the table of encoded stretches, per Python worker, and the longest that is kept.
-TABLE_ENTRIES, KEPT_BYTES = 800_000, 48
+TABLE_ENTRIES, KEPT_BYTES = 250_000, 48
 #: Letters whose composition and lower case need no table, and ASCII marks but for the apostrophe.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!#-&(-/:-@\[-`{-~]*)")
 

@@ -26,7 +26,7 @@ from millrace.llm.common import tokenizer_path
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 #: Entries of the tables of counted stretches and of merged pre-tokens, per Python worker.
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 250_000
 #: Longer stretches aren't kept.
 KEPT_CHARS = 48
 #: A word of Latin letters with ASCII marks after it: two pre-tokens at most, no library call needed.
