@@ -37,7 +37,7 @@ SHARPNESS, SEED = 2.0, 42
 PER_CHAR = 50.0
 BLANK = "▁"
 #: Stretches whose tables are kept, per Python worker, and the longest that is kept.
-TABLE_STRETCHES, KEPT_CHARS = 200_000, 40
+TABLE_STRETCHES, KEPT_CHARS = 60_000, 40
 _ROLL = np.array([0x9E3779B97F4A7C15], np.uint64)
 _STRETCH = re.compile(r" *[^ ]+| +")
 
@@ -147,8 +147,10 @@ class Lattice:
         grid = np.zeros((s, width + 1), np.int64)
         grid[:, 1:] = per
         real = np.arange(width + 1) <= size[:, None]
-        first = len(self.first) - 1
-        self.first.extend((len(self.shares) + np.cumsum(grid[real])).tolist())
+        first = self.nodes
+        self.first.extend((self.edges + np.cumsum(grid[real])).tolist())
+        self.nodes += int(real.sum())
+        self.edges += len(row)
         self.shares.extend(shares.tolist())
         self.back.extend((back + 1).tolist())
         self.ids.extend(ids.tolist())
@@ -157,7 +159,8 @@ class Lattice:
 
     def reset(self) -> None:
         self.ends: dict[str, int] = {}
-        self.first = [0]  # of each node's edges
+        self.nodes = self.edges = 0  # so far; what is new since the last call of tables() is in the lists
+        self.first: list[int] = []  # where each node's edges end
         self.shares: list[float] = []
         self.back: list[int] = []  # nodes to go back
         self.ids: list[int] = []  # piece, or -1 - character
@@ -166,9 +169,9 @@ class Lattice:
 
     def add(self, stretch: str) -> int:
         """Build the nodes of a stretch; the number of its last node."""
-        n, pieces, first = len(stretch), self.pieces, len(self.first) - 1
+        n, pieces, first = len(stretch), self.pieces, self.nodes
         sums = [1.0] + [0.0] * n
-        self.first.append(len(self.shares))  # the first node has no edges
+        self.first.append(self.edges)  # the first node has no edges
         for end in range(1, n + 1):
             edges, total = [], 0.0
             for start in range(max(0, end - self.longest), end):
@@ -187,27 +190,31 @@ class Lattice:
                 self.back.append(back)
                 self.ids.append(piece)
             self.shares[-1] = 1.0
-            self.first.append(len(self.shares))
+            self.edges += len(edges)
+            self.first.append(self.edges)
             sums[end] = total
             if total < 1e-200:  # scale is free: only shares count
                 for k in range(max(0, end - self.longest), end + 1):
                     sums[k] *= 1e200
+        self.nodes += n + 1
         return first + n
 
     def tables(self) -> tuple[np.ndarray, ...]:
         """First edge of each node; of each edge, its node plus the shares up to it, the nodes to go back, the piece."""
         nodes, edges = self.done
-        n, m = len(self.first), len(self.shares)
-        for k, size in enumerate((n, m, m, m)):
+        n, m = self.nodes, self.edges
+        for k, size in enumerate((n + 1, m, m, m)):
             if size > len(self.arrays[k]):
                 self.arrays[k] = np.concatenate([self.arrays[k], np.zeros(max(size, len(self.arrays[k])), self.arrays[k].dtype)])
         first, bounds, back, ids = self.arrays
-        first[nodes:n] = self.first[nodes:]
-        if m > edges:
-            bounds[edges:m] = np.searchsorted(first[:n], np.arange(edges, m), "right") - 1 + np.array(self.shares[edges:])
-            back[edges:m], ids[edges:m] = self.back[edges:], self.ids[edges:]
+        if n > nodes:
+            first[nodes + 1 : n + 1] = self.first
+            node = np.repeat(np.arange(nodes, n), np.diff(first[nodes : n + 1]))
+            bounds[edges:m] = node + np.array(self.shares)
+            back[edges:m], ids[edges:m] = self.back, self.ids
+            self.first, self.shares, self.back, self.ids = [], [], [], []
         self.done = (n, m)
-        return first[:n], bounds[:m], back[:m], ids[:m]
+        return first[: n + 1], bounds[:m], back[:m], ids[:m]
 
     def sample(self, texts: list[str], keys: list[int], seed: int = SEED) -> list[np.ndarray]:
         """A segmentation of each text as piece ids; a text's key seeds it."""
@@ -245,7 +252,7 @@ class Lattice:
         for k, (walks, chosen) in enumerate(order):
             got[ends[walks] - 1 - k] = chosen  # walks run backwards
         cuts = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
-        if len(self.first) > 40 * TABLE_STRETCHES:
+        if self.nodes > 20 * TABLE_STRETCHES:
             self.reset()
         return [self._spelt(got[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -302,7 +309,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             start, done = 0, []
             while start < len(texts):  # so many rows together that their characters are bounded
                 end, chars = start, 0
-                while end < len(texts) and (end == start or chars < 1 << 20):
+                while end < len(texts) and (end == start or chars < 1 << 19):
                     chars += len(texts[end] or "")
                     end += 1
                 done += own.sample([t or "" for t in texts[start:end]], keys[start:end], seed)
