@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Code point ranges that count one token a character.
 CJK_RANGES = (
@@ -26,7 +27,7 @@ def record_id(raw_json: Column) -> Column:
     return F.substring(F.sha2(raw_json, 256), 1, 16)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

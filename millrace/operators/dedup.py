@@ -10,8 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.text import shingles
 from millrace.runtime import Written
 
 #: Similarity at which texts, pictures and vectors are duplicates.
@@ -29,11 +29,32 @@ def exact(records: DataFrame, seq: str, digest: Column, record: str) -> DataFram
     return joined.select(*records.columns, F.when(again, "exact").otherwise("unique").alias("kind"), F.substring("_d", 1, 16).alias("cluster_key"), F.when(again, F.col("_kept")).alias("kept_id"))
 
 
-def signature(grams: Column, permutations: int = PERMUTATIONS) -> Column:
-    """MinHash signature: for each permutation the least (a * h + b) mod 2^31 - 1 over the shingles' hashes."""
-    hashes = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(_PRIME)))
-    parts = [F.array_min(F.transform(hashes, lambda h, a=a, b=b: (h * a + b) % _PRIME)) for a, b in _coefficients(permutations)]
-    return F.array(*parts)
+def signature(text: Column, ngram: int = NGRAM, permutations: int = PERMUTATIONS) -> Column:
+    """MinHash signature over character n-grams: for each permutation the least (a * h + b) mod 2^31 - 1.
+
+    A text of `ngram` characters or fewer is its only shingle. The n-grams' hashes are taken in strips, so that
+    memory does not grow with the text.
+    """
+    a, b = (np.array(c, np.uint64) for c in zip(*_coefficients(permutations), strict=True))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def sign(texts: pd.Series) -> pd.Series:
+        return pd.Series([_sign(t, ngram, a, b) if t is not None else None for t in texts], dtype=object)
+
+    return sign(text)
+
+
+def _sign(text: str, ngram: int, a: np.ndarray, b: np.ndarray, strip: int = 2048) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = min(ngram, len(codes))
+    hashed = np.zeros(len(codes) - n + 1, np.uint64)
+    for k in range(n):
+        hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - n + 1 + k] + np.uint64(1)
+    hashed = np.unique(((hashed ^ (hashed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) % np.uint64(_PRIME))
+    least = np.full(len(a), _PRIME, np.uint64)
+    for k in range(0, len(hashed), strip):
+        least = np.minimum(least, ((hashed[k : k + strip, None] * a + b) % np.uint64(_PRIME)).min(0))
+    return least.astype(np.int32)
 
 
 def _coefficients(n: int) -> list[tuple[int, int]]:
@@ -88,7 +109,7 @@ def near_text(records: DataFrame, seq: str, text: str, threshold: float = TEXT_T
     of the MinHash signature; the similarity is the share of equal signature positions.
     """
     nodes = records.groupBy(F.col(text).alias("_t")).agg(F.min(seq).alias("seq")).where(F.length("_t") > 0)
-    signed = Written(nodes.select("seq", signature(shingles(F.col("_t"), ngram), permutations).alias("_sig")), "signatures").df
+    signed = Written(nodes.select("seq", signature(F.col("_t"), ngram, permutations).alias("_sig")), "signatures").df
     wide = permutations // bands
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice(F.col("_sig"), k * wide + 1, wide)))
     buckets = signed.select("seq", F.explode(keys).alias("bucket"))
