@@ -6,7 +6,8 @@ without a piece are spelt in byte pieces. Forward filtering sums the weights of
 backward sampling then walks from the end, choosing each incoming edge by its share of the node's sum. That
 draws a segmentation with exactly its probability under the lattice.
 
-No piece of this vocabulary has a blank after another character, so that the lattice falls apart at blanks:
+No piece of this vocabulary has a blank after another character, or certain marks after a letter (both are
+read off the vocabulary), so that no edge crosses such places and the lattice falls apart there:
 the node tables of a stretch are built once and shared by all its occurrences, and the walks of a whole batch
 of texts take their steps together. The choices depend on the row's key, the stretch's place in the text and
 the step alone, so that a row's segmentation is the same in any partitioning, order or batch.
@@ -37,9 +38,8 @@ SHARPNESS, SEED = 2.0, 42
 PER_CHAR = 50.0
 BLANK = "▁"
 #: Stretches whose tables are kept, per Python worker, and the longest that is kept.
-TABLE_STRETCHES, KEPT_CHARS = 60_000, 40
+TABLE_STRETCHES, KEPT_CHARS = 120_000, 40
 _ROLL = np.array([0x9E3779B97F4A7C15], np.uint64)
-_STRETCH = re.compile(r" *[^ ]+| +")
 
 
 class Lattice:
@@ -59,9 +59,13 @@ class Lattice:
             elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
                 self.bytes_of[k] = piece.replace(BLANK, " ").encode()
                 self.pieces[piece.replace(BLANK, " ")] = (k, (1 - min(0.0, model.get_score(k))) ** -sharpness)
+        self.ascii_id = np.array(self.byte_id[:128])
         self.longest = max(map(len, self.pieces))
         if any(" " in p.lstrip(" ") for p in self.pieces):
             raise ValueError("a piece holds a blank inside; stretches can't be cut at blanks")
+        after_letter = {b for p in self.pieces for a, b in itertools.pairwise(p) if a.isalpha()}
+        marks = "".join(re.escape(c) for c in map(chr, range(128)) if not c.isalpha() and c != " " and c not in after_letter)
+        self.cut = re.compile(rf" *[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+(?=[{marks}])| *[^ ]+| +" if marks else r" *[^ ]+| +").findall
         self.rare = (2.0 - min(model.get_score(k) for k in range(n))) ** -sharpness
         self._index()
         self.reset()
@@ -148,22 +152,16 @@ class Lattice:
         grid[:, 1:] = per
         real = np.arange(width + 1) <= size[:, None]
         first = self.nodes
-        self.first.extend((self.edges + np.cumsum(grid[real])).tolist())
+        self.new.append((self.edges + np.cumsum(grid[real]), shares, back + 1, ids))
         self.nodes += int(real.sum())
         self.edges += len(row)
-        self.shares.extend(shares.tolist())
-        self.back.extend((back + 1).tolist())
-        self.ids.extend(ids.tolist())
         ends = first + np.cumsum(size + 1) - 1
         self.ends.update(zip(stretches, ends.tolist(), strict=True))
 
     def reset(self) -> None:
         self.ends: dict[str, int] = {}
-        self.nodes = self.edges = 0  # so far; what is new since the last call of tables() is in the lists
-        self.first: list[int] = []  # where each node's edges end
-        self.shares: list[float] = []
-        self.back: list[int] = []  # nodes to go back
-        self.ids: list[int] = []  # piece, or -1 - character
+        self.nodes = self.edges = 0  # so far; what is new since the last call of tables() is in self.new
+        self.new: list[tuple] = []  # of each call: where each node's edges end, shares, nodes to go back, pieces or -1 - character
         self.done = (0, 0)  # nodes and edges that the arrays hold
         self.arrays = [np.zeros(1 << 16, kind) for kind in (np.int64, np.float64, np.int32, np.int64)]
 
@@ -171,7 +169,7 @@ class Lattice:
         """Build the nodes of a stretch; the number of its last node."""
         n, pieces, first = len(stretch), self.pieces, self.nodes
         sums = [1.0] + [0.0] * n
-        self.first.append(self.edges)  # the first node has no edges
+        ends, shares, steps, ids = [self.edges], [], [], []  # the first node has no edges
         for end in range(1, n + 1):
             edges, total = [], 0.0
             for start in range(max(0, end - self.longest), end):
@@ -186,17 +184,18 @@ class Lattice:
             got = 0.0
             for w, back, piece in edges:
                 got += w
-                self.shares.append(got / total)
-                self.back.append(back)
-                self.ids.append(piece)
-            self.shares[-1] = 1.0
+                shares.append(got / total)
+                steps.append(back)
+                ids.append(piece)
+            shares[-1] = 1.0
             self.edges += len(edges)
-            self.first.append(self.edges)
+            ends.append(self.edges)
             sums[end] = total
             if total < 1e-200:  # scale is free: only shares count
                 for k in range(max(0, end - self.longest), end + 1):
                     sums[k] *= 1e200
         self.nodes += n + 1
+        self.new.append((ends, shares, steps, ids))
         return first + n
 
     def tables(self) -> tuple[np.ndarray, ...]:
@@ -208,11 +207,9 @@ class Lattice:
                 self.arrays[k] = np.concatenate([self.arrays[k], np.zeros(max(size, len(self.arrays[k])), self.arrays[k].dtype)])
         first, bounds, back, ids = self.arrays
         if n > nodes:
-            first[nodes + 1 : n + 1] = self.first
-            node = np.repeat(np.arange(nodes, n), np.diff(first[nodes : n + 1]))
-            bounds[edges:m] = node + np.array(self.shares)
-            back[edges:m], ids[edges:m] = self.back, self.ids
-            self.first, self.shares, self.back, self.ids = [], [], [], []
+            first[nodes + 1 : n + 1], bounds[edges:m], back[edges:m], ids[edges:m] = (np.concatenate(x) for x in zip(*self.new, strict=True))
+            bounds[edges:m] += np.repeat(np.arange(nodes, n), np.diff(first[nodes : n + 1]))
+            self.new = []
         self.done = (n, m)
         return first[: n + 1], bounds[:m], back[:m], ids[:m]
 
@@ -220,7 +217,7 @@ class Lattice:
         """A segmentation of each text as piece ids; a text's key seeds it."""
         if len(self.ends) > TABLE_STRETCHES:
             self.reset()
-        parts = [_STRETCH.findall(text and " " + text) for text in texts]
+        parts = [self.cut(text and " " + text) for text in texts]
         self.add_all([x for x in {*itertools.chain(*parts)} - self.ends.keys() if len(x) <= KEPT_CHARS])
         last = [self.ends.get(x) or self.add(x) for x in itertools.chain(*parts)]
         if not last:
@@ -258,6 +255,8 @@ class Lattice:
 
     def _spelt(self, ids: np.ndarray) -> np.ndarray:
         """Characters without a piece, as byte pieces."""
+        low = (ids < 0) & (ids >= -128)
+        ids = np.where(low, self.ascii_id[np.where(low, -1 - ids, 0)], ids)
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
             return ids
@@ -306,18 +305,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         own = _lattice(path, sharpness)
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            start, done = 0, []
+            start = 0
             while start < len(texts):  # so many rows together that their characters are bounded
                 end, chars = start, 0
                 while end < len(texts) and (end == start or chars < 1 << 19):
                     chars += len(texts[end] or "")
                     end += 1
-                done += own.sample([t or "" for t in texts[start:end]], keys[start:end], seed)
+                done = own.sample([t or "" for t in texts[start:end]], keys[start:end], seed)
+                offsets = np.cumsum([0, *map(len, done)])
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(done).astype(np.int32)))
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], [id_col, text_col, "ids"])
                 start = end
-            offsets = np.cumsum([0, *map(len, done)])
-            values = np.concatenate(done) if done else np.zeros(0)
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], [id_col, text_col, "ids"])
 
     schema = T.StructType([docs.schema[id_col], docs.schema[text_col]]).add("ids", T.ArrayType(T.IntegerType()))
     key = F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("_k")
@@ -331,7 +330,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", path:
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
         own = _lattice(path, SHARPNESS)
-        return pa.array([own.decode(x) if x is not None else None for x in ids.to_pylist()], pa.string())
+        return pa.array((own.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in ids), pa.string())  # a row at a time
 
     return encoded.withColumn(out, text(ids_col))
 
