@@ -25,6 +25,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: Tokens that the chains judge: whole runs of the alphabet, with letters and digits, of this length or more.
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
 MIN_TOTAL, MIN_MEAN = 14.0, 0.45
+#: Added to each transition's count in either chain.
+SMOOTHING = 1.0
 SAMPLES = 3000
 MASK = "[SECRET]"
 #: Parts of the identifier sample.
@@ -62,7 +64,7 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     return random.union(plain)
 
 
-def train(spark: SparkSession, smoothing: float = 0.05) -> list[float]:
+def train(spark: SparkSession, smoothing: float = SMOOTHING) -> list[float]:
     """log P(next | char, random) - log P(next | char, ordinary), row by row over ALPHABET."""
     pairs = samples(spark).select("random", F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
     k = len(ALPHABET)

@@ -99,7 +99,7 @@ def test_vectors(spark):
 def test_pipeline_stages(spark, tmp_path):
     documents = [(k, t, lang, "s", 0) for k, t, lang in TEXTS]
     spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(4, 0), (8, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(3, 0), (4, 0), (6, 0), (7, 0), (9, 0), (11, 0), (8, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         out = stage(spark, docs.withColumn("_spans", F.lit(1)), str(tmp_path))
