@@ -21,12 +21,14 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +40,9 @@ SHARPNESS, SEED = 2.0, 42
 PER_CHAR = 50.0
 BLANK = "▁"
 #: Stretches whose tables are kept, per Python worker, and the longest that is kept.
-TABLE_STRETCHES, KEPT_CHARS = 120_000, 40
+TABLE_STRETCHES, KEPT_CHARS = 100_000, 40
+#: UTF-8 bytes of texts that are sampled together; a longer text is sampled alone.
+BATCH_BYTES = 1 << 19
 _ROLL = np.array([0x9E3779B97F4A7C15], np.uint64)
 
 
@@ -293,34 +297,39 @@ def _lattice(path: str, sharpness: float) -> Lattice:
     return Lattice(path, sharpness)
 
 
+def _segmented(own: Lattice, batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+    """Rows (id, text, key) with their texts and sampled ids, so many together that their characters are bounded."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+        start = 0
+        while start < len(sizes):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[start : start + 4096]), BATCH_BYTES, "right")))
+            part = batch.slice(start, n)
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            yield part, texts, own.sample(texts, part.column(2).to_pylist(), seed)
+            start += n
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
     """(id, text, ids array<int>) of every row: one sampled segmentation, seeded by the row's id.
 
-    Null and empty texts have no pieces. Rows of one id and text get one segmentation. A null id seeds as 0.
+    Null and empty texts have no pieces. Rows of one id and text get one segmentation. A null id seeds as an empty one.
     Texts of any length are encoded whole; other columns are not read.
     """
     path = path or tokenizer_path(VOCABULARY)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _lattice(path, sharpness)
-        for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            start = 0
-            while start < len(texts):  # so many rows together that their characters are bounded
-                end, chars = start, 0
-                while end < len(texts) and (end == start or chars < 1 << 19):
-                    chars += len(texts[end] or "")
-                    end += 1
-                done = own.sample([t or "" for t in texts[start:end]], keys[start:end], seed)
-                offsets = np.cumsum([0, *map(len, done)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(done).astype(np.int32)))
-                part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], [id_col, text_col, "ids"])
-                start = end
+        for part, _, done in _segmented(_lattice(path, sharpness), batches, seed):
+            offsets = np.cumsum([0, *map(len, done)])
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(done).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], [id_col, text_col, "ids"])
 
     schema = T.StructType([docs.schema[id_col], docs.schema[text_col]]).add("ids", T.ArrayType(T.IntegerType()))
-    key = F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("_k")
-    return docs.select(id_col, text_col, key).mapInArrow(sampled, schema)
+    return docs.select(id_col, text_col, _key(id_col)).mapInArrow(sampled, schema)
+
+
+def _key(id_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_k")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -336,12 +345,18 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", path:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, seed: int = SEED) -> DataFrame:
-    """(id, n_pieces, ids_crc32, lossless) of every row: the sampled pieces, and whether decoding gives the text back."""
-    out = decode(encode(docs, id_col, text_col, path, seed), path=path)
-    written = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
-    return out.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.crc32(written.cast("binary")).alias("ids_crc32"),
-        (F.col("decoded") == F.coalesce(F.col(text_col), F.lit(""))).alias("lossless"),
-    )
+    """(id, n_pieces, ids_crc32, lossless) of every row: digests of its sampled pieces, and whether they decode to its text.
+
+    Encoding and decoding as in `encode` and `decode`, in one worker, so that ids need not pass between processes.
+    """
+    path = path or tokenizer_path(VOCABULARY)
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _lattice(path, SHARPNESS)
+        for part, texts, done in _segmented(own, batches, seed):
+            same = [own.decode(ids.tolist()) == t for ids, t in zip(done, texts, strict=True)]
+            crc = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in done]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, done), pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], [id_col, "n_pieces", "ids_crc32", "lossless"])
+
+    schema = T.StructType([docs.schema[id_col]]).add("n_pieces", "long").add("ids_crc32", "long").add("lossless", "boolean")
+    return docs.select(id_col, text_col, _key(id_col)).mapInArrow(checked, schema)
