@@ -57,11 +57,12 @@ def redacted(payload: Column, tier: str, excerpt: int = 200) -> Column:
     }[tier]
 
 
-def deliver(df: DataFrame, path: str) -> None:
-    """Write JSON lines beside `path` and rename, so that a reader sees all of it or nothing."""
+def deliver(df: DataFrame, path: str, text: bool = False) -> None:
+    """Write JSON lines (or, with `text`, the only column as it is) beside `path` and rename, so that a reader sees all of it or nothing."""
     spark = df.sparkSession
     part = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").json(part)
+    out = df.write.mode("errorifexists")
+    out.text(part) if text else out.json(part)
     names = spark._jvm.org.apache.hadoop.fs.Path
     store = names(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if store.exists(names(path)):
