@@ -24,10 +24,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter at all) go; the language of the others is the predicted one."""
+    """Documents without a language (null, or no letter at all) go; the language of the others is the predicted one.
+
+    Where no row is labelled, no language can be learned: texts with letters stay, as `und`.
+    """
     docs = _documents(docs)
     found = docs.withColumn("_p", langid.predict(F.col("text"), langid.fit(docs)))
-    found = found.where(F.col("_p.lang_pred") != langid.UNKNOWN)
+    found = found.where((F.col("_p.lang_pred") != langid.UNKNOWN) | F.col("text").rlike("\\p{L}"))
     return found.select("doc_id", "text", F.col("_p.lang_pred").alias("lang"), "source", "n_chars")
 
 
