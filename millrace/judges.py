@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 
 
 class Judge(Protocol):
-    """Answers prompts; called on executors, once for each batch of a task."""
+    """Answers prompts; called on executors, once for each batch of a task. A prompt that fails has its error as answer."""
 
-    def answer(self, prompts: list[str]) -> list[str]: ...
+    def answer(self, prompts: list[str]) -> list[str | Exception]: ...
 
 
 def ask(plan: DataFrame, make: Callable[[], Judge], key: list[str], prompt: str = "prompt") -> DataFrame:
@@ -24,7 +24,9 @@ def ask(plan: DataFrame, make: Callable[[], Judge], key: list[str], prompt: str
         for batch in batches:
             out = batch[key].copy()
             try:
-                out["answer"], out["problem"] = judge.answer(batch[prompt].tolist()), None
+                got = judge.answer(batch[prompt].tolist())
+                out["answer"] = [None if isinstance(a, Exception) else a for a in got]
+                out["problem"] = [f"{type(a).__name__}: {a}" if isinstance(a, Exception) else None for a in got]
             except Exception as error:  # the batch's rows carry it on
                 out["answer"], out["problem"] = None, f"{type(error).__name__}: {error}"
             yield out
