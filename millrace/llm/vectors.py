@@ -92,7 +92,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     good = F.col("_id").isNotNull() & F.col("_label").isNotNull() & F.col("_v").isNotNull() & (F.size("_v") > 0)
     sound = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
     one = rows.where(good).groupBy("_id").agg(F.min(F.struct("_label", "_v")).alias("_s")).select("_id", "_s._label", "_s._v").where(sound)
-    one = one.withColumn("_group", F.xxhash64("_label", F.size("_v")))
+    one = one.withColumn("_group", F.concat_ws("|", F.size("_v"), F.col("_label").cast("string")))
     largest = F.array_max(F.transform("_v", F.abs))
     one = Written(one.withColumn("_v", F.transform(F.col("_v"), lambda x: x / largest)), "vectors").df  # squares stay finite
     picked = [r["_v"] for r in one.orderBy(F.xxhash64("_id"), "_id").limit(PIVOTS).collect()]  # a bounded sample
