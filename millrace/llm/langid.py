@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,13 +106,12 @@ class Model:
 
 def sample_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
     """(lang, bits): packed presence rows of at most `per_lang` training rows a language, by hash order of the id."""
-    spark = docs.sparkSession
     train = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).where((fold(F.col("_id"), 3) != 1) & F.col("_lang").isNotNull())
     common = train.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGS)
-    langs = [r["_lang"] for r in common.collect()]
-    chosen = spark.createDataFrame([], "_id long, _lang string").select(F.lit(None).cast(docs.schema[id_col].dataType).alias("_id"), "_lang")
-    for lang in langs:
-        chosen = chosen.union(train.where(F.col("_lang") == lang).orderBy(F.xxhash64("_id"), "_id").limit(per_lang))
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 31))
+    near = train.withColumn("_h", place).join(F.broadcast(common), "_lang").where(F.col("_h") * F.col("_n") < float(2 * per_lang) * (1 << 31))
+    own = Window.partitionBy("_lang").orderBy("_h", "_id")  # some 2 * per_lang rows a language are left
+    chosen = near.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= per_lang).select("_id", "_lang")
     chosen = Written(chosen.distinct(), "lang-sample").df
     texts = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
     picked = texts.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")  # at most MAX_LANGS * per_lang ids
