@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.text import normalized
 from millrace.runtime import Written
 
 #: Similarity at which texts, pictures and vectors are duplicates.
@@ -179,9 +180,10 @@ def dedup(records: DataFrame, seq: str, record: str, text: str, **limits) -> Dat
     """`records` with kind (unique, exact, near_text), cluster_key and kept_id, in order of seq.
 
     An exact copy of a row that is itself a near duplicate isn't indexed, so that it is a near duplicate of
-    the same kept row. Empty texts are exact copies of each other and near to nothing; null counts as empty.
+    the same kept row. Texts are compared normalised (NFC, white space as single blanks, none around). Empty
+    texts are exact copies of each other and near to nothing; null counts as empty.
     """
-    own = Written(records.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_d", F.sha2("_text", 256)), "dedup").df
+    own = Written(records.withColumn("_text", normalized(F.coalesce(F.col(text), F.lit("")))).withColumn("_d", F.sha2("_text", 256)), "dedup").df
     first = own.groupBy("_d").agg(F.min(seq).alias("_first"), F.min_by(record, seq).alias("_id"))
     first = Written(first, "originals").df
     near = near_text(own, seq, "_text", **limits)

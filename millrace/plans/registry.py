@@ -54,6 +54,13 @@ def dedup_exact(spark, d):
     return dedup.exact(docs, "doc_id", F.sha2("text", 256), "doc_id").drop("text")
 
 
+@query()
+def dedup_exact_normalized(spark, d):
+    """Exact verdict over normalised texts, as runs take it; `dedup_exact` is the one over raw texts that its SQL fixes."""
+    docs = table(spark, d, "documents").select("doc_id", text_fn.normalized(F.coalesce("text", F.lit(""))).alias("text"))
+    return dedup.exact(docs, "doc_id", F.sha2("text", 256), "doc_id").drop("text")
+
+
 @query("""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 m AS (SELECT p.vec_id AS probe, k.vec_id AS kept, list_cosine_similarity(p.e, k.e) AS s FROM v p JOIN v k ON p.vec_id % 2 = 1 AND k.vec_id % 2 = 0)
