@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.text import normalized
 from millrace.runtime import Written
+from millrace.sources.jsonl import batches
 
 #: Similarity at which texts, pictures and vectors are duplicates.
 TEXT_THRESHOLD, PERMUTATIONS, NGRAM, IMAGE_BITS, VECTOR_THRESHOLD = 0.85, 128, 5, 8, 0.95
@@ -141,11 +142,11 @@ def near_image(records: DataFrame, seq: str, code: str, limit: int = IMAGE_BITS)
     return best(greedy(rows.select("seq", F.explode(blocks).alias("bucket")), compare), F.col("similarity"))
 
 
-def nearest_vector(probes: DataFrame, index: DataFrame, seq: str, vector: str, threshold: float = VECTOR_THRESHOLD, block: int = 4096) -> DataFrame:
+def nearest_vector(probes: DataFrame, index: DataFrame, seq: str, vector: str, threshold: float = VECTOR_THRESHOLD, block: int = 4096, earlier: bool = False) -> DataFrame:
     """(probe, kept, similarity): for each probe the index row of the highest cosine, if it reaches the threshold.
 
     Blocks of probes meet blocks of the index as matrices; each meeting returns one row a probe at most. Ties go
-    to the earlier index row.
+    to the earlier index row. earlier: only index rows that came before the probe count.
     """
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col(seq).alias("seq"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").withColumn(name, F.pmod(F.xxhash64("seq"), F.lit(_parts(df, block))))
@@ -163,6 +164,8 @@ def nearest_vector(probes: DataFrame, index: DataFrame, seq: str, vector: str, t
         unit = [np.stack(s["v"].to_list()) for s in sides]
         unit = [u / np.maximum(np.sqrt((u * u).sum(1))[:, None], 1e-300) for u in unit]
         cosine = unit[0] @ unit[1].T
+        if earlier:
+            cosine[sides[1]["seq"].to_numpy()[None, :] >= sides[0]["seq"].to_numpy()[:, None]] = -np.inf
         top = cosine.argmax(1)
         value = cosine[np.arange(len(top)), top]
         return pd.DataFrame({"probe": sides[0]["seq"].to_numpy(), "kept": sides[1]["seq"].to_numpy()[top], "similarity": value})[value >= threshold]
@@ -172,6 +175,43 @@ def nearest_vector(probes: DataFrame, index: DataFrame, seq: str, vector: str, t
     return hits.groupBy("probe").agg(top.alias("kept"), F.max("similarity").alias("similarity"))
 
 
+def semantic(records: DataFrame, seq: str, vector: str, threshold: float = VECTOR_THRESHOLD, block: int = 8192) -> DataFrame:
+    """`records` with kind (unique, near_semantic), kept_id and similarity: each vector against all kept earlier ones.
+
+    Slices of `block` rows in order: what no kept vector of the slices before matches is settled in one task, so
+    that n rows take n / block rounds and no pairs are returned. Null and empty vectors and those with null or
+    non-finite components are near to nothing. A dropped row points at the nearest kept one before it.
+    """
+    sound = F.col("_v").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = records.select(F.col(seq).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where(sound)
+    rows = Written(batches(rows, ["_id"], block).select("_id", "_v", "batch_no"), "vectors").df
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_id")
+        unit = np.stack(pdf["_v"].to_list())
+        unit /= np.maximum(np.sqrt((unit * unit).sum(1))[:, None], 1e-300)
+        open_ = np.ones(len(unit), bool)
+        for k in range(len(unit)):
+            if open_[k]:
+                open_[k + 1 :] &= unit[k + 1 :] @ unit[k] < threshold
+        return pdf[["_id", "_v"]][open_]
+
+    kept = None
+    for n in range(1, (rows.agg(F.max("batch_no")).first()[0] or 0) + 1):
+        own = rows.where(F.col("batch_no") == n).select("_id", "_v")
+        if kept is not None:
+            near = nearest_vector(own, kept, "_id", "_v", threshold)
+            own = own.join(near.select(F.col("probe").alias("_id")), "_id", "left_anti")
+        new = Written(own.groupBy().applyInPandas(settle, "_id long, _v array<double>"), "kept").df
+        kept = new if kept is None else kept.union(new)
+    if kept is None:
+        kept = rows.select("_id", "_v")
+    dropped = rows.select("_id", "_v").join(kept.select("_id"), "_id", "left_anti")
+    near = nearest_vector(dropped, kept, "_id", "_v", threshold, earlier=True).select(F.col("probe").alias("_id"), F.col("kept").alias("kept_id"), "similarity")
+    out = records.join(near, F.col(seq).cast("long") == F.col("_id"), "left")
+    return out.select(*records.columns, F.when(F.col("kept_id").isNull(), "unique").otherwise("near_semantic").alias("kind"), "kept_id", "similarity")
+
+
 def _parts(df: DataFrame, block: int) -> int:
     return max(1, -(-df.count() // block))
 

@@ -72,6 +72,12 @@ def semantic_probe(spark, d):
     return near.withColumn("similarity", F.round("similarity", 9))
 
 
+@query()
+def semantic_dedup(spark, d):
+    """Verdict of every vector against all kept earlier ones; `semantic_probe` only holds `nearest_vector` against SQL."""
+    return dedup.semantic(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding").drop("embedding")
+
+
 @query("""SELECT doc_id, substr(sha256(to_json({'text': text})::VARCHAR), 1, 16) AS record_id, length(text) AS n FROM documents""")
 def record_ids(spark, d):
     docs = table(spark, d, "documents")
