@@ -18,7 +18,6 @@ from millrace.sources.jsonl import batches
 
 #: Similarity at which texts, pictures and vectors are duplicates.
 TEXT_THRESHOLD, PERMUTATIONS, NGRAM, IMAGE_BITS, VECTOR_THRESHOLD = 0.85, 128, 5, 8, 0.95
-BANDS = 16
 _PRIME = (1 << 31) - 1
 
 
@@ -104,16 +103,24 @@ def best(hits: DataFrame, order: Column) -> DataFrame:
     return hits.withColumn("_k", place).where("_k = 1").drop("_k")
 
 
-def near_text(records: DataFrame, seq: str, text: str, threshold: float = TEXT_THRESHOLD, permutations: int = PERMUTATIONS, ngram: int = NGRAM, bands: int = BANDS) -> DataFrame:
+def band_cuts(threshold: float, permutations: int) -> list[int]:
+    """Bounds of the bands that lose no pair of the threshold; one empty band, shared by all, where no position need be equal."""
+    equal = next((e for e in range(permutations + 1) if e / permutations >= threshold), permutations)
+    bands = permutations - equal + 1
+    return [round(k * permutations / bands) for k in range(bands + 1)] if equal else [0, 0]
+
+
+def near_text(records: DataFrame, seq: str, text: str, threshold: float = TEXT_THRESHOLD, permutations: int = PERMUTATIONS, ngram: int = NGRAM) -> DataFrame:
     """(later, earlier, similarity): near duplicates and the kept text each is nearest to.
 
-    Equal texts are one node, named by their first seq; empty ones are near to nothing. Candidates share a band
-    of the MinHash signature; the similarity is the share of equal signature positions.
+    Equal texts are one node, named by their first seq; empty ones are near to nothing. The similarity
+    is the share of equal signature positions. Candidates share a band of the signature: of one band more than the
+    positions that a pair of the threshold may differ in, one at least is equal, so that no pair is lost.
     """
     nodes = records.groupBy(F.col(text).alias("_t")).agg(F.min(seq).alias("seq")).where(F.length("_t") > 0)
     signed = Written(nodes.select("seq", signature(F.col("_t"), ngram, permutations).alias("_sig")), "signatures").df
-    wide = permutations // bands
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice(F.col("_sig"), k * wide + 1, wide)))
+    cuts = band_cuts(threshold, permutations)
+    keys = F.array(*[F.xxhash64(F.lit(k), F.slice(F.col("_sig"), a + 1, z - a)) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))])
     buckets = signed.select("seq", F.explode(keys).alias("bucket"))
 
     def compare(pairs: DataFrame) -> DataFrame:
