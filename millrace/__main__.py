@@ -12,6 +12,9 @@ from millrace.plans import estimate, rubrics
 from millrace.sources.jsonl import InputError
 
 
+VERDICTS = ("labels", "scores", "outputs", "reviews")
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="millrace")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -21,6 +24,9 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--input")
         p.add_argument("--output")
         p.add_argument("--limit", type=int)
+        if name == "run":
+            for table in VERDICTS:
+                p.add_argument(f"--{table}", help="Parquet table of verdicts")
     p = commands.add_parser("estimate")
     p.add_argument("records", type=int)
     p = commands.add_parser("rubric")
@@ -42,10 +48,15 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from millrace.plans.run import run
+    from millrace.plans.run import Verdicts, run
 
     try:
-        print(json.dumps(run(SparkSession.builder.getOrCreate(), config, limit=args.limit)))
+        spark = SparkSession.builder.getOrCreate()
+        verdicts = Verdicts(**{t: spark.read.parquet(path) for t in VERDICTS if (path := getattr(args, t))})
+        print(json.dumps(run(spark, config, verdicts, limit=args.limit, strict=True)))
+    except config_.ConfigError as error:
+        print(error, file=sys.stderr)
+        return 2
     except InputError as error:
         print(error, file=sys.stderr)
         return 3

@@ -110,17 +110,18 @@ def band_cuts(threshold: float, permutations: int) -> list[int]:
     return [round(k * permutations / bands) for k in range(bands + 1)] if equal else [0, 0]
 
 
-def near_text(records: DataFrame, seq: str, text: str, threshold: float = TEXT_THRESHOLD, permutations: int = PERMUTATIONS, ngram: int = NGRAM) -> DataFrame:
+def near_text(records: DataFrame, seq: str, text: str, threshold: float = TEXT_THRESHOLD, permutations: int = PERMUTATIONS, ngram: int = NGRAM, scope: Column | None = None) -> DataFrame:
     """(later, earlier, similarity): near duplicates and the kept text each is nearest to.
 
     Equal texts are one node, named by their first seq; empty ones are near to nothing. The similarity
     is the share of equal signature positions. Candidates share a band of the signature: of one band more than the
     positions that a pair of the threshold may differ in, one at least is equal, so that no pair is lost.
+    scope: only texts of an equal value are compared.
     """
-    nodes = records.groupBy(F.col(text).alias("_t")).agg(F.min(seq).alias("seq")).where(F.length("_t") > 0)
-    signed = Written(nodes.select("seq", signature(F.col("_t"), ngram, permutations).alias("_sig")), "signatures").df
+    nodes = records.groupBy((F.lit(0) if scope is None else scope).alias("_in"), F.col(text).alias("_t")).agg(F.min(seq).alias("seq")).where(F.length("_t") > 0)
+    signed = Written(nodes.select("seq", "_in", signature(F.col("_t"), ngram, permutations).alias("_sig")), "signatures").df
     cuts = band_cuts(threshold, permutations)
-    keys = F.array(*[F.xxhash64(F.lit(k), F.slice(F.col("_sig"), a + 1, z - a)) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("_in"), F.slice(F.col("_sig"), a + 1, z - a)) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))])
     buckets = signed.select("seq", F.explode(keys).alias("bucket"))
 
     def compare(pairs: DataFrame) -> DataFrame:
@@ -223,20 +224,21 @@ def _parts(df: DataFrame, block: int) -> int:
     return max(1, -(-df.count() // block))
 
 
-def dedup(records: DataFrame, seq: str, record: str, text: str, **limits) -> DataFrame:
+def dedup(records: DataFrame, seq: str, record: str, text: str, scope: str | None = None, **limits) -> DataFrame:
     """`records` with kind (unique, exact, near_text), cluster_key and kept_id, in order of seq.
 
     An exact copy of a row that is itself a near duplicate isn't indexed, so that it is a near duplicate of
     the same kept row. Texts are compared normalised (NFC, white space as single blanks, none around). Empty
-    texts are exact copies of each other and near to nothing; null counts as empty.
+    texts are exact copies of each other and near to nothing; null counts as empty. scope: a column; only rows of an equal value are compared.
     """
-    own = Written(records.withColumn("_text", normalized(F.coalesce(F.col(text), F.lit("")))).withColumn("_d", F.sha2("_text", 256)), "dedup").df
-    first = own.groupBy("_d").agg(F.min(seq).alias("_first"), F.min_by(record, seq).alias("_id"))
+    within = F.lit(0) if scope is None else F.col(scope)
+    own = Written(records.withColumn("_in", within).withColumn("_text", normalized(F.coalesce(F.col(text), F.lit("")))).withColumn("_d", F.sha2("_text", 256)), "dedup").df
+    first = own.groupBy("_in", "_d").agg(F.min(seq).alias("_first"), F.min_by(record, seq).alias("_id"))
     first = Written(first, "originals").df
-    near = near_text(own, seq, "_text", **limits)
+    near = near_text(own, seq, "_text", scope=F.col("_in"), **limits)
     names = first.select(F.col("_first").alias("earlier"), F.col("_id").alias("_near_id"), F.col("_d").alias("_near_d"))
     near = near.join(names, "earlier").select(F.col("later").alias("_first"), "_near_id", "_near_d")
-    out = own.join(first, "_d").join(near, "_first", "left")
+    out = own.join(first, ["_in", "_d"]).join(near, "_first", "left")
     kind = F.when(F.col("_near_id").isNotNull(), "near_text").when(F.col(seq) != F.col("_first"), "exact").otherwise("unique")
     kept = F.when(kind == "near_text", F.col("_near_id")).when(kind == "exact", F.col("_id"))
     key = F.substring(F.when(kind == "near_text", F.col("_near_d")).otherwise(F.col("_d")), 1, 16)

@@ -11,12 +11,34 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import record_id
 from millrace.operators import dedup, quality
-from millrace.plans.config import Config
+from millrace.plans.config import SECTIONS, Config, ConfigError
 from millrace.runtime import written
 from millrace.sinks import emit
 from millrace.sources import jsonl
 
 
+#: What a run over text records reads; the last three lines are without effect on texts or without their stage.
+HONOURED = {
+    "run": ("input", "output", "modality", "batch_size"), "input": ("text_field", "on_bad_line", "on_missing_pair", "on_index_conflict", "max_image_mb", "ui_tree_max_chars"),
+    "classify": ("enabled", "fallback_class", "classes"), "quality": ("enabled", "mode", "threshold", "selection", "top_ratio", "on_unscored"),
+    "annotate": ("enabled",), "verify": ("enabled",), "output": ("meta_mode", "rejects"),
+    "dedup": ("enabled", "scope", "minhash_threshold", "minhash_num_perm", "ngram", "image_phash_max_distance", "ui_dup_requires", "bounds_quantize_px", "semantic_threshold"),
+    "stream": tuple(SECTIONS["stream"]),
+}
+#: The table that each judged stage needs.
+JUDGED = {"classify": "labels", "quality": "scores", "annotate": "outputs", "verify": "reviews"}
+
+
+def unsupported(config: Config) -> list[str]:
+    """Faults: settings in force that a run doesn't honour."""
+    faults = [] if config["run"]["modality"] == "text" else ["run.modality: runs take text only"]
+    for name, keys in SECTIONS.items():
+        own = config[name]
+        if own.get("enabled", True):
+            faults += [f"{name}.{k}: not honoured by run" for k, default in keys.items() if k not in HONOURED.get(name, ()) and own[k] != default]
+    return faults + [f"class.{c}.{s}.{k}: not honoured by run" for c, sections in config.classes.items() for s, own in sections.items() for k in own]
+
+
 @dataclass
 class Verdicts:
     """Tables of a run's judges, all keyed by record id; None where a stage isn't judged.
@@ -29,6 +51,10 @@ class Verdicts:
     outputs: DataFrame | None = None
     reviews: DataFrame | None = None
 
+    def missing(self, config: Config) -> list[str]:
+        """Enabled stages without their table."""
+        return [s for s, t in JUDGED.items() if config[s]["enabled"] and getattr(self, t) is None]
+
 
 def ingest(spark: SparkSession, config: Config, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, bad rows): seq, id, text, raw, source_file, line_no, batch_no."""
@@ -43,13 +69,14 @@ def process(records: DataFrame, config: Config, verdicts: Verdicts) -> DataFrame
     items = records
     if config["dedup"]["enabled"]:
         d = config["dedup"]
-        items = dedup.dedup(items, "seq", "id", "text", threshold=d["minhash_threshold"], permutations=d["minhash_num_perm"], ngram=d["ngram"])
+        items = dedup.dedup(items, "seq", "id", "text", scope="batch_no" if d["scope"] == "batch" else None, threshold=d["minhash_threshold"], permutations=d["minhash_num_perm"], ngram=d["ngram"])
     else:
         items = items.withColumn("kind", F.lit("unique")).withColumn("cluster_key", F.lit(None).cast("string")).withColumn("kept_id", F.lit(None).cast("string"))
     items = items.withColumn("status", F.when(F.col("kind") == "unique", "active").otherwise("dropped_dup"))
     fallback = config["classify"]["fallback_class"] or None
     if config["classify"]["enabled"] and verdicts.labels is not None:
-        items = items.join(verdicts.labels.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", F.lit(fallback)))
+        names = [c["name"] if isinstance(c, dict) else c for c in config["classify"]["classes"]]
+        items = items.join(verdicts.labels.select("id", "label"), "id", "left").withColumn("label", F.when(F.col("label").isin(names), F.col("label")).otherwise(F.lit(fallback)))
     else:
         items = items.withColumn("label", F.lit(None).cast("string"))
     q = config["quality"]
@@ -87,11 +114,20 @@ def report(items: DataFrame, bad: DataFrame, config: Config) -> dict:
     return {"config": config.digest, "counts": counts, "dedup": {"kinds": kinds, "clusters": clusters}, "quality": [histogram.get(k, 0) for k in range(10)]}
 
 
-def run(spark: SparkSession, config: Config, verdicts: Verdicts | None = None, limit: int | None = None) -> dict:
-    """Process the input, deliver main and rejects, return the report."""
+def run(spark: SparkSession, config: Config, verdicts: Verdicts | None = None, limit: int | None = None, strict: bool = False) -> dict:
+    """Process the input, deliver main and rejects, return the report.
+
+    Settings that a run doesn't honour are a ConfigError. So are enabled stages without their table, where no
+    verdicts are given or `strict` is set; elsewhere the report names them as not judged.
+    """
     began = time.time()
+    if faults := unsupported(config):
+        raise ConfigError(faults)
     records, bad = ingest(spark, config, limit)
     jsonl.require_some(records)
+    not_judged = (verdicts or Verdicts()).missing(config)
+    if not_judged and (strict or verdicts is None):
+        raise ConfigError([f"{s}: enabled, but no {JUDGED[s]} are given" for s in not_judged])
     items = written(process(records, config, verdicts or Verdicts()), "items")
     out = config["run"]["output"]
     meta = F.struct("id", "batch_no", F.struct("source_file", "line_no").alias("source"), "label", "aggregate")
@@ -100,6 +136,6 @@ def run(spark: SparkSession, config: Config, verdicts: Verdicts | None = None, l
         emit.deliver(items.where("status = 'active'").select(meta.alias("m")).select("m.*"), f"{out}/meta")
     refs = ["id", "stage", "reason", "kept_id", "source_file", "line_no", *(["raw"] if config["output"]["rejects"] == "full" else [])]
     emit.deliver(items.where(emit.channel(F.col("status")) == "rejects").select(*refs), f"{out}/rejects")
-    told = report(items, bad, config) | {"seconds": round(time.time() - began, 3)}
+    told = report(items, bad, config) | {"not_judged": not_judged, "seconds": round(time.time() - began, 3)}
     emit.deliver(spark.range(1).select(F.lit(json.dumps(told, ensure_ascii=False)).alias("value")), f"{out}/report", text=True)
     return told
