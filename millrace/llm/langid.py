@@ -4,7 +4,8 @@ Kernel: a text is the set of character n-grams (orders 1 to 4, the blended spect
 into BUCKETS cells; k(x, y) = |X and Y| / sqrt(|X| |Y|). Texts are lower-cased and everything that is not a
 letter counts as one blank, so that marks, digits and their frequency don't matter.
 
-Training: a bounded, hash-ordered sample of the labelled rows of each language. LANDMARKS of them span the
+Training: a hash-ordered sample of the labelled rows of each language, smaller the more languages there are,
+but of every language; rows without a letter don't count. LANDMARKS of them, one of each at least, span the
 Nyström features k(x, landmarks) K^-1/2; kernel ridge regression on these, one language against the rest,
 gives one weight vector for each language. Scoring is two matrix products for a batch of texts: presence
 rows by landmark rows, and the normalised result by the weights.
@@ -28,8 +29,10 @@ from millrace.runtime import Written
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
-#: Bounds of the fit: rows of each language, languages, landmarks in all.
-SAMPLE_PER_LANG, MAX_LANGS, LANDMARKS = 400, 64, 160
+#: Bounds of the fit: rows of each language, rows in all, landmarks in all; but LEAST rows and a landmark of each language.
+SAMPLE_PER_LANG, SAMPLE_ROWS, LANDMARKS, LEAST = 400, 25_600, 160, 8
+#: A character that `presence` counts as a letter.
+LETTER = "[\\p{L}\\x{10000}-\\x{10FFFF}]"
 RIDGE = 1e-2
 SHARPNESS = 12.0
 UNKNOWN = "und"
@@ -105,16 +108,18 @@ class Model:
 
 
 def sample_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """(lang, bits): packed presence rows of at most `per_lang` training rows a language, by hash order of the id."""
-    train = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).where((fold(F.col("_id"), 3) != 1) & F.col("_lang").isNotNull())
-    common = train.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGS)
+    """(id, lang, bits): packed presence rows of at most `per_lang` training rows of every language, by hash order of the id."""
+    trained = (fold(F.col(id_col), 3) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER)
+    train = docs.where(trained).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
+    counts = Written(train.groupBy("_lang").agg(F.count("*").alias("_n")), "lang-counts").df
+    per_lang = min(per_lang, max(LEAST, SAMPLE_ROWS // max(1, counts.count())))
     place = F.pmod(F.xxhash64("_id"), F.lit(1 << 31))
-    near = train.withColumn("_h", place).join(F.broadcast(common), "_lang").where(F.col("_h") * F.col("_n") < float(2 * per_lang) * (1 << 31))
-    own = Window.partitionBy("_lang").orderBy("_h", "_id")  # some 2 * per_lang rows a language are left
+    near = train.withColumn("_h", place).join(F.broadcast(counts), "_lang").where(F.col("_h") * F.col("_n") < float(2 * per_lang + 64) * (1 << 31))
+    own = Window.partitionBy("_lang").orderBy("_h", "_id")  # some 2 * per_lang + 64 rows a language are left
     chosen = near.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= per_lang).select("_id", "_lang")
     chosen = Written(chosen.distinct(), "lang-sample").df
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
-    picked = texts.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")  # at most MAX_LANGS * per_lang ids
+    texts = docs.where(trained).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
+    picked = texts.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")  # at most SAMPLE_ROWS ids, or LEAST a language
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,13 +133,14 @@ def sample_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """Fit on the bounded sample: MAX_LANGS * per_lang rows of BUCKETS bits come to the driver, no texts."""
+    """Fit on the bounded sample: SAMPLE_ROWS rows (or LEAST a language) of BUCKETS bits come to the driver, no texts."""
     got = sorted((r["lang"], r["_id"], bytes(r["bits"])) for r in sample_rows(docs, id_col, text_col, lang_col, per_lang).collect())
     langs = tuple(sorted({g[0] for g in got}))
     if not langs:
         return Model((), np.zeros((0, BUCKETS // 8), np.uint8), np.zeros((1, 0)))
     packed = np.frombuffer(b"".join(g[2] for g in got), np.uint8).reshape(len(got), -1)
-    own = np.array([langs.index(g[0]) for g in got])
+    index = {name: k for k, name in enumerate(langs)}
+    own = np.array([index[g[0]] for g in got])
     each = max(1, LANDMARKS // len(langs))
     marked = np.concatenate([np.flatnonzero(own == k)[:each] for k in range(len(langs))])
     marks = np.unpackbits(packed[marked], axis=1).astype(np.float32)
@@ -143,16 +149,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     value, vector = np.linalg.eigh(within.astype(float))
     kept = value > 1e-8 * value.max()
     root = vector[:, kept] / np.sqrt(value[kept])  # Nyström: features = kernel @ root
-    kernel = np.zeros((len(got), len(marks)))
+    balance = len(own) / len(langs) / np.maximum(np.bincount(own, minlength=len(langs)), 1)
+    left, right = np.zeros((root.shape[1] + 1,) * 2), np.zeros((root.shape[1] + 1, len(langs)))
     for at in range(0, len(got), 256):
         rows = np.unpackbits(packed[at : at + 256], axis=1).astype(np.float32)
-        kernel[at : at + 256] = (rows @ marks.T) / norms / np.sqrt(np.maximum(rows.sum(1), 1))[:, None]
-    features = np.c_[kernel @ root, np.ones(len(got))]
-    target = np.where(own[:, None] == np.arange(len(langs)), 1.0, -1.0)
-    balance = (len(own) / len(langs) / np.maximum(np.bincount(own, minlength=len(langs)), 1))[own][:, None]
-    penalty = RIDGE * len(own) / len(marks) * np.eye(features.shape[1])
+        kernel = (rows @ marks.T) / norms / np.sqrt(np.maximum(rows.sum(1), 1))[:, None]
+        features = np.c_[kernel @ root, np.ones(len(rows))]
+        mine = own[at : at + 256]
+        weighed = (balance[mine][:, None] * features).T
+        left += weighed @ features
+        right += weighed @ np.where(mine[:, None] == np.arange(len(langs)), 1.0, -1.0)
+    penalty = RIDGE * len(own) / len(marks) * np.eye(len(left))
     penalty[-1, -1] = 1e-6
-    solved = np.linalg.solve(features.T @ (balance * features) + penalty, features.T @ (balance * target))
+    solved = np.linalg.solve(left + penalty, right)
     return Model(langs, packed[marked], np.vstack([root @ solved[:-1], solved[-1:]]))
 
 

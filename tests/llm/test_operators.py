@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from millrace.llm import graph, matroska, packing, pieces, queries, secrets, simhash, token_count, urlfilter, vectors
+from millrace.llm import graph, langid, matroska, packing, pieces, queries, secrets, simhash, token_count, urlfilter, vectors
 from millrace.llm.common import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -117,6 +117,34 @@ def test_language_held_out(spark):
 
 
 # 3 and 10
+def many_languages(n, rows=12):
+    """Words of each language's own syllables; each language also has rows without a letter."""
+    out = []
+    for lang in range(n):
+        rng = random.Random(lang)
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(8)]
+        for k in range(rows + lang % 3):
+            out.append((len(out), " ".join("".join(rng.choices(own, k=2)) for _ in range(25)), f"l{lang:03}"))
+        out += [(len(out) + k, "123 ...", f"l{lang:03}") for k in range(20)]
+    return out
+
+
+def test_every_language_is_learned(spark):
+    rows = many_languages(200)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {k: lang for k, text, lang in rows if text[0] != "1"}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+    assert len({got[k] for k in want}) == 200
+    assert sum(got[k] == lang for k, lang in want.items()) > 0.95 * len(want)
+
+
+def test_small_samples_have_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 100)
+    df = spark.createDataFrame(many_languages(70, 30), "doc_id long, text string, lang string")
+    counts = {r["lang"]: r["count"] for r in langid.sample_rows(df, "doc_id", "text", "lang").groupBy("lang").count().collect()}
+    assert len(counts) == 70 and set(counts.values()) == {langid.LEAST}
+
+
 @pytest.mark.parametrize("alphabet", [" \n\t\r abcAB'sdlvetrm12.,!é漢\u00a0\u3000\u200b\u0085\x1c\x0b\u2028ſ\u0301ΣσςİI"])
 def test_tokenizers_agree_on_any_text(alphabet):
     from tokenizers import Tokenizer
