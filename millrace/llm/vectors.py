@@ -85,13 +85,14 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Linked are two vectors of one id each whose labels are equal and not null, whose lengths agree and whose
     cosine is at least `threshold`. Null and zero vectors, those with null or non-finite components, and rows
     with a null id link with nothing; a null id is its own component (null) and kept. Rows that repeat an id
-    are one vector, the least by (label, vector), and get the same result.
+    get the same result: its different (label, vector) are vectors of their own that don't link with each other,
+    their links are added up and their components are one.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"), F.col(vector_col).cast("array<double>").alias("_v"))
     good = F.col("_id").isNotNull() & F.col("_label").isNotNull() & F.col("_v").isNotNull() & (F.size("_v") > 0)
     sound = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
-    one = rows.where(good).groupBy("_id").agg(F.min(F.struct("_label", "_v")).alias("_s")).select("_id", "_s._label", "_s._v").where(sound)
+    one = rows.where(good).where(sound).distinct()
     one = one.withColumn("_group", F.concat_ws("|", F.size("_v"), F.col("_label").cast("string")))
     largest = F.array_max(F.transform("_v", F.abs))
     one = Written(one.withColumn("_v", F.transform(F.col("_v"), lambda x: x / largest)), "vectors").df  # squares stay finite
@@ -142,6 +143,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         a, b = _unit(sides[0]["_v"]), _unit(sides[1]["_v"]) if len(sides[1]) else None
         for i, j, _ in near_pairs(a, b, threshold, confidence):
             j = j if b is None else j + n
+            apart = ids[i] != ids[j]
+            i, j = i[apart], j[apart]
             np.add.at(links, i, 1)
             np.add.at(links, j, 1)
             pairs.append((i, j))

@@ -96,6 +96,15 @@ def test_vectors(spark):
     assert vectors.link_vectors(df.where("false")).collect() == []
 
 
+def test_vectors_of_a_repeated_id(spark):
+    e, f = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, e, 1), (1, [0.0] * 3, 1), (1, [-1.0, None, 0.0], 0), (2, e, 1), (3, e, 1), (3, [1.0, 0.01, 0.0], 1), (3, f, 2), (4, f, 2), (5, f, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = [tuple(r) for r in vectors.link_vectors(df).collect()]
+    assert len(got) == len(rows)
+    assert set(got) == {(1, 3, 1, True), (2, 3, 1, False), (3, 5, 1, False), (4, 1, 1, False), (5, 0, 5, True)}
+
+
 def test_pipeline_stages(spark, tmp_path):
     documents = [(k, t, lang, "s", 0) for k, t, lang in TEXTS]
     spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
