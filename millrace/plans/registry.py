@@ -124,6 +124,21 @@ def valid_batches(spark, d):
     return jsonl.batches(good, ["page_id"], 16)
 
 
+@query("""SELECT page_id, row_number() OVER (ORDER BY page_id) AS seq, ((row_number() OVER (ORDER BY page_id) - 1) // 16 + 1)::BIGINT AS batch_no
+FROM pages WHERE html IS NOT NULL AND trim(html) <> '' AND length(html) >= 400""")
+def page_batches(spark, d):
+    """Every valid row in input order, numbered and cut into batches."""
+    good = table(spark, d, "pages").where(F.col("html").isNotNull() & (F.trim("html") != "") & (F.length("html") >= 400))
+    return jsonl.batches(good.select("page_id"), ["page_id"], 16)
+
+
+@query("""SELECT page_id FROM pages WHERE html IS NOT NULL AND trim(html) <> '' AND length(html) >= 400 ORDER BY page_id LIMIT 100""")
+def first_pages(spark, d):
+    """The first 100 valid rows in input order, the limit of a run alone."""
+    good = table(spark, d, "pages").where(F.col("html").isNotNull() & (F.trim("html") != "") & (F.length("html") >= 400))
+    return jsonl.first_valid(good.select("page_id"), ["page_id"], 100)
+
+
 _KEY = "CASE event_id % 6 WHEN 0 THEN CAST(epoch_us(ts) // 1000000 AS VARCHAR) WHEN 1 THEN CAST(epoch_us(ts) // 1000 AS VARCHAR) WHEN 2 THEN '-5' WHEN 3 THEN 'true' WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE '1e14' END"
 
 
@@ -480,6 +495,19 @@ def capture_pairs(spark, d):
     return out.select("idx", F.col("tree").cast("string").alias("tree"), F.col("image").cast("string").alias("image"), "state")
 
 
+@query("""
+WITH a AS (SELECT page_id AS idx, count(*) AS n, min(page_id)::VARCHAR AS p FROM pages GROUP BY 1), b AS (SELECT item_id AS idx, count(*) AS n, min(item_id)::VARCHAR AS p FROM benchmark GROUP BY 1)
+SELECT coalesce(a.idx, b.idx) AS idx, a.p AS tree, b.p AS image, CASE WHEN a.n > 1 OR b.n > 1 THEN 'conflict' WHEN b.n IS NULL THEN 'missing_image' WHEN a.n IS NULL THEN 'missing_tree' ELSE 'pair' END AS state FROM a FULL JOIN b ON a.idx = b.idx""")
+def capture_pairs_by_id(spark, d):
+    """Two whole tables joined on their own ids."""
+    from millrace.sources import ui
+
+    trees = table(spark, d, "pages").select(F.col("page_id").alias("idx"), "page_id")
+    images = table(spark, d, "benchmark").select(F.col("item_id").alias("idx"), F.col("item_id").alias("page_id"))
+    out = ui.pair(trees, images, path="page_id")
+    return out.select("idx", F.col("tree").cast("string").alias("tree"), F.col("image").cast("string").alias("image"), "state")
+
+
 @query()
 def generation_plan(spark, d):
     """Calls that grow the set from its seeds."""
