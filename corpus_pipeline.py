@@ -35,11 +35,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays; rows that repeat that id stay once."""
-    docs = _documents(docs)
-    keep = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    same = F.col("_d.doc_id").eqNullSafe(F.col("_k.doc_id"))
-    return docs.alias("_d").join(keep.alias("_k"), same, "left_semi").select(*COLUMNS)
+    """Of each group of near-duplicates one document stays, a row of the least id; repeated rows stay once."""
+    return simhash.one_of_each(_documents(docs)).select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

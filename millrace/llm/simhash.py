@@ -191,6 +191,23 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return out[0].union(out[1]).union(out[2])
 
 
+def _groups(prints: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """(fp, component) of each distinct fingerprint, and (component, _least): the least `order` of each component."""
+    distinct = Written(prints.groupBy("fp").agg(F.min(order).alias("_least")), "distinct").df
+    joined = components(near_links(distinct)).select(F.col("node").alias("fp"), "component")
+    least = distinct.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return least.select("fp", "component"), least.groupBy("component").agg(F.min("_least").alias("_least"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component: that of the least id, or any of a null id where no id of the component is known."""
+    row = F.struct(F.col(id_col).isNull().alias("_null"), F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_at"))
+    rows = Written(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), fingerprint_column(F.col(text_col)).alias("fp"), row.alias("_row")), "numbered").df
+    _, per = _groups(rows.select("fp", "_row"), "_row")
+    kept = rows.withColumn("_at", F.col("_row._at")).join(per.select(F.col("_least._at").alias("_at")), "_at", "left_semi")
+    return kept.select("_doc.*")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of every row.
 
@@ -200,10 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not read.
     """
     prints = Written(docs.select(F.col(id_col).alias("_id"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints").df
-    distinct = Written(prints.groupBy("fp").agg(F.min("_id").alias("_least")), "distinct").df
-    joined = components(near_links(distinct)).select(F.col("node").alias("fp"), "component")
-    least = distinct.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    per = least.groupBy("component").agg(F.min("_least").alias("component_id"))
+    least, per = _groups(prints, "_id")
+    per = per.withColumnRenamed("_least", "component_id")
     of = least.select("fp", "component").join(per, "component").select("fp", "component_id")
     out = prints.join(of, "fp")
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

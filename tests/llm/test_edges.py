@@ -117,3 +117,12 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, docs.where("false"), str(tmp_path)).collect() == []
         docs = spark.read.parquet(str(tmp_path / f"out{k}"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_one_document_of_each_group_stays(spark, tmp_path):
+    long = " ".join(f"word{k}" for k in range(200))
+    cat = "the cat sat on the mat here while another dog slept under an old wooden table"
+    rows = [(4, cat), (4, cat), (9, cat), (None, cat), (None, long), (None, long), (7, "entirely different words about ships and harbours in winter"), (7, "nothing alike: prices, tariffs, ledgers, invoices and receipts")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out) == sorted([("4", cat), ("None", long), ("7", rows[6][1]), ("7", rows[7][1])])
