@@ -7,14 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: Only where the session names no shared folder, as in tests on one machine.
+#: Only where the session names no shared folder and all of it runs on one machine, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
+#: Rows and bytes that pass to a Python worker at once; texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors of {master} share")
         named = LOCAL_FALLBACK
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -35,6 +40,13 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what passes to Python workers at once, where the session leaves Spark's defaults."""
+    for key, value in BATCH.items():
+        if spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, value)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` through a written table: survives lost executors, is computed once."""
     return Written(df, tag).df
