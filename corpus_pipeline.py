@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, packing, secrets, simhash, toxicity
-from millrace.runtime import table, written
+from millrace.runtime import small_batches, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """The columns of documents alone; further ones of the input go no further."""
+    """The columns of documents alone; further ones of the input go no further. Workers get them in small batches."""
+    small_batches(docs.sparkSession)
     return docs.select(*COLUMNS)
 
 
