@@ -3,12 +3,12 @@
 1. Lexicons. A bounded, hash-ordered sample of labelled training rows gives word stems (word beginnings of
    3 to 8 letters, and whole words) whose presence goes with the label. They are the lexicon voters: +1 on
    presence, silent otherwise. Pattern voters look at the shape of a text only.
-2. Label model. Votes are taken as noisy readings of a hidden class: each voter has a table P(vote | class),
-   fitted by EM together with the class share. Correlated voters (residual covariance given the posterior)
-   share their weight, so that near copies of one voter count about once. The annotator's label is one voter
-   among them, of known accuracy; it settles which class is which.
-3. Classifier. Logistic regression on stem presence is trained on the posteriors; its scale and offset are
-   then set on the training labels. Only this classifier scores documents.
+2. Label model. Votes are noisy readings of a hidden class. EM fits the class share, each voter's P(vote | class)
+   and a forest of pairs of voters that depend on each other beyond the class, with a table for each pair, on
+   labelled and unlabelled training documents. The given labels start it, which says which class is which, and are one more
+   noisy reading whose accuracy is estimated; rows without one lack it.
+3. Classifier. Logistic regression on stem presence is trained on the posteriors, which are those of the votes
+   alone: no given label reaches it. Only this classifier scores documents.
 
 Labels enter through training rows alone (crc32 of the id modulo 5 not 0). Language, source and id are
 inputs of nothing.
@@ -26,17 +26,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import fold
-from millrace.runtime import Written
+from millrace.runtime import Written, small_batches
 
 #: Bounds of the fit: training rows of either label, stems, lexicon voters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_STEMS, MAX_VOTERS = 2000, 4000, 600, 48
+SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_STEMS, MAX_VOTERS = 2000, 4000, 600, 96
 STEM_LETTERS = (3, 4, 5, 6, 7, 8)
 #: Stems that a task counts before it passes them on.
 COUNTED = 100_000
 #: A stem needs so many toxic sample rows, and such a share of toxic rows among all that have it.
 MIN_TOXIC_ROWS, MIN_PRECISION = 3, 0.75
-#: P(label -1, none, 1 | class 0) and the same for class 1.
-ANNOTATOR = np.array([[0.989, 0.001, 0.01], [0.03, 0.001, 0.969]])
+#: Rows without a label that the label model sees too, and among how many rows (times that) they are sought.
+SAMPLE_UNKNOWN, SOUGHT = 4000, 4
+#: First posteriors of labelled rows, and the classifier's penalty.
+FIRST, PENALTY = (0.05, 0.9), 0.3
+#: Rows added to a voter's counts, rows of its own distribution added to each row of an edge's table, and what an edge must gain (times the log of the rows).
+SMOOTH, LEAN, EDGE_COST = np.array([0.05, 0.1, 0.05]), 5.0, 4.0
 _SPLIT = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 _LETTER, _CAPITAL = re.compile(r"[^\W\d_]"), re.compile(r"[A-Z\u00C0-\u00D6\u00D8-\u00DE]")
 _LOUD, _SECOND = re.compile(r"[!?]{2,}"), re.compile(r"(?i)\b(you|your|du|dich|tu|toi|vous)\b")
@@ -70,56 +74,125 @@ def pattern_votes(text: str) -> list[int]:
 
 @dataclass
 class LabelModel:
-    """P(vote | class) of each voter, the class share and the weights that allow for correlation."""
+    """P(votes, label, class) as a forest: P(class), P(label | class), P(vote | class, vote of the voter leant on).
 
-    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 2, 3)))
-    share: float = 0.1
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    correlation: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    Pairs of voters that depend on each other beyond the class are edges of the forest, each with its table for
+    either class: the model's correlations. A near copy of a voter adds nothing to the posterior, as its table says
+    so. `accuracy` is each voter's own P(vote | class), its edge summed out. Voters are taken to be better than
+    chance: no table lets a vote speak for the class that it is against. Given labels are a noisy reading like the
+    votes, of estimated accuracy; rows may lack them.
+    """
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """votes: [row, voter] in -1, 0, 1. P(class = 1)."""
-        log = np.log(self.table[:, 1] / self.table[:, 0])  # [voter, vote]
-        z = np.log(self.share / (1 - self.share)) + (self.weight * np.take_along_axis(log.T, votes + 1, 0)).sum(1)
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    share: float = 0.1
+    parent: np.ndarray = field(default_factory=lambda: np.zeros(0, int))  # -1: leans on none
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 2, 3, 3)))  # [voter, class, parent's vote, vote]; votes -1, 0, 1 at 0, 1, 2
+    accuracy: np.ndarray = field(default_factory=lambda: np.zeros((0, 2, 3)))
+    labelled: np.ndarray = field(default_factory=lambda: np.full((2, 2), 0.5))  # [class, label]
+    likelihood: list[float] = field(default_factory=list)  # mean logarithm a row after each round
+
+    def _class_logs(self, votes: np.ndarray, labels: np.ndarray | None) -> np.ndarray:
+        """[row, class]: log P(votes, label, class)."""
+        at = votes + 1
+        leans = np.where(self.parent >= 0, at[:, self.parent], 0)
+        logs = np.log(self.table)
+        voter = np.arange(votes.shape[1])
+        out = np.stack([logs[voter, c, leans, at].sum(1) for c in (0, 1)], 1) + np.log([1 - self.share, self.share])
+        if labels is not None:
+            out += np.where(labels[:, None] >= 0, np.log(self.labelled).T[np.maximum(labels, 0)], 0)
+        return out
+
+    def posterior(self, votes: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """votes: [row, voter] in -1, 0, 1; labels: 0, 1, or -1 where there is none. P(class = 1 | votes, labels)."""
+        logs = self._class_logs(votes, labels)
+        return 1 / (1 + np.exp(-np.clip(logs[:, 1] - logs[:, 0], -40, 40)))
 
     @staticmethod
-    def fit(votes: np.ndarray, start: np.ndarray, known: np.ndarray | None = None, rounds: int = 60, floor: float = 0.1) -> LabelModel:
-        """start: a first posterior for each row. known: the last voter's table, if it isn't to be estimated."""
+    def fit(votes: np.ndarray, start: np.ndarray, labels: np.ndarray | None = None, weight: np.ndarray | None = None, rounds: int = 60, forests: int = 3) -> LabelModel:
+        """Expectation maximisation from `start`, a first posterior for each row that says which class is which.
+
+        The forest is chosen anew between runs of EM, up to `forests` times: first none, then the heaviest one over
+        pairs whose dependence within the classes is worth its parameters.
+        """
         n, m = votes.shape
-        own = LabelModel(np.ones((m, 2, 3)) / 3, float(start.mean()), np.ones(m), np.zeros((m, m)))
-        q = start
-        one = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # [row, voter, vote]
-        for _ in range(rounds):
-            before = q
-            for c, p in ((1, q), (0, 1 - q)):
-                seen = np.einsum("r,rvk->vk", p, one) + [[0.05, 0.1, 0.05]]
-                own.table[:, c] = seen / seen.sum(1, keepdims=True)
-            if known is not None:
-                own.table[-1] = known
-            mean = own.table @ np.array([-1.0, 0.0, 1.0])  # [voter, class]
-            rest = votes - (q[:, None] * mean[:, 1] + (1 - q)[:, None] * mean[:, 0])
-            scale = np.sqrt((rest**2).mean(0)) + 1e-9
-            own.correlation = (rest.T @ rest) / n / scale / scale[:, None]
-            shared = np.where(own.correlation > floor, own.correlation, 0)
-            np.fill_diagonal(shared, 0)
-            own.weight = 1 / (1 + shared.sum(1))
-            if known is not None:
-                own.weight[-1] = 1
-            own.share = float(np.clip(q.mean(), 0.001, 0.999))
-            q = own.posterior(votes)
-            if np.abs(q - before).max(initial=0) < 1e-5:
+        weight = np.ones(n) if weight is None else weight * (n / weight.sum())
+        own, q = LabelModel(parent=np.full(m, -1)), start
+        for k in range(forests):
+            own.likelihood.clear()
+            for _ in range(rounds):
+                own._maximise(votes, q, labels, weight)
+                before, logs = q, own._class_logs(votes, labels)
+                q = own.posterior(votes, labels)
+                own.likelihood.append(float((weight * np.logaddexp(logs[:, 0], logs[:, 1])).mean()))
+                if np.abs(q - before).max(initial=0) < 1e-4:
+                    break
+            if k == forests - 1 or ((forest := _forest(votes, q, weight)) == own.parent).all():
                 break
+            own.parent = forest
         return own
 
-
-def logistic(x: np.ndarray, target: np.ndarray, penalty: float, rounds: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the offset, without penalty."""
+    def _maximise(self, votes: np.ndarray, q: np.ndarray, labels: np.ndarray | None, weight: np.ndarray) -> None:
+        at, mass = votes + 1, np.stack([weight * (1 - q), weight * q], 1)
+        leans = np.where(self.parent >= 0, at[:, self.parent], 0)
+        both = np.stack([[np.bincount(leans[:, j] * 3 + at[:, j], mass[:, c], 9).reshape(3, 3) for c in (0, 1)] for j in range(votes.shape[1])]).reshape(-1, 2, 3, 3)
+        single = both.sum(2) + SMOOTH
+        self.accuracy = _better_than_chance(single)
+        edge = _better_than_chance(both + LEAN * self.accuracy[:, :, None, :])
+        self.table = np.where((self.parent >= 0)[:, None, None, None], edge, self.accuracy[:, :, None, :])
+        if labels is not None and (labels >= 0).any():
+            read = np.stack([np.bincount(labels[labels >= 0], mass[labels >= 0, c], 2) for c in (0, 1)]) + 1.0
+            self.labelled = read / read.sum(1, keepdims=True)
+        self.share = float(np.clip((weight * q).sum() / len(q), 0.001, 0.999))
+
+
+def _better_than_chance(counts: np.ndarray) -> np.ndarray:
+    """Shares of the votes (last axis) for either class (axis 1); where a vote speaks for the class it is against, the classes share theirs."""
+    out = counts / counts.sum(-1, keepdims=True)
+    pooled = counts.sum(1, keepdims=True)
+    pooled = pooled / pooled.sum(-1, keepdims=True)
+    seen = counts.sum(1) > 1  # a vote that never occurs has the added counts alone, and speaks for nothing
+    wrong = (out[:, 1, ..., 2] < out[:, 0, ..., 2]) & seen[..., 2] | (out[:, 0, ..., 0] < out[:, 1, ..., 0]) & seen[..., 0]
+    return np.where(np.expand_dims(wrong, (1, -1)), pooled, out)
+
+
+def _forest(votes: np.ndarray, q: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each voter the one it leans on: the heaviest forest by conditional mutual information given the class."""
+    rows, m = votes.shape
+    one = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(np.float32).reshape(rows, 3 * m)
+    pairs = np.stack([((one * (weight * p)[:, None].astype(np.float32)).T @ one).reshape(m, 3, m, 3) for p in (1 - q, q)]).astype(float)  # [class, voter, vote, voter, vote]
+    n, m = pairs[:, 0, :, 0, :].sum(), pairs.shape[1]
+    p = pairs / n
+    single = np.einsum("cjajb->cja", p)
+    mass = single.sum(2)[:, :1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = single[:, :, :, None, None] * single[:, None, None, :, :] / mass[:, :, None, None, None]
+        gain = np.where(p > 0, p * np.log(p / apart), 0).sum((0, 2, 4))
+    worth = np.argwhere(np.triu(gain * n > EDGE_COST * np.log(max(n, 2)), 1))
+    parent, root = np.full(m, -1), np.arange(m)
+    near: list[list[int]] = [[] for _ in range(m)]
+    for j, k in worth[np.argsort([-gain[j, k] for j, k in worth], kind="stable")] if len(worth) else []:
+        if root[j] != root[k]:
+            root[root == root[k]] = root[j]
+            near[j].append(k)
+            near[k].append(j)
+    seen: set[int] = set()
+    for top in range(m):
+        stack = [] if top in seen else [(top, -1)]
+        while stack:
+            j, above = stack.pop()
+            seen.add(j)
+            parent[j] = above
+            stack += [(k, j) for k in near[j] if k != above]
+    return parent
+
+
+def logistic(x: np.ndarray, target: np.ndarray, penalty: float, weight: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
+    """Ridge logistic regression by Newton steps on targets in 0 to 1; the last weight is the offset, without penalty."""
     x = np.c_[x, np.ones(len(x))]
+    weight = np.ones(len(x)) if weight is None else weight
     w, keep = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, penalty), 1e-3]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), x.T @ (target - p) - keep * w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(keep), x.T @ (weight * (target - p)) - keep * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -150,14 +223,26 @@ def _training_rows(labels: DataFrame, id_col: str, toxic_col: str = "toxic") ->
     return rows.where((fold(F.col("_id"), 5) != 0) & F.col("_id").isNotNull() & F.col("toxic").isin(0, 1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str = "toxic", n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> DataFrame:
-    """(toxic, text) of at most n_toxic + n_clean training rows, chosen by hash order of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str = "toxic", n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, n_unknown: int = SAMPLE_UNKNOWN) -> DataFrame:
+    """(_id, toxic, text) of at most n_toxic + n_clean labelled training rows and n_unknown others (toxic -1), by hash order of the id.
+
+    Rows with a null id or label, and of the held-out fold, don't take part; a null text counts as empty. The rows
+    without a label are those among the first SOUGHT * n_unknown training documents; there may be fewer. An id with
+    several labels is drawn for each, repeated documents of a drawn id all come.
+    """
     train = _training_rows(labels, id_col, toxic_col)
     order = [F.xxhash64("_id"), F.col("_id")]
-    picked = train.where("toxic = 1").orderBy(*order).limit(n_toxic).union(train.where("toxic = 0").orderBy(*order).limit(n_clean))
-    picked = Written(picked, "toxic-sample").df
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(picked), "_id").select("_id", "toxic", "text")  # ids of the bounded sample
+    own = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull() & (fold(F.col("_id"), 5) != 0))
+    first = Written(own.orderBy(*order).limit(SOUGHT * n_unknown).distinct(), "toxic-first")
+    told = labels.select(F.col(id_col).alias("_id")).join(F.broadcast(first.df), "_id", "left_semi").distinct()  # at most SOUGHT * n_unknown ids
+    unknown = first.df.join(F.broadcast(told), "_id", "left_anti").orderBy(*order).limit(n_unknown).select("_id", F.lit(-1).alias("toxic"))
+    picked = train.where("toxic = 1").orderBy(*order).limit(n_toxic).union(train.where("toxic = 0").orderBy(*order).limit(n_clean)).union(unknown)
+    picked = Written(picked, "toxic-sample")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    out = Written(texts.join(F.broadcast(picked.df), "_id").select("_id", "toxic", "text"), "toxic-texts").df  # ids of the bounded sample
+    first.drop()
+    picked.drop()
+    return out
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,42 +265,46 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> Model:
     """Fit on the bounded sample; the driver gets stem counts (MAX_STEMS) and a presence row for each sample row."""
-    sample = Written(labelled_sample(docs, labels, id_col, text_col, **bounds), "toxic-texts").df
+    small_batches(docs.sparkSession)
+    sample = training_sample(docs, labels, id_col, text_col, **bounds)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     there = {r["toxic"]: r["n"] for r in _training_rows(labels, id_col).groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     if not n1 or not n0:
         return Model({}, 40.0 if n1 else -40.0)
-    counts = sample.select("toxic", "text").mapInPandas(_counts, "stem binary, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    told = sample.where("toxic >= 0").select("toxic", "text")
+    counts = told.mapInPandas(_counts, "stem binary, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    base = there[1] / (there[1] + there[0])
     t, c = F.col("t") * (there[1] / n1), F.col("c") * (there[0] / n0)  # in all training rows
     found = counts.where((F.col("t") >= MIN_TOXIC_ROWS) & (t >= MIN_PRECISION * (t + c)))
-    rows = found.orderBy(F.desc(F.col("t") / (1 + F.col("c"))), F.length("stem"), "stem").limit(MAX_STEMS).collect()
-    stems = _apart([bytes(r["stem"]) for r in rows])
+    apart = t * F.log(t / (t + c) / base) + F.when(c > 0, c * F.log(c / (t + c) / (1 - base))).otherwise(0.0)  # how far from chance
+    rows = found.orderBy(F.desc(F.round(apart, 6)), F.length("stem"), "stem").limit(MAX_STEMS).collect()
+    stems = _distinct_stems([bytes(r["stem"]) for r in rows])
     place = {s: k for k, s in enumerate(stems)}
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({
                 "toxic": batch["toxic"],
-                "hits": [sorted(place[s] for s in stems_of(t or "") if s in place) for t in batch["text"]],
-                "shape": [pattern_votes(t or "") for t in batch["text"]],
+                "hits": [sorted(place[s] for s in stems_of(t) if s in place) for t in batch["text"]],
+                "shape": [pattern_votes(t) for t in batch["text"]],
             })
 
-    got = sample.orderBy("_id").select("toxic", "text").mapInPandas(seen, "toxic int, hits array<int>, shape array<int>").collect()
-    label = np.array([r["toxic"] for r in got], float)
+    got = sample.orderBy("_id", "toxic", "text").select("toxic", "text").mapInPandas(seen, "toxic int, hits array<int>, shape array<int>").collect()
+    label = np.array([r["toxic"] for r in got])
     x = np.zeros((len(got), len(stems)))
     for k, r in enumerate(got):
         x[k, r["hits"]] = 1
-    voters = _voters(x)
-    votes = np.c_[x[:, voters].astype(int), np.array([r["shape"] for r in got]), np.where(label > 0, 1, -1)]  # the annotator is one voter more
-    q = LabelModel.fit(votes, np.where(label > 0, 0.9, 0.05), ANNOTATOR).posterior(votes)
-    w = logistic(x, q, 1.0)
+    votes = np.c_[x[:, _voters(x)].astype(int), np.array([r["shape"] for r in got])]
+    weight = np.where(label < 0, 1.0, np.where(label > 0, there[1] / n1, there[0] / n0) * (n1 + n0) / (there[1] + there[0]))  # labelled rows in their shares
+    start = np.where(label < 0, base, np.where(label > 0, FIRST[1], FIRST[0]))
+    q = LabelModel.fit(votes, start, label, weight).posterior(votes)
+    w = logistic(x, q, PENALTY, weight)
     w[:-1] = np.maximum(w[:-1], 0)  # a stem never speaks for a text
-    a, b = logistic((x @ w[:-1] + w[-1])[:, None], label, 1e-3)
-    return Model({s: float(a * v) for s, v in zip(stems, w, strict=False) if abs(a * v) > 1e-6}, float(a * w[-1] + b))
+    return Model({s: float(v) for s, v in zip(stems, w, strict=False) if v > 1e-6}, float(w[-1]))
 
 
-def _apart(stems: list[bytes]) -> list[bytes]:
+def _distinct_stems(stems: list[bytes]) -> list[bytes]:
     """Without those that only lengthen a stem that comes before them."""
     out: list[bytes] = []
     taken: set[bytes] = set()
@@ -253,6 +342,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     labels counts once for each. Repeated rows are scored each for itself; texts of any length are read
     whole.
     """
+    small_batches(docs.sparkSession)
     model = model or fit(docs, labels, id_col, text_col)
     out = docs.select(F.col(id_col), (fold(F.col(id_col), 5) == 0).alias("held_out"), toxic_score(F.col(text_col), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
