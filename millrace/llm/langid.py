@@ -15,6 +15,7 @@ A language's score is its regression value through a softmax; `score` is the win
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import fold
-from millrace.runtime import Written
+from millrace.runtime import Written, small_batches
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
 #: Bounds of the fit: rows of each language, rows in all, landmarks in all; but LEAST rows and a landmark of each language.
 SAMPLE_PER_LANG, SAMPLE_ROWS, LANDMARKS, LEAST = 400, 25_600, 160, 8
-#: A character that `presence` counts as a letter.
-LETTER = "[\\p{L}\\x{10000}-\\x{10FFFF}]"
+#: What `presence` counts as a letter.
+LETTER = "\\p{L}"
 RIDGE = 1e-2
 SHARPNESS = 12.0
 UNKNOWN = "und"
@@ -41,8 +42,10 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def _letters() -> np.ndarray:
-    """[code point below 0x10000] -> itself if a letter, else a blank. Letters beyond stay, as does what can't be told."""
-    return np.array([c if chr(c).isalpha() else 32 for c in range(0x10000)], np.uint32)
+    """[code point] -> itself if a letter, else a blank."""
+    points = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    letter = np.fromiter(map(str.isalpha, map(chr, range(sys.maxunicode + 1))), bool, len(points))
+    return np.where(letter, points, np.uint32(32))
 
 
 _TABLE: np.ndarray | None = None
@@ -59,7 +62,7 @@ def presence(text: str, out: np.ndarray) -> int:
         end = at + _CHUNK + max(ORDERS) - 1  # n-grams across the cut are seen
         part = " " * (at == 0) + text[at:end].lower() + " " * (end >= len(text))
         codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(codes < 0x10000, _TABLE[np.minimum(codes, 0xFFFF)], codes)
+        codes = _TABLE[codes]
         letters += int((codes != 32).sum())
         keep = np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]  # runs of blanks are one
         codes = codes[keep].astype(np.uint64)
@@ -108,7 +111,12 @@ class Model:
 
 
 def sample_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """(id, lang, bits): packed presence rows of at most `per_lang` training rows of every language, by hash order of the id."""
+    """(id, lang, bits): packed presence rows of at most `per_lang` training rows of every language, by hash order of the id.
+
+    Rows whose lang is null, or whose text is null or has no letter, are left out before the sample is drawn. A
+    null id is in the fold of the empty text. Rows of one id and language are chosen together or not at all.
+    """
+    small_batches(docs.sparkSession)
     trained = (fold(F.col(id_col), 3) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER)
     train = docs.where(trained).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
     counts = Written(train.groupBy("_lang").agg(F.count("*").alias("_n")), "lang-counts").df
@@ -174,7 +182,7 @@ def predict(text: Column, model: Model) -> Column:
         names = np.array([*model.langs, UNKNOWN], object)
         return pd.DataFrame({"lang_pred": names[top], "score": score})
 
-    return best(text)
+    return best.asNondeterministic()(text)  # else a filter on the result has it computed twice
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
@@ -184,6 +192,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Ties go to the language that sorts first. Repeated rows are judged each for itself; texts of any length
     are read whole.
     """
+    small_batches(docs.sparkSession)
     model = model or fit(docs, id_col, text_col, lang_col)
     out = docs.select(F.col(id_col), (fold(F.col(id_col), 3) == 1).alias("held_out"), predict(F.col(text_col), model).alias("_p"))
     return out.select(id_col, "held_out", "_p.lang_pred", "_p.score")
