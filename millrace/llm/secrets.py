@@ -10,6 +10,7 @@ trained table is one literal of fixed size; the scan is a projection over the te
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +24,16 @@ ACCESS = "AKIA[A-Z0-9]{12,}"  # 16 characters or more; a shorter run holds no lo
 HEX = "[0-9a-f]{32,}"  # a run this long starts where its first match does
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: Tokens that the chains judge: whole runs of the alphabet, with letters and digits, of this length or more.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+#: FILL stands for the characters of assignments, next to which no token is judged; so too where a text holds it itself.
+FILL = "\ufdd0"
+TOKEN = rf"(?<![A-Za-z0-9+/_{FILL}-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{20,}}+(?!{FILL})"
 MIN_TOTAL, MIN_MEAN = 14.0, 0.45
 #: Added to each transition's count in either chain.
 SMOOTHING = 1.0
 SAMPLES = 3000
 MASK = "[SECRET]"
+#: Entries of an array that grows by appending, characters of a text that are masked together.
+CHUNK, PART = 256, 8192
 #: Parts of the identifier sample.
 NAMES = (
     "user account session cache index value count total request response server client config default handler "
@@ -43,7 +48,10 @@ NAMES = (
 
 
 def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(random, token): n labelled strings of either kind, made by rule from a counter."""
+    """(random, token): n labelled strings of either kind, made by rule from a counter.
+
+    No table is read; the rows are the same in every run, none is null or empty, a few repeat.
+    """
     rows = spark.range(n)
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     coded = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
@@ -65,7 +73,10 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
 
 
 def train(spark: SparkSession, smoothing: float = SMOOTHING) -> list[float]:
-    """log P(next | char, random) - log P(next | char, ordinary), row by row over ALPHABET."""
+    """log P(next | char, random) - log P(next | char, ordinary), row by row over ALPHABET.
+
+    Transitions that no sample has count SMOOTHING; characters outside ALPHABET count in neither chain.
+    """
     pairs = samples(spark).select("random", F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
     k = len(ALPHABET)
     counts = {(r["random"], r["pair"]): r["count"] for r in pairs.groupBy("random", "pair").count().collect()}  # 2 k^2 rows at most
@@ -95,23 +106,59 @@ def log_ratio(token: Column, table: tuple[float, ...]) -> Column:
     return F.aggregate(F.split(token, ""), start, step, lambda acc: acc["sum"])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, add: Callable[[Column, Column], Column], start: int) -> Column:
+    """array<int> of the running results of `add` (a sum, a maximum), from `start` on.
+
+    Appending copies an array; so each chunk of CHUNK values grows an array of its own, and one more holds the
+    chunks' results. The work is then linear but for that last array of one entry in CHUNK.
+    """
+
+    def last(xs: Column) -> Column:
+        return F.coalesce(F.get(xs, F.size(xs) - 1), F.lit(start))
+
+    def chunks(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / CHUNK).cast("int")), lambda k: F.slice(xs, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def joined(own: Column) -> Column:
+        before = F.aggregate(own, F.array(F.lit(start)), lambda acc, c: F.array_append(acc, add(last(acc), last(c))))
+        pairs = F.slice(F.arrays_zip(own.alias("own"), before.alias("before")), F.lit(1), F.size(own))
+        return F.flatten(F.transform(pairs, lambda z: F.transform(z["own"], lambda x: add(z["before"], x))))
+
+    within = F.transform(_let(values, chunks), lambda c: F.aggregate(c, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, add(last(acc), x))))
+    return _let(within, joined)
+
+
+_SPAN = "struct<start:int,kind:int,end:int,token:string>"
+
+
+def _cut(text: Column, pattern: str, value_group: int) -> Column:
+    """array<struct(b, m, v)>: what stands before each match, the match, its value; the rest of the text comes last, without a match."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else F.transform(whole, lambda m: m)
+    return F.arrays_zip(F.split(text, pattern, -1).alias("b"), whole.alias("m"), value.alias("v"))
+
+
 def spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
     """array<struct(start, kind, end, token)> of a pattern's matches, leftmost and apart, in code points."""
-    between = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
-    span = "struct<start:int,kind:int,end:int,token:string>"
-    empty = F.array().cast(f"array<{span}>")
-    zipped = F.arrays_zip(between.alias("b"), whole.alias("m"), value.alias("v"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["b"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        found = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("token")).cast(span)
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & (F.length(x["v"]) >= least), F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda x: F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0))), lambda a, b: a + b, 0)
+        each = F.zip_with(parts, ends, lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("token"), x["v"].alias("v")))
+        good = F.filter(each, lambda s: s["token"].isNotNull() & (F.length(s["v"]) >= least))
+        return F.transform(good, lambda s: F.struct(s["start"], s["kind"], s["end"], s["token"]).cast(_SPAN))
+
+    return F.when(text.rlike(pattern), _let(_cut(text, pattern, value_group), placed)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
 
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+def filled(text: Column, pattern: str, value_group: int, least: int) -> Column:
+    """`text` with FILL for each character of a match; its length stays."""
+    parts = F.transform(_cut(text, pattern, value_group), lambda x: F.concat(x["b"], F.when(F.length(x["v"]) >= least, F.repeat(F.lit(FILL), F.length(x["m"]))).otherwise(F.coalesce(x["m"], F.lit("")))))
+    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
 
 
 def _written(found: Column) -> Column:
@@ -120,18 +167,21 @@ def _written(found: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", out: str = "_spans", min_total: float = MIN_TOTAL, min_mean: float = MIN_MEAN) -> DataFrame:
-    """`docs` with `out`: struct(base, added), either ordered by start, then kind."""
+    """`docs` with `out`: struct(base, added), either ordered by start, then kind.
+
+    Added are tokens apart from all base spans. Whether one meets an assignment is seen on the text with the
+    assignments filled; the other base patterns match inside a token's run of characters or not at all.
+    """
     table = _trained(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = F.concat(spans(text, ASSIGN, 0, 2, ASSIGN_VALUE), spans(text, ACCESS, 1), spans(text, HEX, 2))
-    step = docs.withColumn(out, F.struct(F.array_sort(base).alias("base"), spans(text, TOKEN, 3).alias("maybe")))
+    maybe = _let(filled(text, ASSIGN, 2, ASSIGN_VALUE), lambda t: spans(t, TOKEN, 3))
 
     def secret(s: Column) -> Column:
-        total = log_ratio(s["token"], table)
-        apart = ~F.exists(F.col(out)["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return apart & (total >= min_total) & (total >= min_mean * (s["end"] - s["start"] - 1))
+        apart = ~s["token"].rlike(ACCESS) & ~s["token"].rlike(HEX)
+        return apart & _let(log_ratio(s["token"], table), lambda total: (total >= min_total) & (total >= min_mean * (s["end"] - s["start"] - 1)))
 
-    return step.withColumn(out, F.struct(F.col(out)["base"].alias("base"), F.filter(F.col(out)["maybe"], secret).alias("added")))
+    return docs.withColumn(out, F.struct(F.array_sort(base).alias("base"), F.filter(maybe, secret).alias("added")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
@@ -153,17 +203,43 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limi
     )
 
 
+def _apart(found: Column) -> Column:
+    """array<struct(start, end)> of the stretches that ordered spans cover; spans that meet but don't overlap stay apart."""
+
+    def stretches(xs: Column) -> Column:
+        reach = running(F.transform(xs, lambda s: s["end"]), F.greatest, 0)
+        return _let(reach, lambda hi: F.arrays_zip(
+            F.filter(F.transform(xs, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(hi, i - 1)), s["start"])), lambda x: x.isNotNull()).alias("start"),
+            F.filter(F.transform(hi, lambda h, i: F.when((i == F.size(hi) - 1) | (F.get(xs, i + 1)["start"] >= h), h)), lambda x: x.isNotNull()).alias("end"),
+        ))
+
+    return _let(found, stretches)
+
+
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with every span in the text replaced by MASK; null texts stay null."""
+    """`docs` with every span in the text replaced by MASK, overlapping spans by one; null texts stay null.
+
+    The text is taken in parts of PART characters, each with the stretches that meet it.
+    """
     found = with_spans(docs, text_col, "_spans")
-    text = F.col(text_col)
+    text = F.col(text_col).cast("string")
+
+    def part_of(cuts: Column) -> Column:
+        def masked(part: Column, k: Column) -> Column:
+            lo, hi = k * PART, k * PART + F.length(part)
+
+            def pieces(own: Column) -> Column:
+                def piece(s: Column, i: Column) -> Column:
+                    before = F.coalesce(F.get(own, i - 1)["end"], lo)
+                    return F.concat(F.substring(part, before - lo + 1, F.greatest(s["start"] - before, F.lit(0))), F.when(s["start"] >= lo, F.lit(MASK)).otherwise(""))
+
+                rest = F.coalesce(F.get(own, F.size(own) - 1)["end"], lo)
+                return F.concat(F.array_join(F.transform(own, piece), ""), F.substring(part, rest - lo + 1, F.length(part)))
+
+            return _let(F.filter(cuts, lambda s: (s["start"] < hi) & (s["end"] > lo)), pieces)
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(s["start"], acc["at"])
-        kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.when(s["start"] >= acc["at"], F.lit(MASK)).otherwise(""))
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), kept.alias("out"))
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), masked), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    walked = F.aggregate(F.array_sort(F.concat("_spans.base", "_spans.added")), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     changed = (F.size("_spans.base") + F.size("_spans.added")) > 0
-    return found.withColumn(text_col, F.when(changed, walked).otherwise(text)).drop("_spans")
+    walked = _let(_apart(F.array_sort(F.concat("_spans.base", "_spans.added"))), part_of)
+    return found.withColumn(text_col, F.when(changed, walked).otherwise(F.col(text_col))).drop("_spans")
