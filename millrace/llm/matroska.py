@@ -3,12 +3,13 @@
 A file holds one audio track of 8-bit samples (one byte of payload each, little-endian PCM). Frames of
 FRAME bytes are laced LACE to a SimpleBlock, blocks are grouped into clusters, and Cues point at every
 cluster. The parser reads any EBML tree: variable-length ids and sizes, sizes left open, blocks in groups,
-and all four kinds of lacing. It gives a packet table: track, timestamp, byte range.
+and all four kinds of lacing. It gives a packet table: track, timestamp, byte range, and what is wrong with a file.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.runtime import small_batches
+
 PAD, FRAME, LACE, CLUSTER_BLOCKS = 64, 256, 8, 15
 RATE = 8000  # samples a second
 SCALE = 125_000  # nanoseconds of one timestamp unit: one sample
@@ -28,9 +31,11 @@ EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x15
 VERSION, READ_VERSION, MAX_ID, MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO = 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1
-SAMPLING, CHANNELS, BIT_DEPTH = 0xB5, 0x9F, 0x6264
+SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xB5, 0x9F, 0x6264, 0x23E383
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+#: Codecs whose frames hold a whole number of uncompressed samples, and the sampling rate where none is named.
+PCM, DEFAULT_RATE = ("A_PCM/INT/LIT", "A_PCM/INT/BIG", "A_PCM/FLOAT/IEEE"), 8000.0
 _MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS}
 #: Elements that end an open-sized cluster.
 _TOP = {SEGMENT, INFO, TRACKS, CLUSTER, CUES}
@@ -87,12 +92,13 @@ def write(payload: bytes) -> bytes:
     return head + element(SEGMENT, b"".join(body) + element(CUES, b"".join(cues)))
 
 
-def read_vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int, bool]:
+def read_vint(data: bytes, at: int, keep_marker: bool = False, end: int | None = None) -> tuple[int, int, bool]:
     """(value, next position, whether all value bits are set)."""
-    if at >= len(data) or not data[at]:
+    end = len(data) if end is None else end
+    if at >= end or not data[at]:
         raise ValueError(f"no variable-length integer at byte {at}")
     n = 9 - data[at].bit_length()
-    if at + n > len(data):
+    if at + n > end:
         raise ValueError(f"cut off at byte {at}")
     raw = int.from_bytes(data[at : at + n], "big")
     value = raw & ((1 << 7 * n) - 1)
@@ -101,34 +107,70 @@ def read_vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int
 
 @dataclass
 class Media:
-    scale: int = 1_000_000
+    scale: int = 1_000_000  # nanoseconds of one timestamp unit
     tracks: dict[int, dict] = field(default_factory=dict)
     clusters: int = 0
     lacing: list[int] = field(default_factory=lambda: [0, 0, 0, 0])
-    packets: list[tuple[int, int, int, int]] = field(default_factory=list)  # track, timestamp, first byte, bytes
+    packets: list[tuple[int, int | None, int, int]] = field(default_factory=list)  # track, timestamp, first byte, bytes
     cues: list[tuple[int, int, int]] = field(default_factory=list)  # time, track, cluster's byte in the segment
     cluster_at: list[int] = field(default_factory=list)
+    fault: str | None = None  # what ended the reading before the file's end
+    frames: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)  # track, block's time, first byte, bytes; number and bytes before it in its block
 
 
 def read(data: bytes) -> Media:
     """Parse a file; unknown elements are passed over, damage raises ValueError."""
-    media, time, segment = Media(), 0, 0
+    media = read_until_damage(data)
+    if media.fault:
+        raise ValueError(media.fault)
+    return media
+
+
+def read_until_damage(data: bytes) -> Media:
+    """Parse a file as far as it is sound; `fault` says what is wrong with it, if anything.
+
+    A frame's timestamp is its block's; frames laced behind it follow by the track's default duration or, for
+    uncompressed sound, by the samples before them. Where neither is known they have none.
+    """
+    media = Media()
+    try:
+        _walk(data, media)
+    except ValueError as error:
+        media.fault = str(error)
+    for track, time, at, size, number_, before in media.frames:
+        own = media.tracks.get(track, {})
+        if not number_:
+            late = 0.0
+        elif own.get("duration"):
+            late = number_ * own["duration"] / media.scale
+        elif own.get("codec") in PCM and own.get("bits") and own.get("rate", DEFAULT_RATE) > 0:
+            late = before * 8e9 / (own["bits"] * own.get("channels", 1) or 1) / own.get("rate", DEFAULT_RATE) / media.scale
+        else:
+            late = None
+        media.packets.append((track, None if late is None else time + round(late), at, size))
+    media.frames.clear()
+    return media
+
+
+def _walk(data: bytes, media: Media) -> None:
+    time, segment, at = 0, 0, 0
     cue, track = [0, 0, 0], {}
-    ends: list[tuple[int, int]] = []  # end byte, element
-    at = 0
+    ends: list[tuple[int, int, bool]] = []  # end byte, element, whether its size was left open
+    names = {TRACK_NUMBER: "number", TRACK_TYPE: "type", BIT_DEPTH: "bits", CHANNELS: "channels", DEFAULT_DURATION: "duration"}
     while at < len(data):
         while ends and at >= ends[-1][0]:
             _leave(ends.pop()[1], media, cue, track)
         start = at
         tag, at, _ = read_vint(data, at, True)
         size, at, open_size = read_vint(data, at)
-        while ends and ends[-1][0] == len(data) and ends[-1][1] == CLUSTER and tag in _TOP:
+        while ends and ends[-1][1] == CLUSTER and ends[-1][2] and tag in _TOP:
             _leave(ends.pop()[1], media, cue, track)
-        end = len(data) if open_size else at + size
-        if end > len(data):
-            raise ValueError(f"element at byte {start} ends after the file")
+        most = ends[-1][0] if ends else len(data)
+        end = most if open_size else at + size
+        if end > most:
+            raise ValueError(f"element at byte {start} ends after what holds it")
         if tag in _MASTERS:
-            ends.append((end, tag))
+            ends.append((end, tag, open_size))
             if tag == SEGMENT:
                 segment = at
             elif tag == CLUSTER:
@@ -139,24 +181,29 @@ def read(data: bytes) -> Media:
             elif tag == CUE_POINT:
                 cue[:] = [0, 0, 0]
             continue
+        if open_size:
+            raise ValueError(f"element at byte {start} has no size")
         if tag in (SIMPLE_BLOCK, BLOCK):
-            _packets(data, at, end, time, media)
-        elif tag in (CODEC_ID,):
-            track["codec"] = data[at:end].decode("ascii", "replace")
+            _frames(data, at, end, time, media)
+        elif tag == CODEC_ID:
+            track["codec"] = data[at:end].rstrip(b"\0").decode("ascii", "replace")
+        elif tag == SAMPLING and size in (4, 8):
+            track["rate"] = struct.unpack(">f" if size == 4 else ">d", data[at:end])[0]
         elif size <= 8:
             value = int.from_bytes(data[at:end], "big")
             if tag == TIMESTAMP:
                 time = value
             elif tag == TIMESTAMP_SCALE:
+                if not value:
+                    raise ValueError(f"timestamp scale 0 at byte {start}")
                 media.scale = value
-            elif tag in (TRACK_NUMBER, TRACK_TYPE, BIT_DEPTH, CHANNELS):
-                track[{TRACK_NUMBER: "number", TRACK_TYPE: "type", BIT_DEPTH: "bits", CHANNELS: "channels"}[tag]] = value
+            elif tag in names:
+                track[names[tag]] = value
             elif tag in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
                 cue[(CUE_TIME, CUE_TRACK, CUE_CLUSTER).index(tag)] = value
         at = end
     while ends:
         _leave(ends.pop()[1], media, cue, track)
-    return media
 
 
 def _leave(tag: int, media: Media, cue: list[int], track: dict) -> None:
@@ -166,40 +213,50 @@ def _leave(tag: int, media: Media, cue: list[int], track: dict) -> None:
         media.tracks[track.get("number", 0)] = dict(track)
 
 
-def _packets(data: bytes, at: int, end: int, cluster_time: int, media: Media) -> None:
-    track, at, _ = read_vint(data, at)
+def _frames(data: bytes, at: int, end: int, cluster_time: int, media: Media) -> None:
+    """The frames of a block from byte `at` to `end`."""
+    start = at
+
+    def byte(k: int) -> int:
+        if k >= end:
+            raise ValueError(f"block at byte {start} is cut off")
+        return data[k]
+
+    track, at, _ = read_vint(data, at, end=end)
+    kind = byte(at + 2) >> 1 & 3  # 0 none, 1 Xiph, 2 fixed, 3 EBML
     time = cluster_time + int.from_bytes(data[at : at + 2], "big", signed=True)
-    kind = data[at + 2] >> 1 & 3  # 0 none, 1 Xiph, 2 fixed, 3 EBML
     at += 3
-    media.lacing[kind] += 1
     sizes: list[int] = []
     if kind:
-        n = data[at] + 1
+        n = byte(at) + 1
         at += 1
         if kind == 1:
             for _ in range(n - 1):
                 size = 0
-                while data[at] == 255:
+                while byte(at) == 255:
                     size, at = size + 255, at + 1
-                sizes.append(size + data[at])
+                sizes.append(size + byte(at))
                 at += 1
         elif kind == 3 and n > 1:
-            size, at, _ = read_vint(data, at)
+            size, at, _ = read_vint(data, at, end=end)
             sizes.append(size)
             for _ in range(n - 2):
                 before = at
-                step, at, _ = read_vint(data, at)
+                step, at, _ = read_vint(data, at, end=end)
                 size += step - ((1 << 7 * (at - before) - 1) - 1)
                 sizes.append(size)
-        if kind == 2:
+        elif kind == 2:
+            if (end - at) % n:
+                raise ValueError(f"fixed lacing of block at byte {start} doesn't fit it")
             sizes = [(end - at) // n] * (n - 1)
     sizes.append(end - at - sum(sizes))
     if min(sizes) < 0:
-        raise ValueError(f"lacing at byte {at} doesn't fit its block")
-    for size in sizes:
-        media.packets.append((track, time, at, size))
+        raise ValueError(f"lacing of block at byte {start} doesn't fit it")
+    media.lacing[kind] += 1
+    first = at
+    for k, size in enumerate(sizes):
+        media.frames.append((track, time, at, size, k, at - first))
         at += size
-        time += size
 
 
 def payload_of(text: str | None) -> bytes:
@@ -210,10 +267,10 @@ def payload_of(text: str | None) -> bytes:
 
 def features(media: Media, payload: bytes) -> str:
     """Counts of the container and the loudness of the samples around their middle."""
-    x = np.frombuffer(payload, np.uint8).astype(np.float64) - 128
+    x = np.frombuffer(payload or b"\x80", np.uint8).astype(np.float64) - 128
     crossings = int(np.count_nonzero(np.signbit(x[1:]) != np.signbit(x[:-1])))
     cued = sum(c[2] in set(media.cluster_at) for c in media.cues) if len(media.cues) < 2 else len({c[2] for c in media.cues} & set(media.cluster_at))
-    return f"tracks={len(media.tracks)};clusters={media.clusters};cues={cued};packets={len(media.packets)};lacing={'/'.join(map(str, media.lacing))};end={max((p[1] + p[3] for p in media.packets), default=0)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={crossings}"
+    return f"tracks={len(media.tracks)};clusters={media.clusters};cues={cued};packets={len(media.packets)};lacing={'/'.join(map(str, media.lacing))};end={max(((p[1] or 0) + p[3] for p in media.packets), default=0)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={crossings}"
 
 
 def stored(text: Column) -> Column:
@@ -227,18 +284,25 @@ def stored(text: Column) -> Column:
 
 
 def packet_table(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """(id, track, timestamp, first_byte, bytes) of every packet of every file; a null file has none."""
+    """(id, track, timestamp, first_byte, bytes, fault) of every packet of every file; a null file has none.
+
+    Timestamps are in units of the file's scale, null where a laced frame's isn't known. A damaged file gives its
+    packets before the damage and one row more that has `fault` alone. An empty file (no byte) has no packets.
+    Repeated rows are read each for itself; other columns are not read.
+    """
+    small_batches(media.sparkSession)
 
     def packets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, data in zip(batch[id_col], batch[media_col], strict=True):
-                rows = read(data).packets if data is not None else []
+                found = read_until_damage(data) if data is not None else Media()
+                rows = [(*p, None) for p in found.packets] + [(None, None, None, None, found.fault)] * (found.fault is not None)
                 for k in range(0, len(rows), 10_000):
-                    part = pd.DataFrame(rows[k : k + 10_000], columns=["track", "timestamp", "first_byte", "bytes"])
+                    part = pd.DataFrame(rows[k : k + 10_000], columns=["track", "timestamp", "first_byte", "bytes", "fault"], dtype=object)
                     part.insert(0, id_col, key)
                     yield part
 
-    schema = T.StructType([media.schema[id_col]]).add("track", "long").add("timestamp", "long").add("first_byte", "long").add("bytes", "long")
+    schema = T.StructType([media.schema[id_col]]).add("track", "long").add("timestamp", "long").add("first_byte", "long").add("bytes", "long").add("fault", "string")
     return media.select(id_col, media_col).mapInPandas(packets, schema)
 
 
@@ -246,16 +310,23 @@ _DIGEST = T.StructType().add("payload_bytes", "long").add("payload_sha256", "str
 
 
 def digest(media: Column) -> Column:
-    """What a stored file holds, read back packet by packet."""
+    """What a stored file holds, read back packet by packet; null for a null file.
+
+    Of a damaged file the digest is of what stands before the damage, and `feature` ends with the fault.
+    """
 
     @F.pandas_udf(_DIGEST)
     def digests(files: pd.Series) -> pd.DataFrame:
         rows = []
         for data in files:
-            found = read(data)
+            if data is None:
+                rows.append((None,) * len(_DIGEST.names))
+                continue
+            found = read_until_damage(data)
             payload = b"".join(data[at : at + size] for _, _, at, size in found.packets)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(found, payload)))
-        return pd.DataFrame(rows, columns=_DIGEST.names)
+            feature = features(found, payload) + (f";fault={found.fault}" if found.fault else "")
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+        return pd.DataFrame(rows, columns=_DIGEST.names, dtype=object)
 
     return digests(media)
 
@@ -265,5 +336,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Equal texts give equal files. Repeated rows are stored each for itself, texts of any length whole.
     """
+    small_batches(docs.sparkSession)
     text = F.col(text_col)
     return docs.select(F.col(id_col), F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")).alias("n_bytes"), stored(text).alias("media"))
