@@ -9,7 +9,8 @@ draws a segmentation with exactly its probability under the lattice.
 No piece of this vocabulary has a blank after another character, or certain marks after a letter (both are
 read off the vocabulary), so that no edge crosses such places and the lattice falls apart there:
 the node tables of a stretch are built once and shared by all its occurrences, and the walks of a whole batch
-of texts take their steps together. The choices depend on the row's key, the stretch's place in the text and
+of texts take their steps together. A long stretch has no table: one number for each of its nodes is kept, and
+the edges are found anew window by window on the way back. The choices depend on the row's key, the stretch's place in the text and
 the step alone, so that a row's segmentation is the same in any partitioning, order or batch.
 
 Decoding joins the pieces and turns byte pieces back into bytes. The blank sign itself, where a text holds
@@ -18,6 +19,7 @@ it, is spelt in byte pieces, and so decoding gives back every text.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 import re
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import tokenizer_path
+from millrace.runtime import small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 SHARPNESS, SEED = 2.0, 42
@@ -41,8 +44,10 @@ PER_CHAR = 50.0
 BLANK = "▁"
 #: Stretches whose tables are kept, per Python worker, and the longest that is kept.
 TABLE_STRETCHES, KEPT_CHARS = 100_000, 40
-#: UTF-8 bytes of texts that are sampled together; a longer text is sampled alone.
-BATCH_BYTES = 1 << 19
+#: UTF-8 bytes of texts that are sampled together; a longer text is sampled alone, so many stretches at a time.
+BATCH_BYTES, STRETCHES = 1 << 19, 1 << 17
+#: Nodes of a long stretch whose edges are held at once.
+WINDOW = 4096
 _ROLL = np.array([0x9E3779B97F4A7C15], np.uint64)
 
 
@@ -69,7 +74,8 @@ class Lattice:
             raise ValueError("a piece holds a blank inside; stretches can't be cut at blanks")
         after_letter = {b for p in self.pieces for a, b in itertools.pairwise(p) if a.isalpha()}
         marks = "".join(re.escape(c) for c in map(chr, range(128)) if not c.isalpha() and c != " " and c not in after_letter)
-        self.cut = re.compile(rf" *[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+(?=[{marks}])| *[^ ]+| +" if marks else r" *[^ ]+| +").findall
+        pattern = re.compile(rf" *[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+(?=[{marks}])| *[^ ]+| +" if marks else r" *[^ ]+| +")
+        self.cut, self.cuts = pattern.findall, pattern.finditer
         self.rare = (2.0 - min(model.get_score(k) for k in range(n))) ** -sharpness
         self._index()
         self.reset()
@@ -169,38 +175,67 @@ class Lattice:
         self.done = (0, 0)  # nodes and edges that the arrays hold
         self.arrays = [np.zeros(1 << 16, kind) for kind in (np.int64, np.float64, np.int32, np.int64)]
 
-    def add(self, stretch: str) -> int:
-        """Build the nodes of a stretch; the number of its last node."""
-        n, pieces, first = len(stretch), self.pieces, self.nodes
-        sums = [1.0] + [0.0] * n
-        ends, shares, steps, ids = [self.edges], [], [], []  # the first node has no edges
-        for end in range(1, n + 1):
-            edges, total = [], 0.0
-            for start in range(max(0, end - self.longest), end):
-                if (found := pieces.get(stretch[start:end])) is not None:
-                    w = sums[start] * found[1]
-                    edges.append((w, end - start, found[0]))
-                    total += w
-            if not edges or edges[-1][1] > 1:  # no piece for the character alone
-                w = sums[end - 1] * self.rare
-                edges.append((w, 1, -1 - ord(stretch[end - 1])))
-                total += w
-            got = 0.0
-            for w, back, piece in edges:
-                got += w
-                shares.append(got / total)
-                steps.append(back)
-                ids.append(piece)
-            shares[-1] = 1.0
-            self.edges += len(edges)
-            ends.append(self.edges)
-            sums[end] = total
-            if total < 1e-200:  # scale is free: only shares count
-                for k in range(max(0, end - self.longest), end + 1):
-                    sums[k] *= 1e200
-        self.nodes += n + 1
-        self.new.append((ends, shares, steps, ids))
-        return first + n
+    def _window(self, stretch: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Edges into the nodes lo + 1 to hi of a long stretch: where each node's begin, nodes to go back, weights, pieces or -1 - character."""
+        start = max(0, lo - self.longest + 1)
+        chars = np.frombuffer(stretch[start:hi].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n, ends, back, weight, ids = len(chars), [], [], [], []
+        rolled = np.zeros(n, np.uint64)
+        for k in range(min(self.longest, n)):
+            rolled = rolled[: n - k] * _ROLL[0] + chars[k:] + np.uint64(1)
+            found = self._find(rolled)
+            at = np.flatnonzero(found >= 0)
+            ends.append(at + k + 1)
+            back.append(np.full(len(at), k + 1))
+            weight.append(self.piece_weight[found[at]])
+            ids.append(self.piece_id[found[at]])
+            if not k:
+                bare = np.flatnonzero(found < 0)
+                ends.append(bare + 1)
+                back.append(np.ones(len(bare), int))
+                weight.append(np.full(len(bare), self.rare * PER_CHAR))
+                ids.append(-1 - chars[bare].astype(np.int64))
+        end = np.concatenate(ends) + start
+        own = np.flatnonzero(end > lo)
+        own = own[np.argsort(end[own], kind="stable")]
+        first = np.searchsorted(end[own], np.arange(lo + 1, hi + 2))
+        return first, *(np.concatenate(x)[own] for x in (back, weight, ids))
+
+    def _long(self, stretch: str, key: int) -> np.ndarray:
+        """A segmentation of a long stretch: logarithms of the forward sums are kept, edges only of one window at a time."""
+        n, most = len(stretch), self.longest
+        logs, sums, scale = np.zeros(n + 1), [1.0], 0.0  # sums: of the last nodes, each times exp(-scale)
+        for lo in range(0, n, WINDOW):
+            hi = min(n, lo + WINDOW)
+            first, back, weight, _ = (x.tolist() for x in self._window(stretch, lo, hi))
+            got = []
+            for node in range(hi - lo):
+                total = 0.0
+                for k in range(first[node], first[node + 1]):
+                    total += weight[k] * sums[-back[k]]
+                got.append(math.log(total) + scale)
+                sums.append(total)
+                if not 1e-150 < total < 1e150:
+                    sums = [x / total for x in sums[-most:]]
+                    scale += math.log(total)
+            sums = sums[-most:]
+            logs[lo + 1 : hi + 1] = got
+        out, at, step = [], n, 0
+        while at:
+            hi, lo = at, max(0, at - WINDOW)
+            first, back, weight, ids = self._window(stretch, lo, hi)
+            node = np.repeat(np.arange(lo + 1, hi + 1), np.diff(first))
+            bounds = np.cumsum(weight * np.exp(logs[node - back] - logs[node]))  # a node's shares add up to 1
+            u = ((_mix(np.uint64(key) + np.arange(step, step + hi - lo, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+            first, back, ids, bounds = first.tolist(), back.tolist(), ids.tolist(), [0.0, *bounds.tolist()]
+            taken = step
+            while at > lo:
+                a, b = first[at - lo - 1], first[at - lo]
+                edge = bisect.bisect_right(bounds, bounds[a] + u[step - taken] * (bounds[b] - bounds[a]), a + 1, b) - 1
+                out.append(ids[edge])
+                at -= back[edge]
+                step += 1
+        return np.array(out[::-1], np.int64)
 
     def tables(self) -> tuple[np.ndarray, ...]:
         """First edge of each node; of each edge, its node plus the shares up to it, the nodes to go back, the piece."""
@@ -219,21 +254,31 @@ class Lattice:
 
     def sample(self, texts: list[str], keys: list[int], seed: int = SEED) -> list[np.ndarray]:
         """A segmentation of each text as piece ids; a text's key seeds it."""
+        if len(texts) == 1:
+            cuts, out, number = self.cuts(texts[0] and " " + texts[0]), [np.zeros(0, np.int64)], 0
+            while part := [m.group() for m in itertools.islice(cuts, STRETCHES)]:
+                out += self._sample([part], keys, number, seed)
+                number += len(part)
+            return [np.concatenate(out)]
+        return self._sample([self.cut(text and " " + text) for text in texts], keys, 0, seed)
+
+    def _sample(self, parts: list[list[str]], keys: list[int], before: int, seed: int) -> list[np.ndarray]:
+        """Of the stretches of each text; `before` of them come before these."""
         if len(self.ends) > TABLE_STRETCHES:
             self.reset()
-        parts = [self.cut(text and " " + text) for text in texts]
-        self.add_all([x for x in {*itertools.chain(*parts)} - self.ends.keys() if len(x) <= KEPT_CHARS])
-        last = [self.ends.get(x) or self.add(x) for x in itertools.chain(*parts)]
-        if not last:
-            return [np.zeros(0, np.int64) for _ in texts]
+        every = list(itertools.chain(*parts))
+        if not every:
+            return [np.zeros(0, np.int64) for _ in parts]
+        self.add_all([x for x in {*every} - self.ends.keys() if len(x) <= KEPT_CHARS])
+        node = np.array([self.ends.get(x, -1) for x in every])
         first, bounds, back, ids = self.tables()
-        node = np.array(last)
         sizes = np.array([len(p) for p in parts])
-        row = np.repeat(np.arange(len(texts)), sizes)
-        number = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        row = np.repeat(np.arange(len(parts)), sizes)
+        number = before + np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         key = _mix(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64)[row] + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         key = _mix(key + number.astype(np.uint64))
-        live, order, step = np.arange(len(node)), [], 0
+        live, order, step = np.flatnonzero(node >= 0), [], 0
+        long = {int(k): self._long(every[k], int(key[k])) for k in np.flatnonzero(node < 0)}
         while True:
             open_ = first[node[live] + 1] > first[node[live]]
             live = live[open_]
@@ -248,10 +293,14 @@ class Lattice:
         steps = np.zeros(len(node), np.int64)
         for walks, _ in order:
             steps[walks] += 1
+        for k, own in long.items():
+            steps[k] = len(own)
         ends = np.cumsum(steps)
         got = np.zeros(ends[-1], np.int64)
         for k, (walks, chosen) in enumerate(order):
             got[ends[walks] - 1 - k] = chosen  # walks run backwards
+        for k, own in long.items():
+            got[ends[k] - len(own) : ends[k]] = own
         cuts = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
         if self.nodes > 20 * TABLE_STRETCHES:
             self.reset()
@@ -268,8 +317,9 @@ class Lattice:
         parts = np.split(ids, odd)
         return np.concatenate([parts[0], *(np.r_[s, p[1:]] for s, p in zip(spelt, parts[1:], strict=True))]).astype(np.int64)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        parts = (np.asarray(ids[at : at + STRETCHES]).tolist() for at in range(0, len(ids), STRETCHES))
+        return b"".join(b"".join(map(self.bytes_of.__getitem__, p)) for p in parts)[1:].decode("utf-8", "surrogatepass")
 
     def log_probability(self, text: str, ids: list[int]) -> float:
         """Of a segmentation under the lattice; for tests on short texts."""
@@ -316,6 +366,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     Null and empty texts have no pieces. Rows of one id and text get one segmentation. A null id seeds as an empty one.
     Texts of any length are encoded whole; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,13 +384,17 @@ def _key(id_col: str) -> Column:
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
-    """`encoded` with `out`: the text that the pieces spell; null ids give null."""
+    """`encoded` with `out`: the text that the pieces spell; null ids give null, no ids the empty text.
+
+    Repeated rows are decoded each for itself; an `out` that is there already is replaced, other columns stay.
+    """
+    small_batches(encoded.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
         own = _lattice(path, SHARPNESS)
-        return pa.array((own.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in ids), pa.string())  # a row at a time
+        return pa.array((own.decode(x.values.to_numpy()) if x.is_valid else None for x in ids), pa.string())  # a row at a time
 
     return encoded.withColumn(out, text(ids_col))
 
@@ -349,12 +404,13 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Encoding and decoding as in `encode` and `decode`, in one worker, so that ids need not pass between processes.
     """
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _lattice(path, SHARPNESS)
         for part, texts, done in _segmented(own, batches, seed):
-            same = [own.decode(ids.tolist()) == t for ids, t in zip(done, texts, strict=True)]
+            same = [own.decode(ids) == t for ids, t in zip(done, texts, strict=True)]
             crc = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in done]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, done), pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], [id_col, "n_pieces", "ids_crc32", "lossless"])
 
