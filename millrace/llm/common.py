@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A key is hot with more than this share of all rows, and so many at least; it is then dealt to SALTS tasks.
+HOT_SHARE, HOT_ROWS, SALTS = 1 / 1000, 2000, 64
+
 
 def tokenizer_path(name: str) -> str:
     """Where the file `name` of the public tokenizers lies; the files are never copied."""
@@ -20,6 +23,22 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list:
+    """Keys with more than HOT_SHARE of `total` rows: fewer than 1 / HOT_SHARE, whatever the data."""
+    least = max(int(total * HOT_SHARE), HOT_ROWS)
+    return [r[key] for r in counts.where(F.col(n) > least).select(key).collect()] if total > least else []
+
+
+def hot_join(rows: DataFrame, one: DataFrame, key: str, hot: list) -> DataFrame:
+    """Inner join of `rows` with `one`, which has one row for each key; rows of hot keys are dealt to SALTS tasks."""
+    if not hot:
+        return rows.join(one, key)
+    is_hot = F.col(key).isin(hot)
+    left = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    right = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 #: The alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest for characters from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _REST = [b for b in range(256) if b not in _PRINTABLE]

@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import hot_join, hot_keys
 from millrace.llm.graph import components
-from millrace.runtime import Written
+from millrace.runtime import Written, small_batches
 
 SEED = 42
 WORDS = 3
@@ -172,9 +173,18 @@ def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints `fp` at LIMIT or fewer differing bits."""
-    out, masks = [], [0]
-    rows = distinct.select("fp", F.lit(0).alias("route"), F.lit(0).cast("long").alias("key"))
+    """Links (a, b) that join all distinct fingerprints `fp` at LIMIT or fewer differing bits.
+
+    Null fingerprints link with nothing; repeated ones count once. Equal numbers of differing bits need no rule, as
+    every link within LIMIT counts. No fingerprints give no links.
+    """
+    return _near_links(distinct)[0]
+
+
+def _near_links(distinct: DataFrame) -> tuple[DataFrame, tuple[Written, ...]]:
+    """As near_links, with the tables that the links are read from."""
+    out, masks, used = [], [0], []
+    rows = distinct.select("fp", F.lit(0).alias("route"), F.lit(0).cast("long").alias("key")).where("fp is not null").distinct()
     for level in range(3):
         finer = [_blocks(m) for m in masks]
         routes = [F.struct(F.lit(3 * k + j).alias("route"), F.lit(_signed(m)).alias("mask")) for k, own in enumerate(finer) for j, m in enumerate(own)]
@@ -183,28 +193,38 @@ def near_links(distinct: DataFrame) -> DataFrame:
         dealt = rows.select("fp", F.explode(third).alias("_r")).select("fp", "_r.route", F.col("fp").bitwiseAND(F.col("_r.mask")).alias("key"))
         if level < 2:
             large = dealt.groupBy("route", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP_ROWS)
-            marked = Written(dealt.join(large, ["route", "key"], "left"), "routes").df
+            used.append(Written(dealt.join(large, ["route", "key"], "left"), "routes"))
+            marked = used[-1].df
             rows = marked.where(F.col("_n").isNotNull()).select("fp", "route", "key")
             dealt = marked.where(F.col("_n").isNull()).select("fp", "route", "key")
         spread = dealt.repartition("route", "key").sortWithinPartitions("route", "key")
         out.append(spread.select("fp", "route", "key").mapInArrow(_star_links, "a long, b long"))
-    return out[0].union(out[1]).union(out[2])
+    return out[0].union(out[1]).union(out[2]), tuple(used)
 
 
-def _groups(prints: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
-    """(fp, component) of each distinct fingerprint, and (component, _least): the least `order` of each component."""
-    distinct = Written(prints.groupBy("fp").agg(F.min(order).alias("_least")), "distinct").df
-    joined = components(near_links(distinct)).select(F.col("node").alias("fp"), "component")
-    least = distinct.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    return least.select("fp", "component"), least.groupBy("component").agg(F.min("_least").alias("_least"))
+def _groups(prints: DataFrame, order: str) -> tuple[Written, list[int]]:
+    """(fp, component, least `order` of the component) of each distinct fingerprint, and the fingerprints that very many rows have."""
+    distinct = Written(prints.groupBy("fp").agg(F.min(order).alias("_least"), F.count("*").alias("_n")), "distinct")
+    hot = hot_keys(distinct.df, "fp", "_n", distinct.df.agg(F.sum("_n")).first()[0] or 0)
+    links, used = _near_links(distinct.df)
+    joined = components(links, used).select(F.col("node").alias("fp"), "component")
+    least = distinct.df.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = Written(least.select("fp", "component", "_least"), "components")
+    per = Written(least.df.groupBy("component").agg(F.min("_least").alias("component_id"), F.count("*").alias("_n")), "least")
+    wide = hot_keys(per.df, "component", "_n", per.df.agg(F.sum("_n")).first()[0] or 0)
+    of = Written(hot_join(least.df.select("fp", "component"), per.df.select("component", "component_id"), "component", wide), "groups")
+    for spent in (distinct, least, per):
+        spent.drop()
+    return of, hot
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: that of the least id, or any of a null id where no id of the component is known."""
+    small_batches(docs.sparkSession)
     row = F.struct(F.col(id_col).isNull().alias("_null"), F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_at"))
     rows = Written(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), fingerprint_column(F.col(text_col)).alias("fp"), row.alias("_row")), "numbered").df
-    _, per = _groups(rows.select("fp", "_row"), "_row")
-    kept = rows.withColumn("_at", F.col("_row._at")).join(per.select(F.col("_least._at").alias("_at")), "_at", "left_semi")
+    of, _ = _groups(rows.select("fp", "_row"), "_row")
+    kept = rows.withColumn("_at", F.col("_row._at")).join(of.df.select(F.col("component_id._at").alias("_at")).distinct(), "_at", "left_semi")
     return kept.select("_doc.*")
 
 
@@ -216,9 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is known). Repeated rows share a component. An empty table gives no rows; other columns are
     not read.
     """
+    small_batches(docs.sparkSession)
     prints = Written(docs.select(F.col(id_col).alias("_id"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints").df
-    least, per = _groups(prints, "_id")
-    per = per.withColumnRenamed("_least", "component_id")
-    of = least.select("fp", "component").join(per, "component").select("fp", "component_id")
-    out = prints.join(of, "fp")
+    of, hot = _groups(prints, "_id")
+    out = hot_join(prints, of.df.select("fp", "component_id"), "fp", hot)
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
