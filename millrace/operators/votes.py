@@ -72,9 +72,9 @@ def strict_majority(samples: DataFrame, key: list[str], parts: list[str]) -> Dat
 
 
 def verdict_majority(verdicts: DataFrame, key: list[str], verdict: str) -> DataFrame:
-    """pass or fail by majority; a tie passes only with more passes than fails."""
+    """fail where more than half of the verdicts are, else pass; a tie passes."""
     fails = F.count_if(F.col(verdict) == "fail")
-    return verdicts.groupBy(*key).agg(F.when(fails * 2 >= F.count("*"), "fail").otherwise("pass").alias("verdict"))
+    return verdicts.groupBy(*key).agg(F.when(fails * 2 > F.count("*"), "fail").otherwise("pass").alias("verdict"))
 
 
 def defect_union(defects: DataFrame, key: list[str], judge: str, kind: str, position: str, members: str) -> DataFrame:

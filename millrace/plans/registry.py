@@ -422,7 +422,7 @@ def thread_votes(spark, d):
     return votes.strict_majority(table(spark, d, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus"])
 
 
-@query("SELECT l_orderkey, CASE WHEN 2 * count(*) FILTER (l_returnflag = 'R') >= count(*) THEN 'fail' ELSE 'pass' END AS verdict FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, CASE WHEN 2 * count(*) FILTER (l_returnflag = 'R') > count(*) THEN 'fail' ELSE 'pass' END AS verdict FROM lineitem GROUP BY 1")
 def verdict_votes(spark, d):
     v = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "R", "fail").otherwise("pass").alias("verdict"))
     return votes.verdict_majority(v, ["l_orderkey"], "verdict")
