@@ -37,11 +37,17 @@ def accounts(items: DataFrame, status: str, bad_input: int, scanned: int, genera
 
 
 def main_row(output: Column, meta: Column, mode: str = "inline") -> Column:
-    """JSON of a delivered row: the user's object, with `_meta` inside when inline; null fields are written."""
+    """JSON of a delivered row: the user's object, with `_meta` inside when inline; null fields are written.
+
+    Blanks around the object go. A `_meta` of the user's own gives way; such a row's keys come in their order.
+    """
     if mode != "inline":
         return output
-    body = F.substring(output, 2, F.length(output) - 2)
-    return F.concat(F.lit("{"), F.when(F.length(F.trim(body)) > 0, F.concat(body, F.lit(","))).otherwise(""), F.lit('"_meta":'), F.to_json(meta, {"ignoreNullFields": "false"}), F.lit("}"))
+    given = F.try_parse_json(output)
+    own = F.try_variant_get(given, "$", "map<string,variant>")
+    clean = F.when(F.try_variant_get(given, "$._meta", "variant").isNull(), output).otherwise(F.to_json(F.map_filter(own, lambda k, _: k != "_meta")))
+    body = F.regexp_replace(F.regexp_replace(clean, "^\\s*\\{\\s*", ""), "\\s*\\}\\s*$", "")
+    return F.concat(F.lit("{"), F.when(body != "", F.concat(body, F.lit(","))).otherwise(""), F.lit('"_meta":'), F.to_json(meta, {"ignoreNullFields": "false"}), F.lit("}"))
 
 
 def redacted(payload: Column, tier: str, excerpt: int = 200) -> Column:
@@ -58,14 +64,24 @@ def redacted(payload: Column, tier: str, excerpt: int = 200) -> Column:
 
 
 def deliver(df: DataFrame, path: str, text: bool = False) -> None:
-    """Write JSON lines (or, with `text`, the only column as it is) beside `path` and rename, so that a reader sees all of it or nothing."""
+    """Write JSON lines (or, with `text`, the only column as it is) beside `path` and rename, so that a reader sees all of it or nothing.
+
+    What was there before is set aside under another name until the new output is in its place; after a crash
+    between the two renames it is still there whole.
+    """
     spark = df.sparkSession
-    part = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+    mark = uuid.uuid4().hex
+    part, aside = (f"{path.rstrip('/')}.{kind}-{mark}" for kind in ("part", "old"))
     out = df.write.mode("errorifexists")
     out.text(part) if text else out.json(part)
     names = spark._jvm.org.apache.hadoop.fs.Path
     store = names(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if store.exists(names(path)):
-        store.delete(names(path), True)
+    before = store.exists(names(path))
+    if before and not store.rename(names(path), names(aside)):
+        raise OSError(f"{path} can't be set aside")
     if not store.rename(names(part), names(path)):
+        if before:
+            store.rename(names(aside), names(path))
         raise OSError(f"{part} can't be renamed to {path}")
+    if before:
+        store.delete(names(aside), True)
