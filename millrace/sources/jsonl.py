@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.runtime import Written
+
 
 class InputError(ValueError):
     """The input holds nothing to work on, or a bad row where the policy is to fail."""
@@ -21,23 +23,35 @@ def field(raw: Column, dotted: str) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, line_no, line) of a file, or of a folder's *.jsonl files, not deeper.
+    """(source_file, line_no, line, sound) of a file, or of a folder's *.jsonl files, not deeper.
 
-    Line numbers come from byte order inside a file: whole files are read, so that one file is one unit of
-    work; large inputs should be many files.
+    Files are split into blocks that are read at once; a line's number comes from its place in its block and the
+    lines of the blocks before it. `sound` is false for a line that is no UTF-8; its bad bytes are replaced.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path)
-    rows = F.split(F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "\\n\\z", ""), "\\n")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.posexplode(rows).alias("_p", "line")).select("source_file", (F.col("_p") + 1).alias("line_no"), "line")
+    names = spark._jvm.org.apache.hadoop.fs.Path
+    single = names(path).getFileSystem(spark._jsc.hadoopConfiguration()).isFile(names(path))
+    reader = spark.read.option("lineSep", "\n")
+    lines = (reader if single else reader.option("pathGlobFilter", "*.jsonl")).text(path)
+    raw = lines.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("_v"))
+    stored = Written(raw, "lines").df  # numbers are counted and taken from the same reading
+    blocks = stored.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    placed = stored.join(blocks.select("_file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before")), ["_file", "_block"])
+    text = F.col("_v").cast("string")
+    return placed.select(
+        F.element_at(F.split(F.col("_file"), "/"), -1).alias("source_file"), (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"),
+        F.make_valid_utf8(text).alias("line"), F.is_valid_utf8(text).alias("sound"),
+    )
 
 
 def classify_lines(lines: DataFrame, text_field: str = "text", line: str = "line") -> DataFrame:
-    """`lines` with text and bad: null, not_json, not_object or no_text. Blank lines go."""
-    rows = lines.where(F.trim(line) != "")
+    """`lines` with text and bad: null, not_utf8, not_json, not_object or no_text. Blank lines go."""
+    rows = lines.where(~F.col(line).rlike("^\\s*$"))
     parsed = F.try_parse_json(line)
     kind = F.schema_of_variant(parsed)
-    bad = F.when(parsed.isNull(), "not_json").when(~kind.startswith("OBJECT"), "not_object").when(F.col("text").isNull(), "no_text")
-    return rows.withColumn("text", field(F.col(line), text_field)).withColumn("bad", bad)
+    sound = F.col("sound") if "sound" in lines.columns else F.lit(True)
+    bad = F.when(~sound, "not_utf8").when(parsed.isNull(), "not_json").when(~kind.startswith("OBJECT"), "not_object").when(F.col("text").isNull(), "no_text")
+    return rows.withColumn("text", field(F.col(line), text_field)).withColumn("bad", bad).drop("sound")
 
 
 def records(lines: DataFrame, on_bad: str = "skip", limit: int | None = None, order: tuple[str, ...] = ("source_file", "line_no")) -> tuple[DataFrame, DataFrame]:
@@ -56,9 +70,10 @@ def first_valid(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
 def batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """`rows` with seq (from 1, in order) and batch_no: slices of `size` rows.
 
-    Ranks are added up over range partitions, so that no task sees all rows.
+    Ranks are added up over range partitions, so that no task sees all rows. The parted rows are written once, so
+    that ranks and bounds are of one reading.
     """
-    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
+    ranged = Written(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()), "ranged").df
     own = Window.partitionBy("_p").orderBy(*order)
     ranked = ranged.withColumn("_r", F.row_number().over(own))
     bounds = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
