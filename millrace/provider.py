@@ -9,6 +9,7 @@ from __future__ import annotations
 import email.utils
 import json
 import random
+import re
 import time
 import urllib.error
 import urllib.request
@@ -20,6 +21,8 @@ from threading import Lock
 #: What a service answers when a prompt is too long, and finish reasons of cut-off answers.
 OVERFLOW_WORDS = ("context length", "context_length", "maximum context", "too many tokens", "prompt is too long")
 CUT_OFF = ("length", "max_tokens")
+#: Longest rest of a key that was told to slow down, and statuses below 500 that are worth another try.
+LONGEST_REST_S, AGAIN = 300.0, (408, 409, 429)
 
 
 class ProviderError(RuntimeError):
@@ -69,23 +72,20 @@ def answer_of(profile: Profile, reply: dict) -> str:
 
 
 def retry_after(value: str | None, now: float) -> float | None:
-    """Seconds that a Retry-After header asks for: a number or a date; null where it says nothing of use."""
-    if not value:
-        return None
-    try:
-        return max(0.0, float(value))
-    except ValueError:
-        pass
-    try:
-        return max(0.0, email.utils.parsedate_to_datetime(value).timestamp() - now)
-    except (TypeError, ValueError):
+    """Seconds that a Retry-After header asks for: a number or a date; None where it says nothing of use."""
+    said = (value or "").strip()
+    if re.fullmatch(r"[+-]?\d+(\.\d*)?", said):
+        wanted = float(said)
+    elif date := email.utils.parsedate_tz(said):
+        wanted = email.utils.mktime_tz(date) - now
+    else:
         return None
+    return max(0.0, wanted)
 
 
 def delay(attempt: int, base: float, rng: random.Random, most: float = 60.0) -> float:
-    """Doubling delay with half of it by chance."""
-    full = min(most, base * 2**attempt)
-    return full / 2 + rng.random() * full / 2
+    """Anything up to a doubling limit, by chance."""
+    return rng.random() * min(most, base * 2**attempt)
 
 
 @dataclass
@@ -96,6 +96,7 @@ class Keys:
     busy: dict[str, int] = field(default_factory=dict)
     rest: dict[str, float] = field(default_factory=dict)
     gone: set[str] = field(default_factory=set)
+    streak: dict[str, int] = field(default_factory=dict)  # answers in a row that told a key to slow down
     lock: Lock = field(default_factory=Lock)
 
     def take(self, now: float) -> tuple[str | None, float]:
@@ -111,8 +112,12 @@ class Keys:
             self.busy[key] = self.busy.get(key, 0) + 1
             return key, 0.0
 
-    def give_back(self, key: str, rest_until: float = 0.0, refused: bool = False) -> None:
+    def slowed(self, key: str) -> int:
+        return self.streak.get(key, 0)
+
+    def give_back(self, key: str, rest_until: float = 0.0, refused: bool = False, slow: bool = False) -> None:
         with self.lock:
+            self.streak[key] = self.streak.get(key, 0) + 1 if slow else 0
             self.busy[key] -= 1
             self.rest[key] = max(self.rest.get(key, 0.0), rest_until)
             if refused:
@@ -187,13 +192,16 @@ class HttpJudge:
             status, headers, content = self.send(p.base_url.rstrip("/") + path, {"Content-Type": "application/json"} | auth, data, p.timeout_s)
             pause = delay(attempt, p.base_delay_s, self.rng)
             asked = retry_after(next((v for k, v in headers.items() if k.lower() == "retry-after"), None), self.clock())
-            self.keys.give_back(key, self.clock() + (asked if asked is not None else pause) if status == 429 else 0.0, status in (401, 403))
+            rest = 0.0
+            if status == 429:
+                rest = self.clock() + (asked if asked is not None else delay(self.keys.slowed(key), p.base_delay_s, self.rng, LONGEST_REST_S))
+            self.keys.give_back(key, rest, status in (401, 403), status == 429)
             text = content.decode("utf-8", "replace")
             if status == 200:
                 return answer_of(p, json.loads(text))
             if status == 400 and any(w in text.lower() for w in OVERFLOW_WORDS):
                 raise ProviderError("context_overflow", text[:200])
-            if 400 <= status < 500 and status not in (401, 403, 408, 429):
+            if 400 <= status < 500 and status not in (401, 403, *AGAIN):
                 raise ProviderError("provider_fatal", f"{status} {text[:200]}")
             last = f"{status} {text[:200]}"
             if status not in (401, 403, 429) and attempt < p.retries:
