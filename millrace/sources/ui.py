@@ -107,26 +107,60 @@ def parse_tree(data: str) -> list[dict] | None:
             below = obj.get("children")
             stack += [(c, node["node_id"], depth + 1) for c in reversed(below if isinstance(below, list) else []) if isinstance(c, dict)]
         return out
-    nodes = [_node(obj, str(no), None, ()) for no, obj in rows]
-    known = {n["node_id"] for n in nodes}
-    below: dict[str, list[int]] = {}
-    roots = []
-    for k, n in enumerate(nodes):
-        if n["parent_id"] is None or n["parent_id"] not in known:
-            roots.append(k)
+    return _in_depth_order([_node(obj, str(no), None, ()) for no, obj in rows]) or None
+
+
+def _in_depth_order(nodes: list[dict]) -> list[dict]:
+    """Nodes that name their parents, each before what is below it and after what is below its earlier siblings.
+
+    A node's place is that of its parent, and one, and the sizes of its earlier siblings with all below them. Of nodes
+    with one id the first is the parent. Where the way up ends in a ring, a node is a root if it comes before all above it
+    in the file; such roots come last.
+    """
+    named = {n["node_id"]: k for k, n in reversed(list(enumerate(nodes)))}
+    above = [named.get(n["parent_id"], -1) if n["parent_id"] is not None else -1 for n in nodes]
+    level = [k for k in range(len(nodes)) if above[k] < 0]
+    met = [-1] * len(nodes)  # the walk in which a node was met last
+    least: dict[int, int] = {}  # the first in the file of those above a node whose way up ends in a ring
+    for start in range(len(nodes)):
+        way, at = [], start
+        while at >= 0 and met[at] < 0:
+            met[at] = start
+            way.append(at)
+            at = above[at]
+        if at >= 0 and met[at] == start:  # a new ring
+            ring = way[way.index(at) :]
+            least |= dict.fromkeys(ring, min(ring))
+        for k in reversed(way):
+            if k not in least and above[k] in least:
+                least[k] = min(above[k], least[above[k]])
+    cut = [k for k, first in sorted(least.items()) if k <= first]
+    for k in cut:
+        above[k] = -1
+    level += cut
+    below: list[list[int]] = [[] for _ in nodes]
+    for k, parent in enumerate(above):
+        if parent >= 0:
+            below[parent].append(k)
+    by_depth, depth = [], 0
+    while level:
+        by_depth += [(k, depth) for k in level]
+        level, depth = [c for k in level for c in below[k]], depth + 1
+    size = [1] * len(nodes)
+    for k, _ in reversed(by_depth):
+        if above[k] >= 0:
+            size[above[k]] += size[k]
+    taken = [1] * len(nodes)  # places from a node on that it and its placed children have
+    out: list[dict] = [{}] * len(nodes)
+    place, free = [0] * len(nodes), 0
+    for k, depth in by_depth:
+        if above[k] < 0:
+            place[k], free = free, free + size[k]
         else:
-            below.setdefault(n["parent_id"], []).append(k)
-    seen: set[int] = set()
-    for start in [*roots, *range(len(nodes))]:
-        stack = [(start, 0)]
-        while stack:
-            k, depth = stack.pop()
-            if k in seen:
-                continue
-            seen.add(k)
-            out.append(nodes[k] | {"depth": depth})
-            stack += [(c, depth + 1) for c in reversed(below.get(nodes[k]["node_id"], []))]
-    return out or None
+            place[k] = place[above[k]] + taken[above[k]]
+            taken[above[k]] += size[k]
+        out[place[k]] = nodes[k] | {"depth": depth}
+    return out
 
 
 def json_children(line: str) -> bool:
