@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold
+from millrace.llm.common import fold, hash_first
 from millrace.runtime import Written, small_batches
 
 #: Bounds of the fit: training rows of either label, stems, lexicon voters.
@@ -223,26 +223,28 @@ def _training_rows(labels: DataFrame, id_col: str, toxic_col: str = "toxic") ->
     return rows.where((fold(F.col("_id"), 5) != 0) & F.col("_id").isNotNull() & F.col("toxic").isin(0, 1))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str = "toxic", n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, n_unknown: int = SAMPLE_UNKNOWN) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str = "toxic", n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, n_unknown: int = SAMPLE_UNKNOWN) -> tuple[DataFrame, dict[int, int]]:
     """(_id, toxic, text) of at most n_toxic + n_clean labelled training rows and n_unknown others (toxic -1), by hash order of the id.
 
-    Rows with a null id or label, and of the held-out fold, don't take part; a null text counts as empty. The rows
-    without a label are those among the first SOUGHT * n_unknown training documents; there may be fewer. An id with
-    several labels is drawn for each, repeated documents of a drawn id all come.
+    Also returns how many labelled training rows there are of either kind. Rows with a null id or label, and of the
+    held-out fold, don't take part; a null text counts as empty. The rows without a label are those among the first
+    SOUGHT * n_unknown training documents; there may be fewer. An id with both labels is drawn for each; of the
+    documents that repeat a drawn id the least text counts.
     """
     train = _training_rows(labels, id_col, toxic_col)
-    order = [F.xxhash64("_id"), F.col("_id")]
+    there = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     own = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull() & (fold(F.col("_id"), 5) != 0))
-    first = Written(own.orderBy(*order).limit(SOUGHT * n_unknown).distinct(), "toxic-first")
+    first = Written(hash_first(own, "_id", SOUGHT * n_unknown, own.count()), "toxic-first")
     told = labels.select(F.col(id_col).alias("_id")).join(F.broadcast(first.df), "_id", "left_semi").distinct()  # at most SOUGHT * n_unknown ids
-    unknown = first.df.join(F.broadcast(told), "_id", "left_anti").orderBy(*order).limit(n_unknown).select("_id", F.lit(-1).alias("toxic"))
-    picked = train.where("toxic = 1").orderBy(*order).limit(n_toxic).union(train.where("toxic = 0").orderBy(*order).limit(n_clean)).union(unknown)
-    picked = Written(picked, "toxic-sample")
+    unknown = first.df.join(F.broadcast(told), "_id", "left_anti").orderBy(F.xxhash64("_id"), "_id").limit(n_unknown).select("_id", F.lit(-1).alias("toxic"))
+    toxic, clean = (hash_first(train.where(F.col("toxic") == k), "_id", n, there.get(k, 0)) for k, n in ((1, n_toxic), (0, n_clean)))
+    picked = Written(toxic.union(clean).union(unknown), "toxic-sample")
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = Written(texts.join(F.broadcast(picked.df), "_id").select("_id", "toxic", "text"), "toxic-texts").df  # ids of the bounded sample
+    drawn = texts.join(F.broadcast(picked.df), "_id").groupBy("_id", "toxic").agg(F.min("text").alias("text"))  # ids of the bounded sample
+    out = Written(drawn, "toxic-texts").df
     first.drop()
     picked.drop()
-    return out
+    return out, there
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,10 +268,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> Model:
     """Fit on the bounded sample; the driver gets stem counts (MAX_STEMS) and a presence row for each sample row."""
     small_batches(docs.sparkSession)
-    sample = training_sample(docs, labels, id_col, text_col, **bounds)
+    sample, there = training_sample(docs, labels, id_col, text_col, **bounds)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    there = {r["toxic"]: r["n"] for r in _training_rows(labels, id_col).groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     if not n1 or not n0:
         return Model({}, 40.0 if n1 else -40.0)
     told = sample.where("toxic >= 0").select("toxic", "text")
@@ -285,12 +286,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({
+                "place": batch["place"],
                 "toxic": batch["toxic"],
                 "hits": [sorted(place[s] for s in stems_of(t) if s in place) for t in batch["text"]],
                 "shape": [pattern_votes(t) for t in batch["text"]],
             })
 
-    got = sample.orderBy("_id", "toxic", "text").select("toxic", "text").mapInPandas(seen, "toxic int, hits array<int>, shape array<int>").collect()
+    placed = sample.select(F.xxhash64("_id", "toxic", "text").alias("place"), "toxic", "text")
+    got = sorted(placed.mapInPandas(seen, "place long, toxic int, hits array<int>, shape array<int>").collect())
     label = np.array([r["toxic"] for r in got])
     x = np.zeros((len(got), len(stems)))
     for k, r in enumerate(got):
