@@ -102,3 +102,49 @@ def keyframes(n: Column, k: int) -> Column:
     """Positions of at most k frames out of n, the first and the last among them."""
     spread = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (n - 1) / (k - 1)).cast("int"))
     return F.when(n <= 0, F.array().cast("array<int>")).when(n <= k, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(spread)
+
+
+def fragment_keyframes(lens: Column, k: int) -> Column:
+    """Positions of at most k frames of a thread of fragments of these lengths, each fragment with one at least.
+
+    What k leaves beyond one frame a fragment is shared by length less one, whole parts first, then by the largest
+    rest, earlier fragments first. A fragment spreads its own evenly; one alone is its first, in the last fragment
+    its last. With more fragments than k frames, or one fragment, the frames are spread over the whole.
+    """
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda s, x: s + x.cast("int"))
+
+    def quotas(n: Column) -> Column:
+        m = F.size(lens)
+        spare, weight = F.lit(k) - m, n - m
+        share = F.transform(lens, lambda x, i: F.struct((-((x - 1) * spare % weight)).alias("rest"), i.alias("i"), F.floor((x - 1) * spare / weight).cast("int").alias("whole")))
+        left = spare - F.aggregate(share, F.lit(0), lambda s, x: s + x["whole"])
+        lucky = F.transform(F.slice(F.array_sort(share), 1, F.greatest(left, F.lit(0))), lambda x: x["i"])
+        return F.transform(share, lambda x: F.struct(x["i"], (x["whole"] + 1 + F.array_contains(lucky, x["i"]).cast("int")).alias("q")))
+
+    def picks(n: Column) -> Column:
+        def own(x: Column) -> Column:
+            size = F.get(lens, x["i"])
+            start = total(F.slice(lens, F.lit(1), x["i"]))
+            alone = F.array(F.when(x["i"] == F.size(lens) - 1, size - 1).otherwise(F.lit(0)))
+            many = F.transform(F.sequence(F.lit(0), x["q"] - 1), lambda j: F.floor(j * (size - 1) / F.greatest(x["q"] - 1, F.lit(1))).cast("int"))
+            return F.transform(F.when(x["q"] == 1, alone).otherwise(many), lambda p: p + start)
+
+        return F.flatten(F.transform(quotas(n), own))
+
+    n = total(lens)
+    return F.when((n <= k) | (F.size(lens) <= 1) | (F.size(lens) > k), keyframes(n, k)).otherwise(picks(n))
+
+
+def lookup(raw: Column, dotted: str) -> Column:
+    """struct(state, value) of a dotted path in a JSON text: missing, null or there, and the value as JSON."""
+    path = "$" + "".join(f".{p}" for p in dotted.split("."))
+    found = F.try_variant_get(F.try_parse_json(raw), path, "variant")
+    state = F.when(found.isNull(), "missing").when(F.is_variant_null(found), "null").otherwise("there")
+    return F.struct(state.alias("state"), F.when(state == "there", F.to_json(found)).alias("value"))
+
+
+def passed_through(raw: Column, fields: list[str]) -> Column:
+    """map of the given top-level fields that a JSON text has, values as JSON; a null value is there."""
+    each = F.array(*[F.struct(F.lit(f).alias("k"), lookup(raw, f).alias("v")) for f in fields]) if fields else F.array().cast("array<struct<k:string,v:struct<state:string,value:string>>>")
+    return F.map_from_entries(F.transform(F.filter(each, lambda x: x["v"]["state"] != "missing"), lambda x: F.struct(x["k"], F.coalesce(x["v"]["value"], F.lit("null")))))

@@ -6,6 +6,8 @@ Candidates share a bucket; the greedy rule is settled in rounds, each through wr
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +21,8 @@ from millrace.sources.jsonl import batches
 #: Similarity at which texts, pictures and vectors are duplicates.
 TEXT_THRESHOLD, PERMUTATIONS, NGRAM, IMAGE_BITS, VECTOR_THRESHOLD = 0.85, 128, 5, 8, 0.95
 _PRIME = (1 << 31) - 1
+#: Nodes of a bucket whose pairs are all compared at once, and rounds whose tables are read side by side.
+FEW, COMPACT = 24, 8
 
 
 def exact(records: DataFrame, seq: str, digest: Column, record: str) -> DataFrame:
@@ -69,32 +73,54 @@ def _coefficients(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def greedy(buckets: DataFrame, compare) -> DataFrame:
+def greedy(buckets: DataFrame, compare, few: int = FEW) -> DataFrame:
     """(later, earlier, similarity) of every dropped node and each kept earlier node that it matches.
 
     buckets: (seq, bucket), several for a node; nodes of one bucket are candidates. compare: takes pairs
-    (later, earlier) and gives those that match, with similarity. In each round the nodes that are the first
-    open ones of all their buckets are kept, and every later node of these buckets is compared with them
-    alone, so that a bucket of n nodes of which k are kept costs n * k comparisons, never n * n.
+    (later, earlier) and gives those that match, with similarity. Pairs of buckets of at most `few` nodes are
+    compared at once, so many for a node as it has buckets, times `few`; only matches go on. In each round those
+    nodes are kept that match no open earlier one there and are the first open ones of all their larger buckets;
+    every later node of these is compared with them alone, so that a bucket of n nodes of which k are kept costs n * k
+    comparisons, never n * n. Rounds are as many as the longest chain of matches, or of heads of large buckets.
     """
-    buckets = Written(buckets.distinct(), "buckets").df
-    open_, found = Written(buckets.select("seq").distinct(), "open"), None
+    first = buckets.distinct()
+    sized = Written(first.join(first.groupBy("bucket").agg(F.count("*").alias("_n")), "bucket"), "buckets").df
+    small, large = sized.where((F.col("_n") > 1) & (F.col("_n") <= few)), Written(sized.where(F.col("_n") > few).select("seq", "bucket"), "large").df
+    pairs = small.select(F.col("seq").alias("later"), "bucket").join(small.select(F.col("seq").alias("earlier"), "bucket"), "bucket").where("later > earlier")
+    edges = Written(compare(pairs.select("later", "earlier").distinct()), "edges").df
+    some, any_large = not edges.isEmpty(), not large.isEmpty()
+    open_, kept, hits = Written(sized.select("seq").distinct(), "open"), [], [edges.limit(0)]
     while not open_.df.isEmpty():
-        live = buckets.join(open_.df, "seq", "left_semi")
-        first = live.groupBy("bucket").agg(F.min("seq").alias("_first"))
-        heads = live.join(first, "bucket").groupBy("seq").agg(F.bool_and(F.col("seq") == F.col("_first")).alias("_head")).where("_head").select(F.col("seq").alias("earlier"))
+        waiting = []
+        if some:
+            own = edges.join(open_.df.withColumnRenamed("seq", "later"), "later", "left_semi").join(open_.df.withColumnRenamed("seq", "earlier"), "earlier", "left_semi")
+            waiting.append(own.select(F.col("later").alias("seq")))
+        if any_large:
+            live = large.join(open_.df, "seq", "left_semi")
+            heads_of = live.groupBy("bucket").agg(F.min("seq").alias("_first"))
+            waiting.append(live.join(heads_of, "bucket").where("seq > _first").select("seq"))
+        heads = open_.df
+        for w in waiting:
+            heads = heads.join(w.distinct(), "seq", "left_anti")
         heads = Written(heads, "heads").df
-        of = buckets.join(heads, buckets["seq"] == heads["earlier"]).select("bucket", "earlier")
-        pairs = buckets.join(of, "bucket").where("seq > earlier").select(F.col("seq").alias("later"), "earlier").distinct()
-        hits = Written(compare(pairs), "hits").df
-        found = hits if found is None else found.union(hits)
-        left = open_.df.join(heads.select(F.col("earlier").alias("seq")).union(hits.select("later")).distinct(), "seq", "left_anti")
-        step = Written(left, "open")
+        kept.append(heads)
+        gone = heads
+        if some:
+            gone = gone.union(edges.join(heads.withColumnRenamed("seq", "earlier"), "earlier", "left_semi").select("later"))
+        if any_large:
+            of = large.join(heads, "seq").select("bucket", F.col("seq").alias("earlier"))
+            told = compare(large.join(of, "bucket").where("seq > earlier").select(F.col("seq").alias("later"), "earlier").distinct())
+            hits.append(Written(told, "hits").df)
+            gone = gone.union(hits[-1].select("later"))
+        step = Written(open_.df.join(gone.distinct(), "seq", "left_anti"), "open")
         open_.drop()
         open_ = step
-    if found is None:
-        return compare(buckets.select(F.col("seq").alias("later"), F.col("seq").alias("earlier")).where(F.lit(False)))
-    return found
+        if len(kept) > COMPACT:  # long unions are slow to plan
+            kept, hits = ([Written(reduce(DataFrame.union, parts), "compact").df] for parts in (kept, hits))
+    open_.drop()
+    if some and kept:
+        hits.append(edges.join(reduce(DataFrame.union, kept).withColumnRenamed("seq", "earlier"), "earlier", "left_semi").select("later", "earlier", "similarity"))
+    return reduce(DataFrame.union, hits).distinct()
 
 
 def best(hits: DataFrame, order: Column) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.chains import chain
+from millrace.runtime import Written
+
 
 def in_order(frames: DataFrame, key: list[str], seq: str, order: str) -> DataFrame:
     """`frames` with `late`: whether the order key lies below one seen before in its partition.
@@ -15,20 +18,28 @@ def in_order(frames: DataFrame, key: list[str], seq: str, order: str) -> DataFra
     return frames.withColumn("late", F.coalesce(F.col(order) < F.max(order).over(before), F.lit(False)))
 
 
-def sessions(frames: DataFrame, lane: list[str], seq: str, order: str, record: str, boundary: str | None = None, gap_s: float = 300, max_len: int = 200) -> DataFrame:
+def sessions(frames: DataFrame, lane: list[str], seq: str, order: str, record: str, boundary: str | None = None, gap_s: float = 300, max_len: int = 200, step: str | None = None, gap_steps: int = 0, file: str | None = None, max_span_s: float = 0, limited: bool = False) -> DataFrame:
     """One row a session: lane, session_id, first and last seq, len, cause.
 
     `lane` parts the input so that no session crosses it and each lane is walked on its own; inside a lane a
-    new session begins at a change of `boundary`, at a gap above gap_s, and after max_len frames.
+    new session begins at a change of `boundary`, at a gap above gap_s, at a step above gap_steps (in one file only,
+    where `file` is given), beyond max_span_s from its first frame, and after max_len frames. 0 switches a rule off.
+    `limited`: the input was cut off by a limit, which then is why the last session of a lane ends.
     """
     own = Window.partitionBy(*lane).orderBy(seq)
     before = F.lag(order).over(own)
     moved = F.lag(boundary).over(own).isNotNull() & ~F.col(boundary).eqNullSafe(F.lag(boundary).over(own)) if boundary else F.lit(False)
     why = F.when(moved, "key").when(F.col(order) - before > gap_s, "gap")
+    if step and gap_steps:
+        same = F.col(file).eqNullSafe(F.lag(file).over(own)) if file else F.lit(True)
+        why = why.when(same & (F.col(step) - F.lag(step).over(own) > gap_steps), "gap")
     marked = frames.withColumn("_why", why)
     marked = marked.withColumn("_run", F.sum(F.when(F.col("_why").isNotNull(), 1).otherwise(0)).over(own))
     inside = Window.partitionBy(*lane, "_run").orderBy(seq)
-    marked = marked.withColumn("_part", F.floor((F.row_number().over(inside) - 1) / max_len) if max_len else F.lit(0))
+    if max_span_s:
+        marked = _span_parts(marked, [*lane, "_run"], seq, order, max_len, max_span_s)
+    else:
+        marked = marked.withColumn("_part", F.floor((F.row_number().over(inside) - 1) / max_len) if max_len else F.lit(0))
     closed = marked.groupBy(*lane, "_run", "_part").agg(
         F.min(seq).alias("first_seq"),
         F.max(seq).alias("last_seq"),
@@ -36,14 +47,29 @@ def sessions(frames: DataFrame, lane: list[str], seq: str, order: str, record: s
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, record))), lambda x: x[record].cast("string")), "\n"), 256).alias("_sha"),
         F.min_by("_why", seq).alias("_began"),
     )  # a session holds max_len records at most
+    if max_span_s:
+        closed = closed.withColumn("_began", F.coalesce("_began", F.lit("max_span")))
     nxt = F.lead("_began").over(Window.partitionBy(*lane).orderBy("first_seq"))
     follows = F.lead("first_seq").over(Window.partitionBy(*lane).orderBy("first_seq"))
-    cause = F.when(F.col("len") == max_len, "max_len").when(follows.isNull(), "eof").otherwise(nxt)
+    cause = F.when(F.col("len") == max_len, "max_len").when(follows.isNull(), "limit" if limited else "eof").otherwise(nxt)
     again = F.row_number().over(Window.partitionBy("_sha").orderBy("first_seq")) - 1
     out = closed.withColumn("cause", cause).withColumn("repeat", again)
     return out.select(*lane, F.substring("_sha", 1, 16).alias("session_id"), "repeat", "first_seq", "last_seq", "len", "cause")
 
 
+def _span_parts(marked: DataFrame, run: list[str], seq: str, order: str, max_len: int, max_span_s: float) -> DataFrame:
+    """`marked` with `_part`: cuts of each run by span and length. Order keys don't fall inside a run; null ones span nothing."""
+    place = F.row_number().over(Window.partitionBy(*run).orderBy(seq)).cast("long")
+    rows = Written(marked.withColumn("_at", place), "runs").df
+    micros = F.round(F.col(order) * 1_000_000).cast("long")
+    reach = F.max("_at").over(Window.partitionBy(*run).orderBy(micros).rangeBetween(0, round(max_span_s * 1_000_000)))
+    following = F.greatest(reach, F.col("_at")) + 1
+    nexts = rows.select(*run, "_at", (F.least(following, F.col("_at") + max_len) if max_len else following).alias("_next"))
+    heads = chain(nexts, run, "_at", "_next").withColumn("_head", F.lit(1))
+    headed = rows.join(heads, [*run, "_at"], "left")
+    return headed.withColumn("_part", F.sum(F.coalesce("_head", F.lit(0))).over(Window.partitionBy(*run).orderBy("_at"))).drop("_at", "_head")
+
+
 def window_spans(length: Column, width: int) -> Column:
     """array<struct(start, end)>: windows of `width` frames that share one frame with the next."""
     starts = F.filter(F.sequence(F.lit(0), F.greatest(length - 2, F.lit(0)), F.lit(width - 1)), lambda s: (s == 0) | (s < length - 1))
@@ -72,6 +98,25 @@ def packed_windows(costs: Column, budget: int, cap: int) -> Column:
     return F.when(size > 0, walked).otherwise(F.array().cast(item))
 
 
+def budget_windows(frames: DataFrame, lane: list[str], pos: str, cost: str, budget: float, cap: int) -> DataFrame:
+    """(lane, start, end): windows as `packed_windows` makes them, of lanes of any length. pos counts from 0 in each lane.
+
+    A window takes frames while they fit the budget and the cap, two at least; the next begins with its last frame.
+    """
+    rows = frames.select(*lane, F.col(pos).cast("long").alias("_at"), F.col(cost).cast("double").alias("_c"))
+    inside = Window.partitionBy(*lane).orderBy("_at")
+    rows = rows.withColumn("_sum", F.sum("_c").over(inside)).withColumn("_n", F.max("_at").over(Window.partitionBy(*lane)) + 1)
+    rows = rows.withColumn("_from", F.col("_sum") - F.col("_c"))
+    rows = Written(rows, "costs").df
+    near = rows.select(*lane, F.col("_at").alias("start"), "_n", "_from", F.explode(F.sequence("_at", F.least(F.col("_at") + cap - 1, F.col("_n") - 1))).alias("_at"))  # `cap` frames at most
+    fits = near.join(rows.select(*lane, "_at", "_sum"), [*lane, "_at"]).where(F.col("_sum") - F.col("_from") <= budget)
+    last = fits.groupBy(*lane, "start").agg(F.max("_at").alias("_last"))
+    ends = rows.select(*lane, F.col("_at").alias("start"), "_n").join(last, [*lane, "start"], "left")
+    end = F.least(F.greatest(F.coalesce(F.col("_last") + 1, F.lit(0)), F.col("start") + 2), F.col("_n"))
+    ends = Written(ends.select(*lane, "start", end.alias("end"), F.when(end < F.col("_n"), end - 1).alias("_next")), "ends").df
+    return ends.join(chain(ends, lane, "start", "_next"), [*lane, "start"]).select(*lane, "start", "end")
+
+
 def stitched_relations(judged: DataFrame, session: str, pos: str, start: str, relation: str) -> DataFrame:
     """One relation for each frame: that of the latest window that saw it."""
     return judged.groupBy(session, pos).agg(F.max_by(relation, start).alias(relation))
