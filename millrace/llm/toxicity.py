@@ -110,12 +110,14 @@ class LabelModel:
     def fit(votes: np.ndarray, start: np.ndarray, labels: np.ndarray | None = None, weight: np.ndarray | None = None, rounds: int = 60, forests: int = 3) -> LabelModel:
         """Expectation maximisation from `start`, a first posterior for each row that says which class is which.
 
-        The forest is chosen anew between runs of EM, up to `forests` times: first none, then the heaviest one over
-        pairs whose dependence within the classes is worth its parameters.
+        The forest is the heaviest one over pairs whose dependence within the classes is worth its parameters. It is
+        chosen from the labelled rows' first posteriors (all rows' where there are no labels), as EM without it would
+        take two copies of one voter for the class; then anew between runs of EM, `forests` times in all.
         """
-        n, m = votes.shape
+        n = len(votes)
         weight = np.ones(n) if weight is None else weight * (n / weight.sum())
-        own, q = LabelModel(parent=np.full(m, -1)), start
+        told = np.ones(n, bool) if labels is None or not (labels >= 0).any() else labels >= 0
+        own, q = LabelModel(parent=_forest(votes[told], start[told], weight[told])), start
         for k in range(forests):
             own.likelihood.clear()
             for _ in range(rounds):

@@ -333,3 +333,297 @@ def test_oracle(spark, name):
     from compare import agree
 
     agree(spark, SF, queries.QUERIES[name], queries.ORACLES[name])
+
+
+# what the round after the first added
+def test_label_model_against_enumeration():
+    """Posterior and likelihood of a forest of four voters, by summing the joint distribution out."""
+    from itertools import product
+
+    from millrace.llm.toxicity import LabelModel
+
+    rng = np.random.default_rng(4)
+    n, share = 6000, 0.3
+    y = (rng.random(n) < share).astype(int)
+    fire = lambda p1, p0: np.where(rng.random(n) < np.where(y == 1, p1, p0), 1, 0)
+    a, b, c = fire(0.7, 0.05), fire(0.6, 0.1), fire(0.5, 0.05)
+    copy = np.where(rng.random(n) < 0.95, a, 1 - a)
+    votes = np.c_[a, copy, b, c]
+    model = LabelModel.fit(votes, np.where(a + b + c >= 2, 0.9, 0.1))
+    assert {tuple(sorted((k, int(p)))) for k, p in enumerate(model.parent) if p >= 0} == {(0, 1)}  # the copy leans on what it copies
+    assert abs(model.share - share) < 0.04 and abs(model.accuracy[0, 1, 2] - 0.7) < 0.06 and abs(model.accuracy[2, 0, 2] - 0.1) < 0.03
+    joint = {}
+    for cls, *v in product((0, 1), (0, 1, 2), (0, 1, 2), (0, 1, 2), (0, 1, 2)):
+        p = model.share if cls else 1 - model.share
+        for k in range(4):
+            p *= model.table[k, cls, v[model.parent[k]] if model.parent[k] >= 0 else 0, v[k]]
+        joint[cls, *v] = p
+    assert abs(sum(joint.values()) - 1) < 1e-9
+    got = model.posterior(votes[:200])
+    for q, v in zip(got, votes[:200] + 1, strict=True):
+        assert abs(q - joint[1, *v] / (joint[0, *v] + joint[1, *v])) < 1e-9
+    pair = model.posterior(np.array([[1, 1, 0, 0], [1, 0, 0, 0]]))
+    assert pair[0] < 0.9  # two voters that are one count about once: 0.7 * 0.3 / (0.7 * 0.3 + 0.05 * 0.7) is 0.857 before the silent ones
+    assert all(later > before - 1e-5 for before, later in zip(model.likelihood, model.likelihood[1:], strict=False))
+
+
+def test_posterior_leaves_labels_where_voters_disagree():
+    from millrace.llm.toxicity import LabelModel
+
+    rng = np.random.default_rng(6)
+    n = 4000
+    y = (rng.random(n) < 0.2).astype(int)
+    votes = np.stack([np.where(rng.random(n) < np.where(y == 1, 0.6, 0.01), 1, 0) for _ in range(6)], 1)
+    label = np.where(rng.random(n) < 0.1, 1 - y, y)  # a tenth is mislabelled
+    label[n // 2 :] = -1
+    known = label >= 0
+    model = LabelModel.fit(votes, np.where(known, np.where(label > 0, 0.9, 0.05), 0.2), label)
+    found = model.posterior(votes) > 0.5
+    wrong = known & (label != y)
+    assert (found[wrong] == y[wrong]).mean() > 0.9 and (found == y).mean() > 0.97
+    assert 0.8 < model.labelled[1, 1] < 0.97  # the labels' accuracy is estimated
+
+
+def test_dense_kernel_equals_nystrom_with_all_landmarks(spark, monkeypatch):
+    """Kernel ridge regression by the full kernel matrix, against the operator's features."""
+    rng = random.Random(1)
+    stems = {"en": ["the", "ing", "was", "hat"], "fr": ["les", "eau", "que", "oui"], "de": ["der", "sch", "ung", "ein"]}
+    rows = [(k, " ".join("".join(rng.choices(stems[lang], k=2)) for _ in range(6)), lang) for k, lang in enumerate(rng.choices(sorted(stems), k=60))]
+    monkeypatch.setattr(langid, "LANDMARKS", 3 * 60)
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    train = [r for r in rows if crc(r[0], 3) != 1]
+    x = np.zeros((len(train), langid.BUCKETS), np.float32)
+    for k, r in enumerate(train):
+        langid.presence(r[1], x[k])
+    size = np.sqrt(x.sum(1))
+    kernel = (x @ x.T) / size / size[:, None]
+    langs = sorted(stems)
+    own = np.array([langs.index(r[2]) for r in train])
+    weight = len(own) / 3 / np.bincount(own)[own]
+    target = np.where(own[:, None] == np.arange(3), 1.0, -1.0)
+    penalty = langid.RIDGE  # as many landmarks as rows
+    # minimise sum_i w_i (f(x_i) + b - t_i)^2 + penalty |f|^2: f = K alpha
+    n = len(own)
+    left = np.block([[kernel + penalty * np.diag(1 / weight), np.ones((n, 1))], [np.ones((1, n)), -np.full((1, 1), 1e-6)]])
+    alpha = np.linalg.solve(left, np.vstack([target, np.zeros((1, 3))]))
+    value = kernel @ alpha[:n] + alpha[n:]
+    texts = [r[1] for r in train]
+    best, score = model.scores(texts)
+    odds = np.exp(langid.SHARPNESS * (value - value.max(1, keepdims=True)))
+    odds /= odds.sum(1, keepdims=True)
+    assert (best == value.argmax(1)).all() and np.abs(score - odds.max(1)).max() < 1e-3
+
+
+def test_emoji_are_no_letters(spark):
+    rows = [(k, "the cat sat on the mat", "en") for k in range(9)] + [(20, "\U0001f600\U0001f1e9\U0001f1ea", None), (21, "\U0001f600 \U00020000", None), (22, "\U0001d7d8 12", None), (23, "\U00010400\U00010401", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[20] == got[22] == ("und", 0.0) and got[21][0] == got[23][0] == "en"
+
+
+def test_secrets_of_a_text_with_many_matches(spark):
+    import time
+
+    rng = random.Random(2)
+    text = " ".join(f"{rng.getrandbits(128):032x} password: {rng.getrandbits(60):x}" for _ in range(30_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secrets.scan(df.limit(0)).collect()
+    began = time.perf_counter()
+    got = secrets.scan(df).first()
+    took = time.perf_counter() - began
+    want = plain_spans(text)
+    spelt = ",".join(f"{secrets.KINDS[kind]}:{a}:{b}" for a, kind, b in want)
+    assert got["base_sha256"] == hashlib.sha256(spelt.encode()).hexdigest() and len(want) >= 59_000
+    assert took < 20, took
+    began = time.perf_counter()
+    masked = secrets.redacted(df).first()["text"]
+    assert masked.count(secrets.MASK) == len(want) and not re.search("[0-9a-f]{9}", masked)
+    assert time.perf_counter() - began < 40
+
+
+def test_redaction_against_the_spans(spark):
+    rng = random.Random(7)
+    parts = ["password", "API_KEY", "token", '"', "=", ":", " ", "AKIA", "ABCDEFGH1234", "deadbeef" * 4, "é漢", "\n", "a1b2c3d4e5", "secret: x", "\U0001f600", "aB3" * 9, "x" * 5000]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(400)] + ["", "x" * 20_000 + " password=abcdefgh1 " + "y" * 9000]
+    df = spark.createDataFrame([*enumerate(texts), (9999, None)], "doc_id long, text string").withColumn("start", F_lit("kept"))
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    rows = secrets.redacted(df).collect()
+    assert all(r["start"] == "kept" for r in rows) and df.columns == list(rows[0].asDict())
+    for r in rows:
+        if r["doc_id"] == 9999:
+            assert r["text"] is None
+            continue
+        text, out, at = texts[r["doc_id"]], "", 0
+        for a, b in sorted(tuple(map(int, s.split(":")[1:])) for s in spans[r["doc_id"]].split(",") if s):
+            out += text[at:a] + (secrets.MASK if a >= at else "") if a >= at else ""
+            at = max(at, b)
+        assert r["text"] == out + text[at:]
+
+
+def F_lit(value):
+    from pyspark.sql import functions as F
+
+    return F.lit(value)
+
+
+def test_long_texts_without_blanks():
+    import time
+
+    own = pieces.Lattice(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    text = "".join(rng.choices("漢字仮名交じり文の例", k=200_000))
+    began = time.perf_counter()
+    ids = own.sample([text, "a b"], [5, 6])[0]
+    assert own.decode(ids) == text and time.perf_counter() - began < 15
+    assert (own.sample([text], [5])[0] == ids).all()  # alone or among others
+    many = "word, " * 200_000
+    assert own.decode(own.sample([many], [1])[0]) == many
+
+
+def test_long_and_short_paths_draw_alike(monkeypatch):
+    own = pieces.Lattice(tokenizer_path("piece_bpe_32k.model"))
+    word, n = "thingsthatmatter", 3000
+    short = Counter(tuple(i.tolist()) for i in own.sample([word] * n, list(range(n))))
+    monkeypatch.setattr(pieces, "KEPT_CHARS", 0)
+    own.reset()
+    long = Counter(tuple(i.tolist()) for i in own.sample([word] * n, list(range(n))))
+    for ids, k in long.items():
+        p = np.exp(own.log_probability(word, list(ids)))
+        assert abs(k / n - p) < 4 * np.sqrt(p / n) + 1e-3
+    assert abs(short.most_common(1)[0][1] - long.most_common(1)[0][1]) < 0.05 * n
+    monkeypatch.setattr(pieces, "WINDOW", 3)
+    assert Counter(tuple(i.tolist()) for i in own.sample([word] * n, list(range(n)))) == long
+
+
+def test_encode_and_decode_as_operators(spark):
+    texts = ["the thing", "", None, "漢字 \U0001f600", "x" * 3000, "the thing"]
+    df = spark.createDataFrame([(k if k < 5 else 0, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumn("other", F_lit(1))
+    coded = pieces.encode(df)
+    assert coded.columns == ["doc_id", "text", "ids"]
+    rows = pieces.decode(coded).collect()
+    assert [r["decoded"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))] == [t or "" for t in ["the thing", "the thing", "", None, "漢字 \U0001f600", "x" * 3000]]
+    assert len({tuple(r["ids"]) for r in rows if r["doc_id"] == 0}) == 1
+    assert pieces.encode(df.where("false")).collect() == []
+
+
+def plain_media(data):
+    """(codec, payload, times) by a parser of its own: recursive, sizes and ids read bit by bit."""
+    names = {0x1A45DFA3: 1, 0x18538067: 1, 0x1549A966: 1, 0x1654AE6B: 1, 0xAE: 1, 0x1F43B675: 1, 0xE1: 1, 0xA0: 1}
+
+    def vint(at, keep):
+        first = f"{data[at]:08b}"
+        n = first.index("1") + 1
+        bits = "".join(f"{b:08b}" for b in data[at : at + n])
+        return int(bits if keep else bits[n:], 2), at + n
+
+    payload, times, codec, now = b"", [], None, 0
+
+    def walk(at, end):
+        nonlocal payload, codec, now
+        while at < end:
+            tag, at = vint(at, True)
+            size, at = vint(at, False)
+            body = data[at : at + size]
+            if tag in names:
+                walk(at, at + size)
+            elif tag == 0x86:
+                codec = body.decode()
+            elif tag == 0xE7:
+                now = int.from_bytes(body, "big")
+            elif tag == 0xA3:
+                kind, n = body[3] >> 1 & 3, body[4] + 1 if body[3] >> 1 & 3 else 1
+                frames = body[4:] if not kind else body[5:]
+                if kind == 3 and n > 1:
+                    p, (size0, q) = at + 5, vint(at + 5, False)
+                    for _ in range(n - 2):
+                        _, q = vint(q, False)
+                    frames = data[q : at + size]
+                    assert size0 <= 256 and p < q
+                times.append(now + int.from_bytes(body[1:3], "big", signed=True))
+                payload += frames
+            at += size
+
+    walk(0, len(data))
+    return codec, payload, times
+
+
+def test_media_against_another_parser(spark):
+    for text in ("", "a", "é" * 500, "x" * 5001, "y" * 70_001):
+        data = matroska.write(matroska.payload_of(text))
+        codec, payload, times = plain_media(data)
+        assert codec == "A_PCM/INT/LIT" and payload == matroska.payload_of(text)
+        own = matroska.read(data)
+        assert times == [own.packets[k][1] for k in range(0, len(own.packets), matroska.LACE)]
+    got = result(spark, "op8_media_columns").set_index("doc_id")
+    for r in documents().head(40).itertuples():
+        data = matroska.write(matroska.payload_of(r.text))
+        x = got.loc[r.doc_id]
+        assert (x.media_bytes, x.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        samples = np.frombuffer(plain_media(data)[1], np.uint8).astype(float) - 128
+        assert f"mean={samples.mean():.4f};rms={np.sqrt((samples**2).mean()):.4f}" in x.feature
+
+
+def test_timestamps_of_other_tracks():
+    e, n = matroska.element, matroska.number
+
+    def file(*track, scale=1_000_000):
+        head = e(matroska.INFO, n(matroska.TIMESTAMP_SCALE, scale)) + e(matroska.TRACKS, e(matroska.TRACK, n(matroska.TRACK_NUMBER, 1) + b"".join(track)))
+        return e(matroska.SEGMENT, head + e(matroska.CLUSTER, n(matroska.TIMESTAMP, 100) + e(matroska.SIMPLE_BLOCK, matroska.block(5, [b"a" * 400, b"b" * 800, b"c" * 4]))))
+
+    stereo = e(matroska.CODEC_ID, b"A_PCM/INT/LIT"), e(matroska.AUDIO, e(matroska.SAMPLING, np.array(1000, ">f4").tobytes()) + n(matroska.CHANNELS, 2) + n(matroska.BIT_DEPTH, 16))
+    assert [p[1] for p in matroska.read(file(*stereo)).packets] == [105, 205, 405]
+    assert [p[1] for p in matroska.read(file(n(matroska.DEFAULT_DURATION, 20_000_000))).packets] == [105, 125, 145]
+    assert [p[1] for p in matroska.read(file(e(matroska.CODEC_ID, b"V_VP9"))).packets] == [105, None, None]
+
+
+def test_packet_table_of_sound_and_damaged_files(spark):
+    good = matroska.write(matroska.payload_of("hello " * 2000))
+    rng = random.Random(1)
+    hurt = []
+    for k in range(200):
+        data = bytearray(good)
+        for _ in range(rng.randrange(1, 6)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        hurt.append((100 + k, bytes(data[: rng.randrange(len(data))])))
+    df = spark.createDataFrame([(1, bytes(good)), (2, None), (3, b""), (4, bytes(good[:700])), (5, b"\x00junk"), (1, bytes(good)), *hurt], "id long, media binary").withColumn("track", F_lit("x"))
+    rows = matroska.packet_table(df, "id", "media").collect()
+    sound = [r for r in rows if r["id"] == 1]
+    assert len(sound) == 2 * len(matroska.read(good).packets) and all(r["fault"] is None and good[r["first_byte"] : r["first_byte"] + r["bytes"]] in b"hello " * 2000 + bytes(64) for r in sound)
+    assert not [r for r in rows if r["id"] in (2, 3)]
+    assert [r["fault"] is None for r in rows if r["id"] == 5] == [False]
+    cut = [r for r in rows if r["id"] == 4]
+    assert sum(r["fault"] is not None for r in cut) == 1
+    told = {r["id"]: r["d"] for r in df.select("id", matroska.digest(df["media"]).alias("d")).collect()}
+    assert told[2] is None or told[2]["media_bytes"] is None
+    assert "fault=" in told[5]["feature"] and "fault" not in told[1]["feature"]
+
+
+def test_hot_values_and_stars(spark, monkeypatch):
+    from millrace.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    star = [(0, k) for k in range(1, 300)] + [(300 + k, 301 + k) for k in range(30)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == least_reachable({n for l in star for n in l}, star)
+    texts = [(k, "" if k % 3 else "the same words in every text here") for k in range(200)] + [(500, "an altogether different text about ships")]
+    rows = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    want = least_reachable([k for k, _ in texts], [(a, b) for a, x in texts for b, y in texts if a < b and (plain_print(x) ^ plain_print(y)).bit_count() <= 2])
+    assert {r["doc_id"]: r["component_id"] for r in rows} == want and len(rows) == len(texts)
+
+
+def test_equal_vectors_are_one_node(spark, monkeypatch):
+    from millrace.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((4, 12))
+    near = [(base[0] + rng.standard_normal(12) * 0.05).tolist() for _ in range(5)]
+    rows = [(k, base[k % 2].tolist(), 1) for k in range(120)] + [(200 + k, v, 1) for k, v in enumerate(near)] + [(300, base[0].tolist(), 2), (7, base[2].tolist(), 1), (301, base[2].tolist(), 1)]
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.link_vectors(df).collect()}
+        x = np.array([r[1] for r in rows], np.float32 if kind == "float" else float).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][2] == rows[j][2] and rows[i][0] != rows[j][0] and x[i] @ x[j] >= vectors.THRESHOLD]
+        n = Counter(k for l in links for k in l)
+        want = least_reachable({r[0] for r in rows}, links)
+        assert got == {k: (n[k], c, k == c) for k, c in want.items()}
