@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ranks import ranks
+
 
 def seeds(scored: DataFrame, pool: str, score: str, status: str, explicit: float | None = None, class_thresholds: DataFrame | None = None) -> DataFrame:
     """Active scored rows at or above their pool's threshold, with `seed_threshold`.
@@ -38,8 +40,8 @@ def call_plan(seed_rows: DataFrame, pool: str, item: str, models: list[str], sty
     drawn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.lit("style"), "call_index"), 256), 1, 8), 16, 10).cast("long") % max(1, len(styles))
     style = F.get(F.array(*[F.lit(s) for s in styles]), drawn.cast("int")) if styles else F.lit(None).cast("string")
     # a call takes a run of the pool's seeds in shuffled order, going round
-    order = Window.partitionBy(pool).orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(item).cast("string")), 256))
-    ranked = seed_rows.select(pool, F.col(item).alias("_item"), (F.row_number().over(order) - 1).alias("_r"))
+    keyed = seed_rows.select(pool, F.col(item).alias("_item"), F.sha2(F.concat_ws("|", F.lit(seed), F.col(item).cast("string")), 256).alias("_k"))
+    ranked = ranks(keyed, [pool], [F.col("_k"), F.col("_item")], "_r").select(pool, "_item", (F.col("_r") - 1).alias("_r"))
     slots = calls.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(seeds_per_call), F.col("_seeds")) - 1)))
     slots = slots.withColumn("_r", (F.col("_c") * seeds_per_call + F.col("_slot")) % F.col("_seeds"))
     got = slots.join(ranked, [pool, "_r"]).groupBy("call_index", pool).agg(F.transform(F.array_sort(F.collect_list(F.struct("_slot", "_item"))), lambda x: x["_item"]).alias("seed_ids"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ranks import ranks
+
 #: Fixed values of the fit: pseudo-comparison weight, tolerance, rounds.
 PSEUDO, TOLERANCE, ROUNDS = 0.1, 1e-6, 200
 
@@ -18,10 +20,9 @@ def pairing_plan(items: DataFrame, pool: list[str], item: str, rounds: int, seed
     """
     keyed = items.select(*pool, F.col(item).alias("_i"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     keyed = keyed.withColumn("_k", F.sha2(F.concat_ws("|", F.lit(seed), "round", F.col("_i").cast("string")), 256))
-    own = Window.partitionBy(*pool, "round").orderBy("_k")
-    placed = keyed.withColumn("_n", F.row_number().over(own) - 1).withColumn("_next", F.lead("_i").over(own))
-    pairs = placed.where((F.col("_n") % 2 == 0) & F.col("_next").isNotNull())
-    return pairs.select(*pool, "round", F.col("_i").alias("first"), F.col("_next").alias("second"), (F.substring("_k", 1, 1) < "8").alias("first_is_a"))
+    placed = ranks(keyed, [*pool, "round"], [F.col("_k"), F.col("_i")], "_n")
+    two = placed.groupBy(*pool, "round", F.floor((F.col("_n") - 1) / 2).alias("_pair")).agg(F.min_by("_i", "_n").alias("first"), F.max_by("_i", "_n").alias("second"), F.min_by("_k", "_n").alias("_k"), F.count("*").alias("_both"))
+    return two.where("_both = 2").select(*pool, "round", "first", "second", (F.substring("_k", 1, 1) < "8").alias("first_is_a"))
 
 
 def compose_orders(ab: Column, ba: Column) -> Column:
@@ -85,7 +86,10 @@ def fit_pools(comparisons: DataFrame, pool: list[str], first: str = "first", sec
 
 
 def percentile(value: Column, pool: list[Column | str]) -> Column:
-    """(average rank - 1) / (n - 1) inside the pool; a pool of one scores 0.5. Equal values share their ranks' mean."""
+    """(average rank - 1) / (n - 1) inside the pool; a pool of one scores 0.5. Equal values share their ranks' mean.
+
+    For pools of bounded size, such as a class of one batch; `ranks.percentiles` is for pools of any size.
+    """
     up, all_ = Window.partitionBy(*pool).orderBy(value), Window.partitionBy(*pool)
     peers = F.count(F.lit(1)).over(Window.partitionBy(*pool, value))
     n = F.count(F.lit(1)).over(all_)
@@ -108,12 +112,16 @@ def threshold_gate(aggregate: Column, threshold: float, on_unscored: str = "keep
 def top_ratio(scored: DataFrame, pool: list[str], aggregate: str, item: str, ratio: float, on_unscored: str = "keep") -> DataFrame:
     """`scored` with rank and status: the best ceil(ratio * n) of each pool's scored rows stay, ties by item."""
     known = F.col(aggregate).isNotNull()
-    own = Window.partitionBy(*pool, known).orderBy(F.desc(aggregate), item)
-    n = F.count("*").over(Window.partitionBy(*pool, known))
-    ranked = scored.withColumn("rank", F.when(known, F.row_number().over(own))).withColumn("_quota", F.ceil(F.lit(ratio) * n))
+    marked = scored.withColumn("_known", known)
+    ranked = ranks(marked, [*pool, "_known"], [F.desc(aggregate), F.col(item)])
+    quota = marked.where("_known").groupBy(*[F.col(c).alias(f"_in_{c}") for c in pool]).agg(F.ceil(F.lit(ratio) * F.count("*")).alias("_quota"))
+    same = F.lit(True)
+    for c in pool:
+        same = same & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
+    ranked = ranked.join(quota, same, "left").withColumn("rank", F.when(F.col("_known"), F.col("rank")))
     unscored = "active" if on_unscored == "keep" else "dropped_lowq"
-    status = F.when(~known, unscored).when(F.col("rank") <= F.col("_quota"), "active").otherwise("dropped_lowq")
-    return ranked.withColumn("status", status).drop("_quota")
+    status = F.when(~F.col("_known"), unscored).when(F.col("rank") <= F.col("_quota"), "active").otherwise("dropped_lowq")
+    return ranked.withColumn("status", status).select(*[c for c in scored.columns if c not in ("rank", "status")], "rank", "status")
 
 
 def score_report(scores: DataFrame, pool: str, criterion: str, score: str) -> DataFrame:

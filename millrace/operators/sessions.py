@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.chains import chain
+from millrace.operators.ranks import ranks
 from millrace.runtime import Written
 
 
@@ -52,8 +53,8 @@ def sessions(frames: DataFrame, lane: list[str], seq: str, order: str, record: s
     nxt = F.lead("_began").over(Window.partitionBy(*lane).orderBy("first_seq"))
     follows = F.lead("first_seq").over(Window.partitionBy(*lane).orderBy("first_seq"))
     cause = F.when(F.col("len") == max_len, "max_len").when(follows.isNull(), "limit" if limited else "eof").otherwise(nxt)
-    again = F.row_number().over(Window.partitionBy("_sha").orderBy("first_seq")) - 1
-    out = closed.withColumn("cause", cause).withColumn("repeat", again)
+    out = ranks(closed.withColumn("cause", cause), ["_sha"], [F.col("first_seq"), *[F.col(c) for c in lane]], "repeat")  # the commonest short session may be a large part of all
+    out = out.withColumn("repeat", F.col("repeat") - 1)
     return out.select(*lane, F.substring("_sha", 1, 16).alias("session_id"), "repeat", "first_seq", "last_seq", "len", "cause")
 
 

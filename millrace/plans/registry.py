@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as text_fn
-from millrace.operators import dedup, generate, quality, sessions, votes
+from millrace.operators import dedup, generate, quality, ranks, sessions, votes
 from millrace.runtime import table
 from millrace.sinks import emit
 from millrace.sources import jsonl
@@ -205,12 +205,14 @@ def judge_windows(spark, d):
     return n.select("user_id", F.explode(sessions.window_spans(F.col("n"), 20)).alias("w")).select("user_id", F.col("w.start").cast("long").alias("start"), F.col("w.end").cast("long").alias("end"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER w - 1 AS pos, length(props) + 3 AS c, sum(length(props) + 3) OVER w AS s, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT a.user_id, a.pos AS "start", a.n, least(greatest(coalesce((SELECT max(b.pos) + 1 FROM e b WHERE b.user_id = a.user_id AND b.pos >= a.pos AND b.pos < a.pos + 20 AND b.s - (a.s - a.c) <= 120), 0), a.pos + 2), a.n) AS "end" FROM e a),
+w AS (SELECT user_id, "start", "end", n FROM g WHERE "start" = 0 UNION ALL SELECT g.user_id, g."start", g."end", g.n FROM w JOIN g ON g.user_id = w.user_id AND g."start" = w."end" - 1 WHERE w."end" < w.n)
+SELECT user_id, "start", "end" FROM w""")
 def packed_windows(spark, d):
-    """Windows packed by cost under a budget."""
-    e = table(spark, d, "events")
-    costs = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.length("props").alias("c")))), lambda x: x["c"] + 3).alias("costs"))
-    return costs.select("user_id", F.explode(sessions.packed_windows(F.col("costs"), 120, 20)).alias("w")).select("user_id", "w.start", "w.end")
+    """Windows packed by cost under a budget, whatever the length of a stream."""
+    costs = table(spark, d, "events").select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("pos"), (F.length("props") + 3).alias("c"))
+    return sessions.budget_windows(costs, ["user_id"], "pos", "c", 120, 20)
 
 
 _REL = "CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'context_switch' WHEN (SELECT max(event_type) FROM events) THEN 'interruption' ELSE 'continues' END"
@@ -314,7 +316,7 @@ SELECT doc_id, CASE WHEN quality IS NULL THEN NULL WHEN n = 1 THEN 0.5 ELSE (rk
 def percentiles(spark, d):
     """Percentile scores by average rank; unscored rows count for the ranks and have no score."""
     rows = _scores(spark, d).withColumn("v", F.col("n_chars") % 50)
-    return rows.withColumn("pct", quality.percentile(F.col("v"), ["lang"])).select("doc_id", F.when(F.col("quality").isNotNull(), F.col("pct")).alias("pct"))
+    return ranks.percentiles(rows, ["lang"], "v").select("doc_id", F.when(F.col("quality").isNotNull(), F.col("pct")).alias("pct"))
 
 
 _LONG = f"WITH {SCORES}, c(criterion, weight) AS (VALUES ('clarity', 1.0::DOUBLE), ('depth', 1.5::DOUBLE), ('form', 0.5::DOUBLE)), l AS (SELECT doc_id, lang, criterion, weight, CASE WHEN (doc_id + length(criterion)) % 5 <> 0 THEN score END AS score FROM scores, c)"

@@ -221,16 +221,6 @@ def repair_ladders(spark, d):
     return o.select("o_orderkey", step.alias("s")).select("o_orderkey", "s.frames", "s.px")
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER w - 1 AS pos, length(props) + 3 AS c, sum(length(props) + 3) OVER w AS s, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-g AS (SELECT a.user_id, a.pos AS "start", a.n, least(greatest(coalesce((SELECT max(b.pos) + 1 FROM e b WHERE b.user_id = a.user_id AND b.pos >= a.pos AND b.pos < a.pos + 20 AND b.s - (a.s - a.c) <= 120), 0), a.pos + 2), a.n) AS "end" FROM e a),
-w AS (SELECT user_id, "start", "end", n FROM g WHERE "start" = 0 UNION ALL SELECT g.user_id, g."start", g."end", g.n FROM w JOIN g ON g.user_id = w.user_id AND g."start" = w."end" - 1 WHERE w."end" < w.n)
-SELECT user_id, "start", "end" FROM w""")
-def budget_windows(spark, d):
-    """Windows packed by cost under a budget, whatever the length of a stream."""
-    costs = table(spark, d, "events").select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("pos"), (F.length("props") + 3).alias("c"))
-    return sessions.budget_windows(costs, ["user_id"], "pos", "c", 120, 20)
-
-
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6 AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events),
 g AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY user_id ORDER BY pos) > 40000 OR step > 400 THEN 1 ELSE 0 END AS brk FROM e),
 r AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM g),
