@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from pathlib import Path
 
@@ -27,6 +28,10 @@ def main(argv: list[str] | None = None) -> int:
         if name == "run":
             for table in VERDICTS:
                 p.add_argument(f"--{table}", help="Parquet table of verdicts")
+            p.add_argument("--judge", help="base URL of a live judge, for all verdicts")
+            p.add_argument("--model")
+            p.add_argument("--wire", choices=("chat", "messages"), default="chat")
+            p.add_argument("--key-env", action="append", default=[], help="environment variable that holds a key; may be repeated")
     p = commands.add_parser("estimate")
     p.add_argument("records", type=int)
     p = commands.add_parser("rubric")
@@ -39,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(estimate.estimate(args.records, estimate.Run())))
         return 0
     try:
-        config = config_.load(*[Path(c).read_text() for c in args.config], overrides={"run": {"input": args.input, "output": args.output}})
+        config = config_.load(*[Path(c).read_text() for c in args.config], config_.from_environment(dict(os.environ)), overrides={"run": {"input": args.input, "output": args.output}})
     except (config_.ConfigError, OSError) as error:
         print(error, file=sys.stderr)
         return 2
@@ -48,10 +53,14 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
+    from millrace.plans.live import run_live
     from millrace.plans.run import Verdicts, run
 
     try:
         spark = SparkSession.builder.getOrCreate()
+        if args.judge:
+            print(json.dumps(run_live(spark, config, _judge(args), limit=args.limit)))
+            return 0
         verdicts = Verdicts(**{t: spark.read.parquet(path) for t in VERDICTS if (path := getattr(args, t))})
         print(json.dumps(run(spark, config, verdicts, limit=args.limit, strict=True)))
     except config_.ConfigError as error:
@@ -66,5 +75,13 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def _judge(args: argparse.Namespace):
+    """Maker of the live judge; keys are read where the command is run and go to the tasks with it."""
+    from millrace.provider import HttpJudge, Profile
+
+    profile = Profile("default", args.judge, args.model or "", tuple(os.environ.get(k, "") for k in args.key_env) or ("",), args.wire)
+    return lambda: HttpJudge(profile)
+
+
 if __name__ == "__main__":
     sys.exit(main())

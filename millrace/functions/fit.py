@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +16,7 @@ from millrace.functions.text import ASCII_PER_TOKEN, CJK_RANGES, OTHER_PER_TOKEN
 
 #: Overhead of a message, the marker of left-out lines, cost of a window's difference line.
 MESSAGE_TOKENS, MARKER, DIFF_TOKENS, INFLATION = 4, "…(truncated {n} lines)", 128, 1.2
+NODES_LEFT = "…(truncated {n} nodes)"
 #: An answer that lost over this many characters and more than a fifth in repair is taken as damaged.
 LOSS_CHARS, LOSS_SHARE = 40, 0.8
 
@@ -45,6 +48,36 @@ def fitted(text: str, budget: int, keep: str = "head") -> str:
     return build(low)
 
 
+def capped_tree(lines: str, most: int, size: Callable[[str], int] = len) -> str:
+    """A screen's lines cut at line ends to `most` by `size` (characters, or `estimate`), with how many nodes are left out.
+
+    A text that ends with such a marker already adds its nodes to the new one. The marker alone stays where nothing fits.
+    """
+    if size(lines) <= most:
+        return lines
+    rows = lines.split("\n")
+    gone = 0
+    if marked := re.fullmatch(NODES_LEFT.replace("{n}", r"(\d+)").replace("(truncated", r"\(truncated").replace("nodes)", r"nodes\)"), rows[-1]):
+        gone, rows = int(marked[1]), rows[:-1]
+
+    def build(k: int) -> str:
+        return "\n".join([*rows[:k], NODES_LEFT.format(n=gone + len(rows) - k)])
+
+    low, high = 0, len(rows) - 1
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if size(build(middle)) <= most else (low, middle - 1)
+    return build(low)
+
+
+def capped_tree_column(lines: Column, most: int, tokens: bool = False) -> Column:
+    @F.pandas_udf(T.StringType())
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else capped_tree(t, most, estimate if tokens else len))
+
+    return cut(lines)
+
+
 def fit_column(text: Column, budget: int, keep: str = "head") -> Column:
     @F.pandas_udf(T.StringType())
     def fit(texts: pd.Series) -> pd.Series:

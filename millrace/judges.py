@@ -35,6 +35,29 @@ def ask(plan: DataFrame, make: Callable[[], Judge], key: list[str], prompt: str
     return plan.select(*key, prompt).mapInPandas(run, f"{fields}, answer string, problem string")
 
 
+def embedded(rows: DataFrame, make: Callable, key: list[str], text: str, head_chars: int = 0, together: int = 64) -> DataFrame:
+    """(key, embedding, problem) of every row by a maker of `embed`, `together` texts a call; texts are cut to head_chars, if any.
+
+    A failing call is a problem of its rows; they have no vector and are near to nothing.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for batch in batches:
+            for at in range(0, len(batch), together):
+                part = batch.iloc[at : at + together]
+                out = part[key].copy()
+                try:
+                    got = model.embed([(t or "")[: head_chars or None] for t in part[text]])
+                    out["embedding"], out["problem"] = [list(map(float, v)) for v in got], None
+                except Exception as error:  # the rows carry it on
+                    out["embedding"], out["problem"] = None, f"{type(error).__name__}: {error}"
+                yield out
+
+    fields = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in key)
+    return rows.select(*key, text).mapInPandas(run, f"{fields}, embedding array<double>, problem string")
+
+
 def first_object(text: str) -> str | None:
     """The first JSON object in a text, fenced or not; from its first brace on where it never closes."""
     body = text.strip()

@@ -91,3 +91,18 @@ def zero_based(rows: DataFrame, column: str, declared: list[str]) -> DataFrame:
     spark = rows.sparkSession
     names = spark.range(1).select(F.explode(F.array(*[F.lit(d) for d in declared])).alias(column))
     return names.join(rows.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def first_verdicts(items: DataFrame, verdicts: DataFrame, key: list[str], order: str, verdict: str, default: str) -> DataFrame:
+    """`items` with the first verdict of each key by `order`; `default` where there is none."""
+    first = verdicts.groupBy(*key).agg(F.min_by(verdict, order).alias("_v"))
+    return items.join(first, key, "left").withColumn(verdict, F.coalesce("_v", F.lit(default))).drop("_v")
+
+
+def class_gate(items: DataFrame, views: DataFrame, label: str, aggregate: str, threshold: float, on_unscored: str = "keep") -> DataFrame:
+    """`items` with status by their class's own threshold and rule, else the general ones. views: (label, threshold, on_unscored), a row a class."""
+    own = views.select(label, F.col("threshold").alias("_t"), F.col("on_unscored").alias("_u"))
+    rows = items.join(F.broadcast(own), label, "left")  # the project's classes
+    unscored = F.when(F.coalesce("_u", F.lit(on_unscored)) == "keep", "active").otherwise("dropped_lowq")
+    gate = F.when(F.col(aggregate).isNull(), unscored).when(F.col(aggregate) >= F.coalesce("_t", F.lit(threshold)), "active").otherwise("dropped_lowq")
+    return rows.withColumn("status", gate).drop("_t", "_u")

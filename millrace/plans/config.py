@@ -107,6 +107,45 @@ def load(*documents: str, overrides: dict[str, dict[str, Any]] | None = None) ->
     return Config(values, classes, digest)
 
 
+def from_environment(environ: dict[str, str], prefix: str = "MILLRACE_") -> str:
+    """TOML of the variables named <prefix><SECTION>__<KEY>; values that are no TOML value are texts."""
+    sections: dict[str, list[str]] = {}
+    for name, value in sorted(environ.items()):
+        section, mark, key = name.removeprefix(prefix).lower().partition("__")
+        if name.startswith(prefix) and mark:
+            try:
+                tomllib.loads(f"x = {value}")
+            except tomllib.TOMLDecodeError:
+                value = json.dumps(value, ensure_ascii=False)
+            sections.setdefault(section, []).append(f"{key} = {value}")
+    return "\n".join(f"[{s}]\n" + "\n".join(keys) for s, keys in sections.items())
+
+
+def example_faults(examples: list[dict], shape: dict, check=None) -> list[str]:
+    """Faults of worked examples (each with `output`) against the project's own shape and check, before anything runs."""
+    from millrace.functions import shapes
+    from millrace.judges import violations
+
+    out = [f"output.schema: {w} isn't checked here" for w in shapes.unknown_words(shape)]
+    for k, example in enumerate(examples, 1):
+        told = shapes.faults(example.get("output"), shape)
+        if not told and check is not None:
+            try:
+                told = violations(check(example["output"]))
+            except Exception as error:  # the user's code
+                told = [f"{type(error).__name__}: {error}"]
+        out += [f"examples {k}: {t}" for t in told[:1]]
+    return out
+
+
+def prompt_faults(static_tokens: dict[str, int], window: int, max_output: int) -> list[str]:
+    """Calls whose fixed prompt alone (by name) is beyond the budget of a declared window; 0 declares none."""
+    if not window:
+        return []
+    budget = window - max_output - max(256, -(-window // 10))
+    return [f"{name}: {n} tokens before any record, {budget} allowed" for name, n in static_tokens.items() if n > budget]
+
+
 def _combinations(v: dict[str, dict[str, Any]], classes: dict) -> list[str]:
     """Rules between sections."""
     names = [c["name"] if isinstance(c, dict) else c for c in v["classify"]["classes"]]

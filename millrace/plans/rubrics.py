@@ -30,3 +30,17 @@ RUBRICS = {
 def criteria(spark: SparkSession, name: str) -> DataFrame:
     """(pool, criterion, weight, ord, question) of a rubric."""
     return spark.createDataFrame([(name, c, w, k, q) for k, (c, w, q) in enumerate(RUBRICS[name])], "pool string, criterion string, weight double, ord int, question string")
+
+
+#: What 0 to 5 points of a criterion mean; the words hold for every criterion.
+LEVELS = ("nothing of it", "hardly any of it", "some of it, with large gaps", "enough of it to be of use", "much of it, with small gaps", "as much of it as one could ask for")
+
+
+def levels(name: str) -> dict[str, list[str]]:
+    """Six levels of each criterion of a rubric."""
+    return {c: [f"{k}: {c}: {words}" for k, words in enumerate(LEVELS)] for c, _, _ in RUBRICS[name]}
+
+
+def level_faults(rubric: dict[str, list[str]]) -> list[str]:
+    """Criteria of a project's own rubric that can't be scored in points, as they don't have six levels."""
+    return [f"{c}: six levels expected, not {len(own)}" for c, own in rubric.items() if len(own) != len(LEVELS)]

@@ -86,3 +86,18 @@ def require_some(rows: DataFrame) -> DataFrame:
     if rows.isEmpty():
         raise InputError("no valid record in the input")
     return rows
+
+
+def scan_counts(spark: SparkSession, path: str) -> int:
+    """Lines that aren't blank, without reading anything into them: how many records an input has at most."""
+    names = spark._jvm.org.apache.hadoop.fs.Path
+    single = names(path).getFileSystem(spark._jsc.hadoopConfiguration()).isFile(names(path))
+    reader = spark.read.option("lineSep", "\n")
+    return (reader if single else reader.option("pathGlobFilter", "*.jsonl")).text(path).where(~F.col("value").rlike("^\\s*$")).count()
+
+
+def seed_pool(spark: SparkSession, texts: list[str], count: int | None = None) -> DataFrame:
+    """(seq, text) of a project's own seeds, in order; without seeds, `count` rows with null text, for calls that show none."""
+    if texts:
+        return spark.createDataFrame(list(enumerate(texts, 1)), "seq long, text string")
+    return spark.range(1, (count or 0) + 1).select(F.col("id").alias("seq"), F.lit(None).cast("string").alias("text"))

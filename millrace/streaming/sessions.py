@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def live_sessions(events: DataFrame, key: str, ts: str, gap: str = "300 seconds", late: str = "10 minutes") -> DataFrame:
-    """(key, start, end, len) of event-time sessions; rows later than the watermark are left to the late channel."""
+    """(key, start, end, len) of event-time sessions; rows later than the watermark are dropped; `live_order` tells and counts rows out of order."""
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("len")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "len")
 
 
@@ -15,3 +19,21 @@ def live_counts(events: DataFrame, kind: str, ts: str, width: str = "1 hour", sl
     """Counts of each kind in tumbling or sliding windows."""
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     return events.withWatermark(ts, late).groupBy(window.alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n")
+
+
+def live_order(events: DataFrame, key: str, order: str) -> DataFrame:
+    """`events` with `late`: whether a row's order lies below one that its key had before, in this batch or an earlier one.
+
+    The state of a key is one number, the largest order so far; rows of a batch are taken in the order they come.
+    """
+    fields = ", ".join(f"`{n}` {t}" for n, t in events.dtypes)
+
+    def mark(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        top = state.get[0] if state.exists else float("-inf")
+        for part in parts:
+            before = part[order].cummax().shift(fill_value=float("-inf")).clip(lower=top)
+            top = max(top, part[order].max())
+            yield part.assign(late=part[order] < before)
+        state.update((float(top),))
+
+    return events.groupBy(key).applyInPandasWithState(mark, f"{fields}, late boolean", "top double", "append", GroupStateTimeout.NoTimeout)
