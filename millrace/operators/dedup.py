@@ -182,11 +182,12 @@ def nearest_vector(probes: DataFrame, index: DataFrame, seq: str, vector: str, t
     Blocks of probes meet blocks of the index as matrices; each meeting returns one row a probe at most. Ties go
     to the earlier index row. earlier: only index rows that came before the probe count.
     """
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(seq).alias("seq"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").withColumn(name, F.pmod(F.xxhash64("seq"), F.lit(_parts(df, block))))
-
-    a, b = blocks(probes, "i"), blocks(index, "j")
     n_i, n_j = _parts(probes, block), _parts(index, block)
+
+    def blocks(df: DataFrame, name: str, parts: int) -> DataFrame:
+        return df.select(F.col(seq).alias("seq"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").withColumn(name, F.pmod(F.xxhash64("seq"), F.lit(parts)))
+
+    a, b = blocks(probes, "i", n_i), blocks(index, "j", n_j)
     a = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_j - 1)))).select(F.col("i").cast("long"), F.col("j").cast("long"), F.lit(0).alias("side"), "seq", "v")
     b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)))).select(F.col("i").cast("long"), F.col("j").cast("long"), F.lit(1).alias("side"), "seq", "v")
 

@@ -54,7 +54,12 @@ def dedup_exact(spark, d):
     return dedup.exact(docs, "doc_id", F.sha2("text", 256), "doc_id").drop("text")
 
 
-@query()
+_NORMAL = r"sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')))"
+
+
+@query(f"""
+WITH n AS (SELECT doc_id, {_NORMAL} AS h FROM documents), f AS (SELECT h, min(doc_id) AS first FROM n GROUP BY 1)
+SELECT doc_id, CASE WHEN doc_id <> first THEN 'exact' ELSE 'unique' END AS kind, substr(n.h, 1, 16) AS cluster_key, CASE WHEN doc_id <> first THEN first END AS kept_id FROM n JOIN f ON n.h = f.h""")
 def dedup_exact_normalized(spark, d):
     """Exact verdict over normalised texts, as runs take it; `dedup_exact` is the one over raw texts that its SQL fixes."""
     docs = table(spark, d, "documents").select("doc_id", text_fn.normalized(F.coalesce("text", F.lit(""))).alias("text"))
