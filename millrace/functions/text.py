@@ -38,6 +38,11 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(composed, SPACE + "+", " "))
 
 
+def sequence_text(members: Column) -> Column:
+    """The text by which sequences are compared: their members' normalised texts with U+001E between them."""
+    return F.array_join(F.transform(members, lambda t: F.coalesce(t, F.lit(""))), "\u001e")
+
+
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct character n-grams; a text of n characters or fewer is its only one, an empty text has none."""
     grams = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))

@@ -35,12 +35,28 @@ def title(nodes: Column) -> Column:
     return F.get(F.filter(F.transform(shown(nodes), lambda n: n["text"]), lambda t: t != ""), 0)
 
 
+def dedup_text(nodes: Column, quantize: int = 4) -> Column:
+    """The text by which screens are compared: their lines with quantised bounds."""
+    return linear(nodes, quantize)
+
+
 def entities(nodes: Column) -> Column:
     """Distinct texts and descriptions of visible nodes, in order."""
     pieces = F.flatten(F.transform(shown(nodes), lambda n: F.array(n["text"], n["content_desc"])))
     return F.array_distinct(F.filter(pieces, lambda p: p != ""))
 
 
+def apps(screens: DataFrame, key: list[str], nodes: str) -> DataFrame:
+    """(key, apps): the distinct apps of the screens of each key, such as an episode's frames; screens without one add none."""
+    return screens.groupBy(*key).agg(F.array_sort(F.collect_set(first_extra(F.col(nodes), APP_KEYS))).alias("apps"))
+
+
+def page(nodes: Column) -> Column:
+    """What tells a page from others: app, activity and title as JSON; null without an app or an activity."""
+    app, act = first_extra(nodes, APP_KEYS), first_extra(nodes, ACTIVITY_KEYS)
+    return F.when(app.isNotNull() & act.isNotNull(), F.to_json(F.array(app, act, title(nodes)), {"ignoreNullFields": "false"}))
+
+
 def digest(nodes: Column, most: int) -> Column:
     """One line for a screen: app, activity, title and what stands on it, cut to `most` characters."""
     def pieces(n: Column) -> Column:

@@ -409,6 +409,25 @@ def screen_entities(spark, d):
     return _screens(spark, d).select("conv_id", F.array_join(ui.entities(F.col("after")), "|").alias("entities")).where("entities <> ''")
 
 
+@query(f"""WITH {_NODES}, a AS (SELECT conv_id, arg_min(role, turn) AS app, arg_min(t, turn) FILTER (t <> '') AS title, count(*) AS n FROM n GROUP BY 1)
+SELECT conv_id, app, CASE WHEN conv_id % 2 = 0 THEN app || '|w' || conv_id || '|' || coalesce(title, '-') END AS page FROM a""")
+def screen_pages(spark, d):
+    """The app of each screen, and its page where an activity is known."""
+    own = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("w"), F.col("conv_id").cast("string"))).otherwise("")
+    named = _screens(spark, d).withColumn("after", F.transform("after", lambda n: n.withField("extra", F.map_concat(n["extra"], F.create_map(F.lit("activity"), own)))))
+    app = ui.apps(named, ["conv_id"], "after").where("size(apps) > 0").select("conv_id", F.element_at("apps", 1).alias("app"))
+    told = F.from_json(ui.page(F.col("after")), "array<string>")
+    page = F.when(told.isNotNull(), F.array_join(F.transform(told, lambda x: F.coalesce(x, F.lit("-"))), "|"))
+    return app.join(named.select("conv_id", page.alias("page")), "conv_id")
+
+
+@query("""SELECT conv_id, sha256(string_agg(coalesce(text, ''), chr(30) ORDER BY turn)) AS digest FROM conversations GROUP BY 1""")
+def sequence_texts(spark, d):
+    """Texts of sequences as they are compared, before normalisation."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("m"))  # a conversation's turns
+    return c.select("conv_id", F.sha2(text_fn.sequence_text(F.col("m")), 256).alias("digest"))
+
+
 @query()
 def image_dedup(spark, d):
     """Pictures whose 64-bit codes (signs of the embeddings here) lie within 8 bits of a kept earlier one."""
