@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, matroska, packing, pieces, secrets, simhash, token_count, toxicity, urlfilter, vectors
+from millrace.llm import langid, matroska, merkle, packing, pieces, secrets, simhash, token_count, toxicity, urlfilter, vectors
 from millrace.runtime import table
 
 
@@ -50,6 +50,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = values[:3] + [(F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)"), values[4]]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(docs, merkle.digest(values), F.when(touched, merkle.digest(tampered))).drop("siblings", "shape")
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op4_pieces": op4_pieces,
@@ -61,6 +69,7 @@ QUERIES = {
     "op7_secret_scans": op7_secret_scans,
     "op9_url_filters": op9_url_filters,
     "op10_packing": op10_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES = {
@@ -102,5 +111,44 @@ SELECT page_id, host, path, rule,
             WHEN path LIKE '/%.exe' THEN 'block'
             ELSE 'allow' END AS verdict
 FROM fit WHERE k = 1
+""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i,
+         (4294967295 - list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(doc_id::VARCHAR)), lambda k: ascii(substr(doc_id::VARCHAR, (k + 1)::INT, 1))::BIGINT)),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], range(0, 8)), lambda x, step: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 7 = 0 AS touched
+  FROM documents
+), s AS (
+  SELECT doc_id, lang, i, touched, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text], lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')) AS own,
+         list_transform([doc_id::VARCHAR, source, lang, (n_chars + 1)::VARCHAR, text], lambda v: coalesce(strlen(v)::VARCHAR || ':' || v, '-')) AS other
+  FROM d
+), leaf AS (
+  SELECT doc_id, lang, i, sha256(array_to_string(own, '')) AS h, CASE WHEN touched THEN sha256(array_to_string(other, '')) ELSE sha256(array_to_string(own, '')) END AS seen FROM s
+), node(lang, level, i, h, n) AS (
+  SELECT lang, 0, i, h, count(*) OVER (PARTITION BY lang) FROM leaf
+  UNION ALL
+  SELECT lang, level + 1, i // 2, sha256(h || coalesce(lead(h) OVER (PARTITION BY lang ORDER BY i), '')), (n + 1) // 2
+  FROM node WHERE n > 1 QUALIFY i % 2 = 0
+), sub AS (
+  SELECT lang, h AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM node WHERE n = 1
+), over_(level, i, h, n) AS (
+  SELECT 0, j, subroot, m FROM sub
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(h || coalesce(lead(h) OVER (ORDER BY i), '')), (n + 1) // 2 FROM over_ WHERE n > 1 QUALIFY i % 2 = 0
+), top AS (SELECT h AS root, level AS tall FROM over_ WHERE n = 1
+), walk AS (
+  SELECT doc_id, k, CASE WHEN k < height THEN (leaf.i >> k) % 2 ELSE (j >> (k - height)) % 2 END AS odd, coalesce(a.h, b.h, '') AS sib
+  FROM leaf JOIN sub ON leaf.lang IS NOT DISTINCT FROM sub.lang CROSS JOIN top CROSS JOIN LATERAL (SELECT unnest(range(0, height + tall))::INT AS k) AS steps
+  LEFT JOIN node a ON a.lang IS NOT DISTINCT FROM leaf.lang AND k < height AND a.level = k AND a.i = xor(leaf.i >> k, 1)
+  LEFT JOIN over_ b ON k >= height AND b.level = k - height AND b.i = xor(j >> (k - height), 1)
+), proof AS (
+  SELECT doc_id, string_agg(sib, '' ORDER BY k) AS chain FROM walk GROUP BY doc_id
+), folded(doc_id, k, h) AS (
+  SELECT doc_id, 0, seen FROM leaf
+  UNION ALL
+  SELECT f.doc_id, f.k + 1, sha256(CASE WHEN odd = 1 THEN sib || h ELSE h || sib END) FROM folded f JOIN walk w ON w.doc_id = f.doc_id AND w.k = f.k
+), last AS (SELECT doc_id, arg_max(h, k) AS folded_root FROM folded GROUP BY doc_id)
+SELECT leaf.doc_id, leaf.h AS leaf, subroot, root, sha256(coalesce(chain, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaf JOIN sub ON leaf.lang IS NOT DISTINCT FROM sub.lang CROSS JOIN top JOIN last ON last.doc_id = leaf.doc_id LEFT JOIN proof ON proof.doc_id = leaf.doc_id
 """,
 }
