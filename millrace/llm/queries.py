@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, matroska, merkle, packing, pieces, secrets, simhash, token_count, toxicity, urlfilter, vectors
+from millrace.llm import langid, matroska, merkle, packing, pieces, secrets, simhash, spelling, token_count, toxicity, urlfilter, vectors
 from millrace.runtime import table
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.words_of(table(spark, sf_dir, "documents")))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
@@ -69,6 +73,7 @@ QUERIES = {
     "op7_secret_scans": op7_secret_scans,
     "op9_url_filters": op9_url_filters,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
@@ -111,6 +116,40 @@ SELECT page_id, host, path, rule,
             WHEN path LIKE '/%.exe' THEN 'block'
             ELSE 'allow' END AS verdict
 FROM fit WHERE k = 1
+""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), per AS (
+  SELECT doc_id, w, count(*) AS k FROM run GROUP BY doc_id, w
+), hex AS (
+  SELECT doc_id, w, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM per
+), crc AS (
+  SELECT w, k, 4294967295 - list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(0, length(x) // 2), lambda i: (strpos('0123456789ABCDEF', substr(x, (2 * i + 1)::INT, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, (2 * i + 2)::INT, 1)) - 1)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(0, 8)), lambda v, step: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS h FROM hex
+), vocab AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, k FROM crc)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), cut AS (
+  SELECT word, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM vocab)
+), pair AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cut c JOIN vocab v ON c.rest = v.word
+  UNION SELECT v.word, c.word FROM cut c JOIN vocab v ON c.rest = v.word
+), near AS (
+  SELECT a AS word, count(*) AS n_near, max(v.n) AS most FROM pair JOIN vocab v ON v.word = b GROUP BY a
+), best AS (
+  SELECT pair.a AS word, min(b) AS form FROM pair JOIN vocab v ON v.word = b JOIN near ON near.word = pair.a AND v.n = most GROUP BY pair.a
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN form END AS form, CASE WHEN most >= 2 * v.n THEN most END AS form_n
+  FROM vocab v LEFT JOIN near ON near.word = v.word LEFT JOIN best ON best.word = v.word
+), walk(word, goal, step) AS (
+  SELECT word, word, 0 FROM forms
+  UNION ALL
+  SELECT w.word, f.form, step + 1 FROM walk w JOIN forms f ON f.word = w.goal WHERE f.form IS NOT NULL
+), root AS (SELECT word, arg_max(goal, step) AS root FROM walk GROUP BY word)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN root ON root.word = forms.word
 """,
     "op12_merkle_manifest": """
 WITH RECURSIVE d AS (
