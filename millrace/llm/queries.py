@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, matroska, merkle, packing, pieces, secrets, simhash, spelling, token_count, toxicity, urlfilter, vectors
+from millrace.llm import langid, mainpage, matroska, merkle, packing, pieces, secrets, simhash, spelling, token_count, toxicity, urlfilter, vectors
 from millrace.runtime import table
 
 
@@ -62,6 +62,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, merkle.digest(values), F.when(touched, merkle.digest(tampered))).drop("siblings", "shape")
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainpage.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op4_pieces": op4_pieces,
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLES = {
