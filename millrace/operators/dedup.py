@@ -1,7 +1,7 @@
 """Deduplication in the order of arrival: the first of each kind stays, later ones point at a kept row.
 
 Only kept rows count as originals, so that of a chain A ~ B ~ C with A and C apart both A and C stay.
-Candidates share a bucket; the greedy rule is settled in rounds, each through written tables.
+Candidates share a bucket; the greedy rule is settled in each component of matches, through written tables.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import normalized
+from millrace.operators.graph import components
 from millrace.runtime import Written
 from millrace.sources.jsonl import batches
 
@@ -23,6 +24,8 @@ TEXT_THRESHOLD, PERMUTATIONS, NGRAM, IMAGE_BITS, VECTOR_THRESHOLD = 0.85, 128, 5
 _PRIME = (1 << 31) - 1
 #: Nodes of a bucket whose pairs are all compared at once, and rounds whose tables are read side by side.
 FEW, COMPACT = 24, 8
+#: Nodes of a tile, rounds that drop what matches the first nodes of large buckets, nodes of a component that one task settles.
+TILE, PEEL, SETTLE = 512, 2, 4096
 
 
 def exact(records: DataFrame, seq: str, digest: Column, record: str) -> DataFrame:
@@ -73,54 +76,192 @@ def _coefficients(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def greedy(buckets: DataFrame, compare, few: int = FEW) -> DataFrame:
-    """(later, earlier, similarity) of every dropped node and each kept earlier node that it matches.
+def greedy(buckets: DataFrame, features: DataFrame, close, deal=None, few: int = FEW, tile: int = TILE, settle: int = SETTLE) -> tuple[DataFrame, list[Written]]:
+    """((later, earlier, similarity) of every dropped node and each kept earlier one that it matches, the tables that this reads).
 
-    buckets: (seq, bucket), several for a node; nodes of one bucket are candidates. compare: takes pairs
-    (later, earlier) and gives those that match, with similarity. Pairs of buckets of at most `few` nodes are
-    compared at once, so many for a node as it has buckets, times `few`; only matches go on. In each round those
-    nodes are kept that match no open earlier one there and are the first open ones of all their larger buckets;
-    every later node of these is compared with them alone, so that a bucket of n nodes of which k are kept costs n * k
-    comparisons, never n * n. Rounds are as many as the longest chain of matches, or of heads of large buckets.
+    buckets: (seq, bucket, tag), several for a node; nodes of one bucket are candidates. features: (seq, feature).
+    close(a, b): similarities of rows of two feature matrices, nan where they don't match. deal: takes (seq, bucket, tag)
+    of large buckets and gives finer ones that lose no match of the bucket.
+
+    Pairs of buckets of at most `few` nodes are compared at once; larger ones are dealt once by `deal`. What is large
+    still loses its first nodes and all that match them in `PEEL` rounds, which empties buckets of true copies; the rest
+    is compared in tiles of `tile` nodes, each meeting of two tiles a task's small group that gives matches alone. Matches
+    between open nodes make components, and the greedy rule is settled whole in each of at most `settle` nodes; only
+    larger components need rounds. No bucket is gathered, and rounds don't grow with the nodes that a bucket keeps.
     """
-    first = buckets.distinct()
-    sized = Written(first.join(first.groupBy("bucket").agg(F.count("*").alias("_n")), "bucket"), "buckets").df
-    small, large = sized.where((F.col("_n") > 1) & (F.col("_n") <= few)), Written(sized.where(F.col("_n") > few).select("seq", "bucket"), "large").df
+    sized = _sized(buckets)
+    small, large = _parted(sized.df, few)
+    used = [sized]
+    if deal is not None and not large.isEmpty():
+        dealt = _sized(deal(large.select("seq", "bucket", "tag")))
+        finer, large = _parted(dealt.df, few)
+        small = small.unionByName(finer)
+        used.append(dealt)
+    large = Written(large.select("seq", "bucket", "_n"), "large")
     pairs = small.select(F.col("seq").alias("later"), "bucket").join(small.select(F.col("seq").alias("earlier"), "bucket"), "bucket").where("later > earlier")
-    edges = Written(compare(pairs.select("later", "earlier").distinct()), "edges").df
-    some, any_large = not edges.isEmpty(), not large.isEmpty()
-    open_, kept, hits = Written(sized.select("seq").distinct(), "open"), [], [edges.limit(0)]
-    while not open_.df.isEmpty():
-        waiting = []
-        if some:
-            own = edges.join(open_.df.withColumnRenamed("seq", "later"), "later", "left_semi").join(open_.df.withColumnRenamed("seq", "earlier"), "earlier", "left_semi")
-            waiting.append(own.select(F.col("later").alias("seq")))
-        if any_large:
-            live = large.join(open_.df, "seq", "left_semi")
-            heads_of = live.groupBy("bucket").agg(F.min("seq").alias("_first"))
-            waiting.append(live.join(heads_of, "bucket").where("seq > _first").select("seq"))
-        heads = open_.df
-        for w in waiting:
-            heads = heads.join(w.distinct(), "seq", "left_anti")
-        heads = Written(heads, "heads").df
+    edges = Written(_compared(pairs.select("later", "earlier").distinct(), features, close), "edges")
+    for spent in used:
+        spent.drop()
+    any_large = not large.df.isEmpty()
+    nodes = edges.df.select(F.explode(F.array("later", "earlier")).alias("seq")).union(large.df.select("seq")).distinct()
+    open_, kept = Written(nodes, "open"), []
+    for _ in range(PEEL if any_large else 0):
+        live = large.df.join(open_.df, "seq", "left_semi")
+        first = live.groupBy("bucket").agg(F.min("seq").alias("_first"))
+        waiting = _both_open(edges.df, open_.df).select(F.col("later").alias("seq")).union(live.join(first, "bucket").where("seq > _first").select("seq"))
+        heads = Written(open_.df.join(waiting.distinct(), "seq", "left_anti"), "heads")
         kept.append(heads)
-        gone = heads
-        if some:
-            gone = gone.union(edges.join(heads.withColumnRenamed("seq", "earlier"), "earlier", "left_semi").select("later"))
-        if any_large:
-            of = large.join(heads, "seq").select("bucket", F.col("seq").alias("earlier"))
-            told = compare(large.join(of, "bucket").where("seq > earlier").select(F.col("seq").alias("later"), "earlier").distinct())
-            hits.append(Written(told, "hits").df)
-            gone = gone.union(hits[-1].select("later"))
-        step = Written(open_.df.join(gone.distinct(), "seq", "left_anti"), "open")
+        star = live.select("seq", "bucket").join(live.join(heads.df, "seq", "left_semi").select("bucket", F.col("seq").alias("earlier")), "bucket").where("seq > earlier")
+        gone = _compared(star.select(F.col("seq").alias("later"), "earlier").distinct(), features, close).select("later").union(_behind(edges.df, heads.df))
+        step = Written(open_.df.join(gone.union(heads.df).distinct().withColumnRenamed("later", "seq"), "seq", "left_anti"), "open")
         open_.drop()
         open_ = step
-        if len(kept) > COMPACT:  # long unions are slow to plan
-            kept, hits = ([Written(reduce(DataFrame.union, parts), "compact").df] for parts in (kept, hits))
+    if any_large:
+        live = large.df.join(open_.df, "seq", "left_semi").select("seq", "bucket")
+        tiled = _in_tiles(live.withColumn("role", F.lit(2)), features, close, tile)
+        more = Written(edges.df.unionByName(tiled).dropDuplicates(["later", "earlier"]), "edges")
+        edges.drop()
+        edges = more
+    kept.append(_settled(_both_open(edges.df, open_.df).select("later", "earlier"), open_.df, settle))
     open_.drop()
-    if some and kept:
-        hits.append(edges.join(reduce(DataFrame.union, kept).withColumnRenamed("seq", "earlier"), "earlier", "left_semi").select("later", "earlier", "similarity"))
-    return reduce(DataFrame.union, hits).distinct()
+    winners = Written(reduce(DataFrame.union, [k.df.select("seq") for k in kept]), "winners")
+    for spent in kept:
+        spent.drop()
+    hits = edges.df.join(winners.df.withColumnRenamed("seq", "earlier"), "earlier", "left_semi").select("later", "earlier", "similarity")
+    used = [edges, winners]
+    if any_large:  # a dropped node may be nearer to a kept one than to the one that it was dropped for
+        role = large.df.join(winners.df.withColumn("_won", F.lit(True)), "seq", "left").select("seq", "bucket", F.when(F.col("_won"), 0).otherwise(1).alias("role"))
+        hits = Written(hits.unionByName(_in_tiles(role, features, close, tile)), "hits")
+        for spent in used:
+            spent.drop()
+        used, hits = [hits], hits.df
+    large.drop()
+    return hits.distinct(), used
+
+
+def _sized(buckets: DataFrame) -> Written:
+    own = buckets.distinct()
+    many = own.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+    return Written(own.join(many, "bucket"), "buckets")
+
+
+def _parted(sized: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    return sized.where(F.col("_n") <= few), sized.where(F.col("_n") > few)
+
+
+def _both_open(edges: DataFrame, open_: DataFrame) -> DataFrame:
+    return edges.join(open_.withColumnRenamed("seq", "later"), "later", "left_semi").join(open_.withColumnRenamed("seq", "earlier"), "earlier", "left_semi")
+
+
+def _behind(edges: DataFrame, heads: DataFrame) -> DataFrame:
+    return edges.join(heads.withColumnRenamed("seq", "earlier"), "earlier", "left_semi").select("later")
+
+
+def _compared(pairs: DataFrame, features: DataFrame, close) -> DataFrame:
+    """(later, earlier, similarity) of those pairs that match."""
+    both = pairs.join(features.select(F.col("seq").alias("later"), F.col("feature").alias("_a")), "later").join(features.select(F.col("seq").alias("earlier"), F.col("feature").alias("_b")), "earlier")
+    return both.select("later", "earlier", close.column(F.col("_a"), F.col("_b")).alias("similarity")).where("similarity is not null")
+
+
+def _in_tiles(rows: DataFrame, features: DataFrame, close, tile: int) -> DataFrame:
+    """(later, earlier, similarity) of matches in buckets of any size. rows: (seq, bucket, role), where of each pair the
+    earlier must have role 0 and the later 1, or both 2; a bucket's nodes are cut into tiles, and each two tiles meet in a group."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("_m"))
+    placed = rows.join(sizes, "bucket").withColumn("_t", F.pmod(F.xxhash64("seq"), F.col("_m")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_m") - 1)
+    as_row = F.transform(every, lambda k: F.struct(F.col("_t").alias("i"), k.alias("j")))
+    as_column = F.transform(every, lambda k: F.struct(k.alias("i"), F.col("_t").alias("j")))
+    ordered = F.transform(every, lambda k: F.struct(F.least(F.col("_t"), k).alias("i"), F.greatest(F.col("_t"), k).alias("j")))
+    cells = placed.select("seq", "bucket", "role", F.explode(F.when(F.col("role") == 0, as_row).when(F.col("role") == 1, as_column).otherwise(ordered)).alias("_c"))
+    cells = cells.select("seq", "role", F.xxhash64("bucket", "_c.i", "_c.j").alias("cell")).join(features, "seq")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        seq, role, x = pdf["seq"].to_numpy(), pdf["role"].to_numpy(), np.stack(pdf["feature"].to_list())
+        left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+        out = []
+        for at in range(0, len(left), 256):
+            own = left[at : at + 256]
+            likeness = close(x[own], x[right])
+            i, j = np.nonzero(~np.isnan(likeness) & (seq[own][:, None] < seq[right][None, :]))
+            out.append(pd.DataFrame({"later": seq[right[j]], "earlier": seq[own[i]], "similarity": likeness[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"later": pd.Series([], dtype="int64"), "earlier": pd.Series([], dtype="int64"), "similarity": []})
+
+    return cells.groupBy("cell").applyInPandas(meet, "later long, earlier long, similarity double")
+
+
+def _settled(edges: DataFrame, open_: DataFrame, settle: int) -> Written:
+    """(seq) of the open nodes that stay: in order, each that matches no earlier one that stays."""
+    edges = Written(edges, "open-edges")
+    if edges.df.isEmpty():
+        edges.drop()
+        return Written(open_, "settled")
+    of = components(edges.df, "later", "earlier")
+    sizes = of.df.groupBy("component").agg(F.count("*").alias("_n"))
+    owned = Written(edges.df.join(of.df.join(sizes, "component").withColumnRenamed("node", "later"), "later"), "owned")
+    linked = of.df.select(F.col("node").alias("seq"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        before = pdf.groupby("later")["earlier"].apply(set).to_dict()
+        stays: set[int] = set()
+        for k in sorted({*pdf["later"], *pdf["earlier"]}):
+            if not before.get(k, set()) & stays:
+                stays.add(k)
+        return pd.DataFrame({"seq": sorted(stays)})
+
+    whole = owned.df.where(F.col("_n") <= settle).select("component", "later", "earlier").groupBy("component").applyInPandas(walk, "seq long")
+    parts = [Written(open_.join(linked, "seq", "left_anti").union(whole), "settled")]
+    wide = owned.df.where(F.col("_n") > settle).select("later", "earlier")
+    rest = Written(wide.select(F.explode(F.array("later", "earlier")).alias("seq")).distinct(), "open")
+    while not rest.df.isEmpty():
+        waiting = _both_open(wide, rest.df).select(F.col("later").alias("seq")).distinct()
+        heads = Written(rest.df.join(waiting, "seq", "left_anti"), "settled")
+        parts.append(heads)
+        step = Written(rest.df.join(heads.df.union(_behind(wide, heads.df)).distinct(), "seq", "left_anti"), "open")
+        rest.drop()
+        rest = step
+        if len(parts) > COMPACT:  # long unions are slow to plan
+            whole_ = Written(reduce(DataFrame.union, [p.df for p in parts]), "settled")
+            for p in parts:
+                p.drop()
+            parts = [whole_]
+    out = Written(reduce(DataFrame.union, [p.df for p in parts]), "settled")
+    for spent in (*parts, rest, owned, of, edges):
+        spent.drop()
+    return out
+
+
+class SharedPositions:
+    """Share of equal positions of two signatures, where it reaches the threshold."""
+
+    def __init__(self, threshold: float, permutations: int):
+        self.threshold, self.permutations = threshold, permutations
+
+    def column(self, a: Column, b: Column) -> Column:
+        equal = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / self.permutations
+        return F.when(equal >= self.threshold, equal)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        equal = np.zeros((len(a), len(b)), np.int32)
+        for k in range(a.shape[1]):
+            equal += a[:, k][:, None] == b[:, k][None, :]
+        share = equal / self.permutations
+        return np.where(share >= self.threshold, share, np.nan)
+
+
+class DifferingBits:
+    """Differing bits of two 64-bit codes, where they are few enough."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def column(self, a: Column, b: Column) -> Column:
+        apart = F.bit_count(a.bitwiseXOR(b)).cast("double")
+        return F.when(apart <= self.limit, apart)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(a.astype(np.int64).view(np.uint64)[:, None] ^ b.astype(np.int64).view(np.uint64)[None, :]).astype(float)
+        return np.where(apart <= self.limit, apart, np.nan)
 
 
 def best(hits: DataFrame, order: Column) -> DataFrame:
@@ -145,17 +286,31 @@ def near_text(records: DataFrame, seq: str, text: str, threshold: float = TEXT_T
     scope: only texts of an equal value are compared.
     """
     nodes = records.groupBy((F.lit(0) if scope is None else scope).alias("_in"), F.col(text).alias("_t")).agg(F.min(seq).alias("seq")).where(F.length("_t") > 0)
-    signed = Written(nodes.select("seq", "_in", signature(F.col("_t"), ngram, permutations).alias("_sig")), "signatures").df
+    signed = Written(nodes.select("seq", "_in", signature(F.col("_t"), ngram, permutations).alias("feature")), "signatures")
     cuts = band_cuts(threshold, permutations)
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("_in"), F.slice(F.col("_sig"), a + 1, z - a)) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    buckets = signed.select("seq", F.explode(keys).alias("bucket"))
+    bounds = list(zip(cuts, cuts[1:], strict=False))
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(k), F.col("_in"), F.slice(F.col("feature"), a + 1, z - a)).alias("bucket"), F.lit(k).alias("tag")) for k, (a, z) in enumerate(bounds)])
+    buckets = signed.df.select("seq", F.explode(keys).alias("_k")).select("seq", "_k.*")
+
+    def deal(rows: DataFrame) -> DataFrame:
+        """By bands of the positions outside the bucket's own band: as many differ at most, so one of one more is equal."""
+        after, upto = (F.get(F.array(*[F.lit(b[k]) for b in bounds]), F.col("tag")) for k in (0, 1))
+        rest = F.concat(F.slice("feature", F.lit(1), after), F.slice("feature", upto + 1, F.lit(permutations) - upto))
+        size = F.size("_rest")
+        at = [F.floor(size * k / len(bounds)).cast("int") for k in range(len(bounds) + 1)]
+        finer = F.array(*[F.xxhash64("bucket", F.lit(k), F.slice("_rest", a + 1, z - a)) for k, (a, z) in enumerate(zip(at, at[1:], strict=False))])
+        return rows.join(signed.df.select("seq", "feature"), "seq").withColumn("_rest", rest).select("seq", F.explode(finer).alias("bucket"), F.lit(0).alias("tag"))
+
+    hits, used = greedy(buckets, signed.df.select("seq", "feature"), SharedPositions(threshold, permutations), deal if cuts[-1] and len(bounds) < permutations else None)
+    return _delivered(best(hits, F.desc("similarity")), [signed, *used], "near-texts")
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(signed.select(F.col("seq").alias("later"), F.col("_sig").alias("_a")), "later").join(signed.select(F.col("seq").alias("earlier"), F.col("_sig").alias("_b")), "earlier")
-        equal = F.aggregate(F.zip_with("_a", "_b", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-        return both.select("later", "earlier", (equal / permutations).alias("similarity")).where(F.col("similarity") >= threshold)
 
-    return best(greedy(buckets, compare), F.desc("similarity"))
+def _delivered(hits: DataFrame, spent: list[Written], tag: str) -> DataFrame:
+    """`hits` written, and what it was read from deleted."""
+    out = Written(hits, tag)
+    for table in spent:
+        table.drop()
+    return out.df
 
 
 def near_image(records: DataFrame, seq: str, code: str, limit: int = IMAGE_BITS) -> DataFrame:
@@ -163,17 +318,29 @@ def near_image(records: DataFrame, seq: str, code: str, limit: int = IMAGE_BITS)
 
     Of limit + 1 blocks of bits one at least is equal; the blocks are the buckets.
     """
-    cuts = [round(k * 64 / (limit + 1)) for k in range(limit + 2)]
-    masks = [sum(1 << b for b in range(a, z)) for a, z in zip(cuts, cuts[1:], strict=False)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    rows = Written(records.select(F.col(seq).alias("seq"), F.col(code).alias("_code")).where("_code is not null"), "codes").df
-    blocks = F.array(*[F.xxhash64(F.lit(k), F.col("_code").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
+    masks = _blocks(range(64), limit + 1)
+    rows = Written(records.select(F.col(seq).alias("seq"), F.col(code).alias("feature")).where("feature is not null"), "codes")
+    blocks = F.array(*[F.struct(F.xxhash64(F.lit(k), F.col("feature").bitwiseAND(F.lit(_signed(m)))).alias("bucket"), F.lit(k).alias("tag")) for k, m in enumerate(masks)])
+    finer = [_blocks([b for b in range(64) if not m >> b & 1], limit + 1) for m in masks]
+
+    def deal(buckets: DataFrame) -> DataFrame:
+        """By blocks of the bits outside the bucket's own."""
+        own = F.get(F.array(*[F.array(*[F.lit(_signed(m)) for m in row]) for row in finer]), F.col("tag"))
+        keys = F.transform(own, lambda m, k: F.xxhash64(F.col("bucket"), k, F.col("feature").bitwiseAND(m)))
+        return buckets.join(rows.df, "seq").select("seq", F.explode(keys).alias("bucket"), F.lit(0).alias("tag"))
+
+    hits, used = greedy(rows.df.select("seq", F.explode(blocks).alias("_k")).select("seq", "_k.*"), rows.df, DifferingBits(limit), deal)
+    return _delivered(best(hits, F.col("similarity")), [rows, *used], "near-images")
+
+
+def _blocks(bits, parts: int) -> list[int]:
+    """Masks of `parts` blocks of some bits."""
+    cut = [round(k * len(bits) / parts) for k in range(parts + 1)]
+    return [sum(1 << b for b in bits[a:z]) for a, z in zip(cut, cut[1:], strict=False)]
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(rows.select(F.col("seq").alias("later"), F.col("_code").alias("_a")), "later").join(rows.select(F.col("seq").alias("earlier"), F.col("_code").alias("_b")), "earlier")
-        return both.select("later", "earlier", F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))).cast("double").alias("similarity")).where(F.col("similarity") <= limit)
 
-    return best(greedy(rows.select("seq", F.explode(blocks).alias("bucket")), compare), F.col("similarity"))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def nearest_vector(probes: DataFrame, index: DataFrame, seq: str, vector: str, threshold: float = VECTOR_THRESHOLD, block: int = 4096, earlier: bool = False) -> DataFrame:
