@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import lanes
 from millrace.operators.chains import chain
 from millrace.operators.ranks import ranks
 from millrace.runtime import Written
@@ -15,8 +16,8 @@ def in_order(frames: DataFrame, key: list[str], seq: str, order: str) -> DataFra
 
     A rejected row never raises the running maximum, so that this equals a cursor moved by accepted rows only.
     """
-    before = Window.partitionBy(*key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    return frames.withColumn("late", F.coalesce(F.col(order) < F.max(order).over(before), F.lit(False)))
+    looked = lanes.scan(lanes.parted(frames, key, [seq]).df, [seq], peaks={"_peak": F.col(order)})
+    return looked.select(*frames.columns, F.coalesce(F.col(order) < F.col("_peak"), F.lit(False)).alias("late"))
 
 
 def sessions(frames: DataFrame, lane: list[str], seq: str, order: str, record: str, boundary: str | None = None, gap_s: float = 300, max_len: int = 200, step: str | None = None, gap_steps: int = 0, file: str | None = None, max_span_s: float = 0, limited: bool = False) -> DataFrame:
@@ -27,20 +28,20 @@ def sessions(frames: DataFrame, lane: list[str], seq: str, order: str, record: s
     where `file` is given), beyond max_span_s from its first frame, and after max_len frames. 0 switches a rule off.
     `limited`: the input was cut off by a limit, which then is why the last session of a lane ends.
     """
-    own = Window.partitionBy(*lane).orderBy(seq)
-    before = F.lag(order).over(own)
-    moved = F.lag(boundary).over(own).isNotNull() & ~F.col(boundary).eqNullSafe(F.lag(boundary).over(own)) if boundary else F.lit(False)
-    why = F.when(moved, "key").when(F.col(order) - before > gap_s, "gap")
+    read = dict.fromkeys([*lane, seq, order, record, *[c for c in (boundary, step, file) if c]])
+    parts = lanes.parted(frames.select(*read), lane, [seq]).df
+    looked = {"_order": F.col(order)} | ({"_boundary": F.col(boundary)} if boundary else {}) | ({"_step": F.col(step)} if step else {}) | ({"_file": F.col(file)} if file else {})
+    marked = lanes.scan(parts, [seq], before=looked)
+    moved = F.col("_boundary").isNotNull() & ~F.col(boundary).eqNullSafe(F.col("_boundary")) if boundary else F.lit(False)
+    why = F.when(moved, "key").when(F.col(order) - F.col("_order") > gap_s, "gap")
     if step and gap_steps:
-        same = F.col(file).eqNullSafe(F.lag(file).over(own)) if file else F.lit(True)
-        why = why.when(same & (F.col(step) - F.lag(step).over(own) > gap_steps), "gap")
-    marked = frames.withColumn("_why", why)
-    marked = marked.withColumn("_run", F.sum(F.when(F.col("_why").isNotNull(), 1).otherwise(0)).over(own))
-    inside = Window.partitionBy(*lane, "_run").orderBy(seq)
+        same = F.col(file).eqNullSafe(F.col("_file")) if file else F.lit(True)
+        why = why.when(same & (F.col(step) - F.col("_step") > gap_steps), "gap")
+    marked = lanes.runs(marked.withColumn("_why", why), [seq], F.col("_why").isNotNull(), "_run", "_at")
     if max_span_s:
         marked = _span_parts(marked, [*lane, "_run"], seq, order, max_len, max_span_s)
     else:
-        marked = marked.withColumn("_part", F.floor((F.row_number().over(inside) - 1) / max_len) if max_len else F.lit(0))
+        marked = marked.withColumn("_part", F.floor(F.col("_at") / max_len) if max_len else F.lit(0))
     closed = marked.groupBy(*lane, "_run", "_part").agg(
         F.min(seq).alias("first_seq"),
         F.max(seq).alias("last_seq"),
@@ -50,25 +51,34 @@ def sessions(frames: DataFrame, lane: list[str], seq: str, order: str, record: s
     )  # a session holds max_len records at most
     if max_span_s:
         closed = closed.withColumn("_began", F.coalesce("_began", F.lit("max_span")))
-    nxt = F.lead("_began").over(Window.partitionBy(*lane).orderBy("first_seq"))
-    follows = F.lead("first_seq").over(Window.partitionBy(*lane).orderBy("first_seq"))
-    cause = F.when(F.col("len") == max_len, "max_len").when(follows.isNull(), "limit" if limited else "eof").otherwise(nxt)
+    closed = lanes.scan(lanes.parted(closed, lane, ["first_seq"]).df, ["first_seq"], after={"_next": F.col("_began"), "_follows": F.col("first_seq")})
+    cause = F.when(F.col("len") == max_len, "max_len").when(F.col("_follows").isNull(), "limit" if limited else "eof").otherwise(F.col("_next"))
     out = ranks(closed.withColumn("cause", cause), ["_sha"], [F.col("first_seq"), *[F.col(c) for c in lane]], "repeat")  # the commonest short session may be a large part of all
     out = out.withColumn("repeat", F.col("repeat") - 1)
     return out.select(*lane, F.substring("_sha", 1, 16).alias("session_id"), "repeat", "first_seq", "last_seq", "len", "cause")
 
 
 def _span_parts(marked: DataFrame, run: list[str], seq: str, order: str, max_len: int, max_span_s: float) -> DataFrame:
-    """`marked` with `_part`: cuts of each run by span and length. Order keys don't fall inside a run; null ones span nothing."""
-    place = F.row_number().over(Window.partitionBy(*run).orderBy(seq)).cast("long")
-    rows = Written(marked.withColumn("_at", place), "runs").df
+    """`marked` with `_part`: cuts of each run by span and length. Order keys don't fall inside a run; null ones span nothing.
+
+    How far a session from a row may reach is the last row of its run up to `max_span_s` behind it: rows and the ends of
+    their spans go in one order, and each end takes the largest place before it.
+    """
+    rows = Written(marked.drop(lanes.PART, lanes.LANE), "runs").df
     micros = F.round(F.col(order) * 1_000_000).cast("long")
-    reach = F.max("_at").over(Window.partitionBy(*run).orderBy(micros).rangeBetween(0, round(max_span_s * 1_000_000)))
-    following = F.greatest(reach, F.col("_at")) + 1
-    nexts = rows.select(*run, "_at", (F.least(following, F.col("_at") + max_len) if max_len else following).alias("_next"))
-    heads = chain(nexts, run, "_at", "_next").withColumn("_head", F.lit(1))
-    headed = rows.join(heads, [*run, "_at"], "left")
-    return headed.withColumn("_part", F.sum(F.coalesce("_head", F.lit(0))).over(Window.partitionBy(*run).orderBy("_at"))).drop("_at", "_head")
+    timed = rows.where(F.col(order).isNotNull()).select(*run, F.col("_at").alias("_of"), micros.alias("_when"))
+    both = timed.select(*run, "_of", "_when", F.lit(0).alias("_end")).union(timed.select(*run, "_of", F.col("_when") + round(max_span_s * 1_000_000), F.lit(1)))
+    by = ["_when", "_end", "_of"]
+    reached = lanes.scan(lanes.parted(both, run, by).df, by, peaks={"_reach": F.when(F.col("_end") == 0, F.col("_of"))}).where("_end = 1")
+    same = [rows[c].eqNullSafe(F.col(f"_in{k}")) for k, c in enumerate(run)]
+    reach = reached.select(*[F.col(c).alias(f"_in{k}") for k, c in enumerate(run)], "_of", "_reach")
+    far = rows.join(reach, [*same, rows["_at"] == F.col("_of")], "left")
+    following = F.greatest(F.col("_reach"), F.col("_at")) + 1
+    nexts = far.select(F.struct(*run).alias("_lane_run"), "_at", (F.least(following, F.col("_at") + max_len) if max_len else following).alias("_next"))
+    heads = chain(nexts, ["_lane_run"], "_at", "_next").withColumn("_head", F.lit(1))
+    headed = rows.withColumn("_lane_run", F.struct(*run)).join(heads, ["_lane_run", "_at"], "left").drop("_lane_run")
+    counted = lanes.scan(lanes.parted(headed, run, ["_at"]).df, ["_at"], sums={"_part": F.coalesce("_head", F.lit(0))})
+    return counted.drop("_head", lanes.PART, lanes.LANE)
 
 
 def window_spans(length: Column, width: int) -> Column:
@@ -105,9 +115,8 @@ def budget_windows(frames: DataFrame, lane: list[str], pos: str, cost: str, budg
     A window takes frames while they fit the budget and the cap, two at least; the next begins with its last frame.
     """
     rows = frames.select(*lane, F.col(pos).cast("long").alias("_at"), F.col(cost).cast("double").alias("_c"))
-    inside = Window.partitionBy(*lane).orderBy("_at")
-    rows = rows.withColumn("_sum", F.sum("_c").over(inside)).withColumn("_n", F.max("_at").over(Window.partitionBy(*lane)) + 1)
-    rows = rows.withColumn("_from", F.col("_sum") - F.col("_c"))
+    rows = lanes.scan(lanes.parted(rows, lane, ["_at"]).df, ["_at"], sums={"_sum": F.col("_c")}, wholes={"_last_at": (F.max, F.col("_at"))}).drop(lanes.PART, lanes.LANE)
+    rows = rows.withColumn("_n", F.col("_last_at") + 1).withColumn("_from", F.col("_sum") - F.col("_c")).drop("_last_at")
     rows = Written(rows, "costs").df
     near = rows.select(*lane, F.col("_at").alias("start"), "_n", "_from", F.explode(F.sequence("_at", F.least(F.col("_at") + cap - 1, F.col("_n") - 1))).alias("_at"))  # `cap` frames at most
     fits = near.join(rows.select(*lane, "_at", "_sum"), [*lane, "_at"]).where(F.col("_sum") - F.col("_from") <= budget)
@@ -130,24 +139,23 @@ BOUNDARIES, NOISE = ("returns_to_entry", "context_switch"), "interruption"
 def segments(frames: DataFrame, session: str, pos: str, relation: str, min_len: int = 2, noise_filter: bool = True) -> DataFrame:
     """`frames` with segment (from 0 in each session), seg_len and status: active, or dropped_noise with reason."""
     noise = (F.col(relation) == NOISE) if noise_filter else F.lit(False)
-    own = Window.partitionBy(session).orderBy(pos)
-    live = frames.withColumn("_noise", F.coalesce(noise, F.lit(False)))
-    rank = F.sum(F.when(F.col("_noise"), 0).otherwise(1)).over(own)
-    cut = ~F.col("_noise") & F.col(relation).isin(*BOUNDARIES) & (F.col("_rank") > 1)
-    live = live.withColumn("_rank", rank).withColumn("_cut", F.coalesce(cut, F.lit(False)))
-    live = live.withColumn("segment", F.when(~F.col("_noise"), F.sum(F.col("_cut").cast("int")).over(own)))
-    size = F.count("*").over(Window.partitionBy(session, "segment"))
-    parts = F.max("segment").over(Window.partitionBy(session))
-    live = live.withColumn("seg_len", F.when(~F.col("_noise"), size)).withColumn("_parts", parts)
+    live = lanes.parted(frames.withColumn("_noise", F.coalesce(noise, F.lit(False))), [session], [pos]).df
+    bound = F.coalesce(~F.col("_noise") & F.col(relation).isin(*BOUNDARIES), F.lit(False)).cast("int")
+    # the first frame that stays begins segment 0, whether or not it is a boundary
+    first = F.when(~F.col("_noise"), F.struct(F.col(pos).alias("at"), bound.alias("bound")))
+    live = lanes.scan(live, [pos], sums={"_cuts": bound}, wholes={"_first": (F.min, first), "_all": (F.sum, bound)})
+    lead = F.col("_first.bound")
+    live = live.withColumn("segment", F.when(~F.col("_noise"), F.col("_cuts") - lead)).withColumn("_parts", F.col("_all") - lead)
+    live = lanes.totals(live, ["segment"], "_size").withColumn("seg_len", F.when(~F.col("_noise"), F.col("_size")))
     short = ~F.col("_noise") & (F.col("_parts") > 0) & (F.col("seg_len") < min_len)
     reason = F.when(F.col("_noise"), "noise").when(short, "below_min_len")
-    return live.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "active").otherwise("dropped_noise")).drop("_noise", "_rank", "_cut", "_parts")
+    return live.select(*frames.columns, "segment", "seg_len", reason.alias("reason")).withColumn("status", F.when(F.col("reason").isNull(), "active").otherwise("dropped_noise"))
 
 
 def adjacent_pairs(members: DataFrame, episode: str, pos: str, record: str) -> DataFrame:
     """(episode, idx, prev, curr) of each two neighbours of an episode, idx from 0."""
-    own = Window.partitionBy(episode).orderBy(pos)
-    pairs = members.select(episode, F.row_number().over(own).alias("_n"), F.col(record).alias("prev"), F.lead(record).over(own).alias("curr"))
+    parts = lanes.parted(members.select(episode, pos, F.col(record).alias("prev")), [episode], [pos]).df
+    pairs = lanes.scan(parts, [pos], sums={"_n": F.lit(1)}, after={"curr": F.col("prev")})
     return pairs.where(F.col("curr").isNotNull()).select(episode, (F.col("_n") - 1).alias("idx"), "prev", "curr")
 
 
@@ -157,9 +165,10 @@ def seams(members: DataFrame, session: str, thread: str, pos: str) -> DataFrame:
     Frames of a session are compared by running counts, not pair by pair: in a gap, the frames with an owner
     other than the thread are all owned frames there, as a thread has none of its own between neighbours.
     """
-    own = Window.partitionBy(session, thread).orderBy(pos)
-    ranked = members.withColumn("_n", F.row_number().over(Window.partitionBy(session).orderBy(pos)))
-    pairs = ranked.select(session, thread, F.col(pos).alias("left_pos"), F.lead(pos).over(own).alias("right_pos"), (F.lead("_n").over(own) - F.col("_n") - 1).alias("foreign"))
+    ranked = lanes.numbered(members.select(session, thread, pos), [session], [pos], "_n")
+    own = lanes.parted(ranked, [session, thread], [pos]).df
+    pairs = lanes.scan(own, [pos], after={"right_pos": F.col(pos), "_m": F.col("_n")})
+    pairs = pairs.select(session, thread, F.col(pos).alias("left_pos"), "right_pos", (F.col("_m") - F.col("_n") - 1).alias("foreign"))
     return pairs.where(F.col("foreign") > 0)
 
 
@@ -171,5 +180,5 @@ def margins(episodes: DataFrame, frames: DataFrame, session: str, pos: str, k: i
 
 def rescue_runs(dropped: DataFrame, session: str, pos: str) -> DataFrame:
     """(session, run_start, run_end, len): contiguous runs of dropped frames."""
-    own = Window.partitionBy(session).orderBy(pos)
-    return dropped.withColumn("_g", F.col(pos) - F.row_number().over(own)).groupBy(session, "_g").agg(F.min(pos).alias("run_start"), F.max(pos).alias("run_end"), F.count("*").alias("len")).drop("_g")
+    placed = lanes.numbered(dropped, [session], [pos], "_n")
+    return placed.withColumn("_g", F.col(pos) - F.col("_n")).groupBy(session, "_g").agg(F.min(pos).alias("run_start"), F.max(pos).alias("run_end"), F.count("*").alias("len")).drop("_g")

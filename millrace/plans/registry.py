@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as text_fn
-from millrace.operators import dedup, generate, quality, ranks, sessions, votes
+from millrace.operators import dedup, generate, lanes, quality, ranks, sessions, votes
 from millrace.runtime import table
 from millrace.sinks import emit
 from millrace.sources import jsonl
@@ -216,7 +216,8 @@ w AS (SELECT user_id, "start", "end", n FROM g WHERE "start" = 0 UNION ALL SELEC
 SELECT user_id, "start", "end" FROM w""")
 def packed_windows(spark, d):
     """Windows packed by cost under a budget, whatever the length of a stream."""
-    costs = table(spark, d, "events").select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("pos"), (F.length("props") + 3).alias("c"))
+    placed = lanes.numbered(table(spark, d, "events").select("user_id", "event_id", "props"), ["user_id"], ["event_id"], "_n")
+    costs = placed.select("user_id", (F.col("_n") - 1).alias("pos"), (F.length("props") + 3).alias("c"))
     return sessions.budget_windows(costs, ["user_id"], "pos", "c", 120, 20)
 
 
@@ -239,8 +240,8 @@ def _segmented(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type")
     edge = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
     rel = F.when(F.col("event_type") == F.col("lo"), "context_switch").when(F.col("event_type") == F.col("hi"), "interruption").otherwise("continues")
-    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    frames = e.crossJoin(F.broadcast(edge)).select("event_id", "user_id", pos.alias("pos"), rel.alias("relation"))  # one row
+    placed = lanes.numbered(e, ["user_id"], ["event_id"], "_n")
+    frames = placed.crossJoin(F.broadcast(edge)).select("event_id", "user_id", (F.col("_n") - 1).alias("pos"), rel.alias("relation"))  # one row
     return sessions.segments(frames, "user_id", "pos", "relation")
 
 
@@ -259,7 +260,7 @@ p AS (SELECT session, thread, pos AS left_pos, lead(pos) OVER (PARTITION BY sess
 SELECT session, thread, left_pos, right_pos, right_pos - left_pos - 1 AS foreign_frames FROM p WHERE right_pos - left_pos > 1""")
 def thread_seams(spark, d):
     """Gaps of threads that hold frames of other threads."""
-    e = table(spark, d, "events").select((F.col("user_id") % 10).alias("session"), F.col("event_type").alias("thread"), F.row_number().over(Window.partitionBy(F.col("user_id") % 10).orderBy("event_id")).alias("pos"))
+    e = lanes.numbered(table(spark, d, "events").select((F.col("user_id") % 10).alias("session"), F.col("event_type").alias("thread"), "event_id"), ["session"], ["event_id"], "pos")
     return sessions.seams(e, "session", "thread", "pos").withColumnRenamed("foreign", "foreign_frames")
 
 
@@ -306,8 +307,7 @@ def pairing_plan(spark, d):
 def bradley_terry_scores(spark, d):
     """Strengths from pairwise verdicts by length, in each language's batches of 256."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    batch = (F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1) / 256)).alias("batch_no")
-    pooled = docs.select("doc_id", "lang", "n_chars", batch)
+    pooled = lanes.numbered(docs, ["lang"], ["doc_id"], "_n").select("doc_id", "lang", "n_chars", F.floor((F.col("_n") - 1) / 256).alias("batch_no"))
     plan = quality.pairing_plan(pooled, ["lang", "batch_no"], "doc_id", 4)
     size = [pooled.select(F.col("doc_id").alias(c), F.col("n_chars").alias(f"_{c}")) for c in ("first", "second")]
     judged = plan.join(size[0], "first").join(size[1], "second")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import shapes
 from millrace.functions import text as text_fn
 from millrace.judges import Judge
-from millrace.operators import chains, sessions
+from millrace.operators import chains, lanes, sessions
 from millrace.operators.ranks import ranks
 from millrace.plans import calls
 from millrace.plans.config import Config
@@ -49,8 +49,8 @@ def in_sessions(rows: DataFrame, config: Config) -> DataFrame:
     )
     name = F.when(F.col("repeat") == 0, F.col("session_id")).otherwise(F.concat_ws("-", "session_id", F.col("repeat").cast("string")))
     starts = cut.select("lane", F.col("first_seq").alias("seq"), F.struct("first_seq", name.alias("session"), (F.col("cause") == "max_len").alias("split")).alias("_s"))
-    latest = F.max("_s").over(Window.partitionBy("lane").orderBy("seq"))
-    placed = own.join(starts, ["lane", "seq"], "left").withColumn("_s", latest).select(*own.columns, "_s.session", "_s.split")
+    begun = lanes.parted(own.join(starts, ["lane", "seq"], "left"), ["lane"], ["seq"]).df
+    placed = lanes.scan(begun, ["seq"], peaks={"_since": F.col("_s")}).withColumn("_s", F.coalesce("_s", "_since")).select(*own.columns, "_s.session", "_s.split")
     return placed.withColumn("pos", F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1)  # a session's length is capped
 
 
