@@ -111,23 +111,26 @@ class Model:
 
 
 def sample_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """(id, lang, bits): packed presence rows of at most `per_lang` training rows of every language, by hash order of the id.
+    """(key, lang, bits): packed presence rows of at most `per_lang` training rows of every language, by hash order of the key.
 
-    Rows whose lang is null, or whose text is null or has no letter, are left out before the sample is drawn. A
-    null id is in the fold of the empty text. Rows of one id and language are chosen together or not at all.
+    The key is the hash of id and text, so that rows without an id differ by their texts; rows that repeat both count
+    once. Rows whose lang is null, or whose text is null or has no letter, are left out before the sample is drawn. A
+    null id is in the fold of the empty text.
     """
     small_batches(docs.sparkSession)
     trained = (fold(F.col(id_col), 3) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER)
-    train = docs.where(trained).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    counts = Written(train.groupBy("_lang").agg(F.count("*").alias("_n")), "lang-counts").df
-    per_lang = min(per_lang, max(LEAST, SAMPLE_ROWS // max(1, counts.count())))
-    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 31))
-    near = train.withColumn("_h", place).join(F.broadcast(counts), "_lang").where(F.col("_h") * F.col("_n") < float(2 * per_lang + 64) * (1 << 31))
-    own = Window.partitionBy("_lang").orderBy("_h", "_id")  # some 2 * per_lang + 64 rows a language are left
-    chosen = near.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= per_lang).select("_id", "_lang")
-    chosen = Written(chosen.distinct(), "lang-sample").df
-    texts = docs.where(trained).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
-    picked = texts.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")  # at most SAMPLE_ROWS ids, or LEAST a language
+    key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key")
+    train = docs.where(trained).select(key, F.col(lang_col).cast("string").alias("_lang"))
+    counts = Written(train.groupBy("_lang").agg(F.approx_count_distinct("_key").alias("_n")), "lang-counts")
+    per_lang = min(per_lang, max(LEAST, SAMPLE_ROWS // max(1, counts.df.count())))
+    place = F.pmod(F.xxhash64("_key"), F.lit(1 << 31))
+    near = train.withColumn("_h", place).join(F.broadcast(counts.df), "_lang").where(F.col("_h") * F.col("_n") < float(2 * per_lang + 64) * (1 << 31))
+    own = Window.partitionBy("_lang").orderBy("_h", "_key")  # some 2 * per_lang + 64 keys a language are left
+    chosen = near.select("_key", "_lang", "_h").distinct().withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= per_lang).select("_key", "_lang")
+    chosen = Written(chosen, "lang-sample").df
+    counts.drop()
+    texts = docs.where(trained).select(key, F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
+    picked = texts.join(F.broadcast(chosen), ["_key", "_lang"], "left_semi").dropDuplicates(["_key", "_lang"])  # at most SAMPLE_ROWS keys, or LEAST a language
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,14 +138,14 @@ def sample_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_
             for text in batch["_text"]:
                 row = np.zeros(BUCKETS, np.uint8)
                 out.append(np.packbits(row).tobytes() if text and presence(text, row) else None)
-            yield pd.DataFrame({"_id": batch["_id"], "lang": batch["_lang"], "bits": out}).dropna(subset=["bits"])
+            yield pd.DataFrame({"key": batch["_key"], "lang": batch["_lang"], "bits": out}).dropna(subset=["bits"])
 
-    return picked.mapInPandas(bits, T.StructType([T.StructField("_id", docs.schema[id_col].dataType)]).add("lang", "string").add("bits", "binary"))
+    return picked.mapInPandas(bits, "key long, lang string, bits binary")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on the bounded sample: SAMPLE_ROWS rows (or LEAST a language) of BUCKETS bits come to the driver, no texts."""
-    got = sorted((r["lang"], r["_id"], bytes(r["bits"])) for r in sample_rows(docs, id_col, text_col, lang_col, per_lang).collect())
+    got = sorted((r["lang"], r["key"], bytes(r["bits"])) for r in sample_rows(docs, id_col, text_col, lang_col, per_lang).collect())
     langs = tuple(sorted({g[0] for g in got}))
     if not langs:
         return Model((), np.zeros((0, BUCKETS // 8), np.uint8), np.zeros((1, 0)))

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from millrace.runtime import small_batches
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|textarea|title|noscript|iframe|template|svg|xmp)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(script|style|textarea|title|noscript|iframe|template|svg|xmp)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"""
     r"""|<(/?)([a-z][^\s/><]*+)((?:[^<>="']++|=\s*+(?:"[^"]*"|'[^']*')?|["'])*+)>""",
     re.DOTALL | re.IGNORECASE,
 )

@@ -105,6 +105,10 @@ def read_vint(data: bytes, at: int, keep_marker: bool = False, end: int | None =
     return (raw if keep_marker else value), at + n, value == (1 << 7 * n) - 1
 
 
+#: Timestamps below this fit a long, whatever is added within a cluster.
+_FAR = 1 << 61
+
+
 @dataclass
 class Media:
     scale: int = 1_000_000  # nanoseconds of one timestamp unit
@@ -147,6 +151,8 @@ def read_until_damage(data: bytes) -> Media:
             late = before * 8e9 / (own["bits"] * own.get("channels", 1) or 1) / own.get("rate", DEFAULT_RATE) / media.scale
         else:
             late = None
+        if late is not None and not abs(late) < _FAR:  # a rate or duration beyond all use
+            late = None
         media.packets.append((track, None if late is None else time + round(late), at, size))
     media.frames.clear()
     return media
@@ -192,6 +198,8 @@ def _walk(data: bytes, media: Media) -> None:
         elif size <= 8:
             value = int.from_bytes(data[at:end], "big")
             if tag == TIMESTAMP:
+                if value >= _FAR:
+                    raise ValueError(f"cluster time {value} at byte {start}")
                 time = value
             elif tag == TIMESTAMP_SCALE:
                 if not value:

@@ -219,12 +219,12 @@ def _apart(found: Column) -> Column:
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with every span in the text replaced by MASK, overlapping spans by one; null texts stay null.
 
-    The text is taken in parts of PART characters, each with the stretches that meet it.
+    The text is taken in parts of PART characters, each with the stretches that meet it; the work grows with parts and stretches.
     """
     found = with_spans(docs, text_col, "_spans")
     text = F.col(text_col).cast("string")
 
-    def part_of(cuts: Column) -> Column:
+    def parts_of(cuts: Column, firsts: Column, pasts: Column) -> Column:
         def masked(part: Column, k: Column) -> Column:
             lo, hi = k * PART, k * PART + F.length(part)
 
@@ -236,10 +236,20 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 rest = F.coalesce(F.get(own, F.size(own) - 1)["end"], lo)
                 return F.concat(F.array_join(F.transform(own, piece), ""), F.substring(part, rest - lo + 1, F.length(part)))
 
-            return _let(F.filter(cuts, lambda s: (s["start"] < hi) & (s["end"] > lo)), pieces)
+            first, past = F.coalesce(F.get(firsts, k), F.size(cuts)), F.coalesce(F.get(pasts, k), F.size(cuts))
+            return _let(F.slice(cuts, first + 1, past - first), pieces)
 
         return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), masked), "")
 
+    def part_of(cuts: Column) -> Column:
+        # for each part the first stretch that ends in it or later, and the first that starts after it: one walk over the stretches
+        def steps(place, least: int) -> Column:
+            return F.flatten(F.transform(cuts, lambda s, i: F.array_repeat(i, place(s) - F.coalesce(place(F.get(cuts, i - 1)), F.lit(least)))))
+
+        ends = steps(lambda s: F.floor((s["end"] - 1) / PART).cast("int"), -1)
+        starts = steps(lambda s: F.floor(s["start"] / PART).cast("int"), 0)
+        return _let(ends, lambda firsts: _let(starts, lambda pasts: parts_of(cuts, firsts, pasts)))
+
     changed = (F.size("_spans.base") + F.size("_spans.added")) > 0
     walked = _let(_apart(F.array_sort(F.concat("_spans.base", "_spans.added"))), part_of)
     return found.withColumn(text_col, F.when(changed, walked).otherwise(F.col(text_col))).drop("_spans")

@@ -39,6 +39,10 @@ MIN_TOXIC_ROWS, MIN_PRECISION = 3, 0.75
 SAMPLE_UNKNOWN, SOUGHT = 4000, 4
 #: First posteriors of labelled rows, and the classifier's penalty.
 FIRST, PENALTY = (0.05, 0.9), 0.3
+#: Clean rows joined into long ones for the classifier: how many at a time, how often each, and below which posterior a row is surely clean.
+JOINED_SIZES, JOINED_EACH, SURELY_CLEAN = (2, 4, 8, 16, 32, 64, 128, 256), 64, 0.02
+#: Distinct words beyond which a stem counts less.
+LONG = 400
 #: Rows added to a voter's counts, rows of its own distribution added to each row of an edge's table, and what an edge must gain (times the log of the rows).
 SMOOTH, LEAN, EDGE_COST = np.array([0.05, 0.1, 0.05]), 5.0, 4.0
 _SPLIT = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
@@ -201,25 +205,65 @@ def logistic(x: np.ndarray, target: np.ndarray, penalty: float, weight: np.ndarr
     return w
 
 
+def length_scale(n):
+    """What a stem counts in a text of n distinct words: less in long texts, where stems also come by chance."""
+    return 1 / np.sqrt(np.maximum(1.0, np.asarray(n) / LONG))
+
+
 @dataclass(frozen=True)
 class Model:
     stems: dict[bytes, float]
     offset: float
 
     def score(self, text: str | None) -> float:
-        z, get = self.offset, self.stems.get
-        for word in words_of(text or ""):
-            if (w := get(word + b" ")) is not None:
-                z += w
+        """Probability of the classifier: each stem that the text has counts once, as in training."""
+        get, words = self.stems.get, words_of(text or "")
+        found = {key for word in words if (key := word + b" ") in self.stems}
+        for word in words:
             plain = word.isascii()
             letters = word if plain else word.decode("utf-8", "surrogatepass")
             for k in STEM_LETTERS:
                 if len(letters) < k:
                     break
-                z += get(letters[:k] if plain else letters[:k].encode("utf-8", "surrogatepass"), 0.0)
+                if (stem := letters[:k] if plain else letters[:k].encode("utf-8", "surrogatepass")) in self.stems:
+                    found.add(stem)
+        z = self.offset + sum(map(get, sorted(found))) * length_scale(len(words))
         return float(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
 
 
+def joined_texts(x: np.ndarray, q: np.ndarray, size: np.ndarray, each: int = JOINED_EACH, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled presence rows and posteriors of long texts: rows that are surely clean, joined by twos, fours and so on.
+
+    What comes together by chance in a long clean text is no evidence, and only such rows show it. A joined text is as
+    likely to be toxic as its likeliest part.
+    """
+    clean = np.flatnonzero(q < SURELY_CLEAN)
+    if not len(clean):
+        return x[:0] * 1.0, q[:0]
+    rng = np.random.default_rng(seed)
+    rows, target = [], []
+    for many in JOINED_SIZES:
+        for _ in range(each):
+            own = rng.choice(clean, min(many, len(clean)), replace=False)
+            rows.append(x[own].max(0) * length_scale(size[own].sum()))  # words that parts share count twice: as if the text were longer
+            target.append(q[own].max())
+    return np.array(rows), np.array(target)
+
+
+def bounded_logistic(x: np.ndarray, target: np.ndarray, penalty: float, weight: np.ndarray) -> np.ndarray:
+    """As `logistic`, with no weight below zero but the offset: those that would be are held at zero and the rest is fitted anew."""
+    free = np.ones(x.shape[1], bool)
+    while True:
+        w = logistic(x[:, free], target, penalty, weight)
+        below = w[:-1] < 0
+        if not below.any():
+            break
+        free[np.flatnonzero(free)[below]] = False
+    out = np.zeros(x.shape[1] + 1)
+    out[:-1][free], out[-1] = w[:-1], w[-1]
+    return out
+
+
 def _training_rows(labels: DataFrame, id_col: str, toxic_col: str = "toxic") -> DataFrame:
     rows = labels.select(F.col(id_col).alias("_id"), F.col(toxic_col).cast("int").alias("toxic"))
     return rows.where((fold(F.col("_id"), 5) != 0) & F.col("_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -292,20 +336,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 "toxic": batch["toxic"],
                 "hits": [sorted(place[s] for s in stems_of(t) if s in place) for t in batch["text"]],
                 "shape": [pattern_votes(t) for t in batch["text"]],
+                "size": [len(words_of(t)) for t in batch["text"]],
             })
 
     placed = sample.select(F.xxhash64("_id", "toxic", "text").alias("place"), "toxic", "text")
-    got = sorted(placed.mapInPandas(seen, "place long, toxic int, hits array<int>, shape array<int>").collect())
+    got = sorted(placed.mapInPandas(seen, "place long, toxic int, hits array<int>, shape array<int>, size long").collect())
     label = np.array([r["toxic"] for r in got])
     x = np.zeros((len(got), len(stems)))
     for k, r in enumerate(got):
         x[k, r["hits"]] = 1
+    size = np.array([r["size"] for r in got])
     votes = np.c_[x[:, _voters(x)].astype(int), np.array([r["shape"] for r in got])]
     weight = np.where(label < 0, 1.0, np.where(label > 0, there[1] / n1, there[0] / n0) * (n1 + n0) / (there[1] + there[0]))  # labelled rows in their shares
     start = np.where(label < 0, base, np.where(label > 0, FIRST[1], FIRST[0]))
     q = LabelModel.fit(votes, start, label, weight).posterior(votes)
-    w = logistic(x, q, PENALTY, weight)
-    w[:-1] = np.maximum(w[:-1], 0)  # a stem never speaks for a text
+    long_x, long_q = joined_texts(x, q, size)
+    w = bounded_logistic(np.r_[x * length_scale(size)[:, None], long_x], np.r_[q, long_q], PENALTY, np.r_[weight, np.ones(len(long_q))])  # a stem never speaks for a text
     return Model({s: float(v) for s, v in zip(stems, w, strict=False) if v > 1e-6}, float(w[-1]))
 
 
