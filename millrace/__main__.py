@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None) -> int:
             for table in VERDICTS:
                 p.add_argument(f"--{table}", help="Parquet table of verdicts")
             p.add_argument("--judge", help="base URL of a live judge, for all verdicts")
+            p.add_argument("--dry-run", action="store_true", help="count what would be read and called, write nothing")
             p.add_argument("--model")
             p.add_argument("--wire", choices=("chat", "messages"), default="chat")
             p.add_argument("--key-env", action="append", default=[], help="environment variable that holds a key; may be repeated")
@@ -54,15 +55,21 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from millrace.plans.live import run_live
-    from millrace.plans.run import Verdicts, run
+    from millrace.plans.run import Verdicts, dry_run, run
+    from millrace.sinks import trace
 
     try:
         spark = SparkSession.builder.getOrCreate()
-        if args.judge:
-            print(json.dumps(run_live(spark, config, _judge(args), limit=args.limit)))
+        if args.dry_run:
+            print(json.dumps(dry_run(spark, config, limit=args.limit)))
             return 0
-        verdicts = Verdicts(**{t: spark.read.parquet(path) for t in VERDICTS if (path := getattr(args, t))})
-        print(json.dumps(run(spark, config, verdicts, limit=args.limit, strict=True)))
+        if args.judge:
+            told = run_live(spark, config, _judge(args), limit=args.limit)
+        else:
+            verdicts = Verdicts(**{t: spark.read.parquet(path) for t in VERDICTS if (path := getattr(args, t))})
+            told = run(spark, config, verdicts, limit=args.limit, strict=True)
+        print(json.dumps(told))
+        print("\n".join(trace.summary(told["counts"])), file=sys.stderr)
     except config_.ConfigError as error:
         print(error, file=sys.stderr)
         return 2

@@ -1,4 +1,4 @@
-"""Shapes of answers: a subset of JSON Schema, its checks, and answers brought into shape."""
+"""Shapes of answers as JSON Schemas, and answers brought into shape."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import schema
 from millrace.functions.fit import repaired
 from millrace.judges import violations
 from millrace.operators.votes import DEFECTS
@@ -69,22 +70,13 @@ def samples(n: int) -> dict:
     return strict(samples=listed(TEXT, n, n))
 
 
-_KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-_KNOWN = {"type", "enum", "properties", "required", "additionalProperties", "items", "minItems", "maxItems", "minimum", "maximum", "minLength", "maxLength", "title", "description"}
-
-
-def _is(value: Any, kind: str) -> bool:
-    if kind in ("integer", "number"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
-    return isinstance(value, _KINDS[kind])
-
-
 def unknown_words(shape: dict) -> list[str]:
-    """Words of a schema that aren't checked here, so that a user's schema can be refused instead of half checked."""
-    out = [k for k in shape if k not in _KNOWN]
-    for below in [*shape.get("properties", {}).values(), *([shape["items"]] if isinstance(shape.get("items"), dict) else [])]:
-        out += unknown_words(below)
-    return sorted(set(out))
+    """What of a schema can't be checked here, so that a user's schema can be refused instead of half checked."""
+    try:
+        schema.compiled(shape)
+    except schema.SchemaError as error:
+        return [str(error)]
+    return []
 
 
 def pointer(path: tuple[str | int, ...]) -> str:
@@ -92,36 +84,10 @@ def pointer(path: tuple[str | int, ...]) -> str:
     return "/" + "/".join(str(p).replace("~", "~0").replace("/", "~1") for p in path)
 
 
-def faults(value: Any, shape: dict, path: tuple[str | int, ...] = ()) -> list[str]:
+def faults(value: Any, shape: dict | schema.Program, path: tuple[str | int, ...] = ()) -> list[str]:
     """`pointer: what is wrong` of every fault, in the order of the pointers, then of the words."""
-    return [f"{pointer(p)}: {said}" for p, said in sorted(_faults(value, shape, path), key=lambda x: ([str(k) for k in x[0]], x[1]))]
-
-
-def _faults(value: Any, shape: dict, path: tuple[str | int, ...]) -> list[tuple[tuple[str | int, ...], str]]:
-    kinds = shape.get("type")
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(_is(value, k) for k in kinds):
-        return [(path, f"{' or '.join(kinds)} expected")]
-    out: list[tuple[tuple[str | int, ...], str]] = []
-    if "enum" in shape and value not in shape["enum"]:
-        out.append((path, f"one of {json.dumps(shape['enum'], ensure_ascii=False)} expected"))
-    if isinstance(value, dict):
-        fields = shape.get("properties", {})
-        out += [((*path, k), "missing") for k in shape.get("required", ()) if k not in value]
-        if shape.get("additionalProperties") is False:
-            out += [((*path, k), "not expected") for k in value if k not in fields]
-        for k in fields.keys() & value.keys():
-            out += _faults(value[k], fields[k], (*path, k))
-    elif isinstance(value, list):
-        for k, item in enumerate(value if "items" in shape else ()):
-            out += _faults(item, shape["items"], (*path, k))
-    size = len(value) if isinstance(value, (list, str)) else value if _is(value, "number") else None
-    low, high = {list: ("minItems", "maxItems"), str: ("minLength", "maxLength")}.get(type(value), ("minimum", "maximum"))
-    if size is not None and low in shape and size < shape[low]:
-        out.append((path, f"{shape[low]} at least, not {size}"))
-    if size is not None and high in shape and size > shape[high]:
-        out.append((path, f"{shape[high]} at most, not {size}"))
-    return out
+    program = shape if isinstance(shape, schema.Program) else schema.compiled(shape)
+    return [f"{pointer(p)}: {said}" for p, said in sorted(program.run(value, path), key=lambda x: ([str(k) for k in x[0]], x[1]))]
 
 
 def canonical(value: Any) -> str:
@@ -129,7 +95,7 @@ def canonical(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def shaped(answer: str | None, shape: dict, check: Callable[[dict], list[str] | None] | None = None) -> tuple[str | None, list[str], bool]:
+def shaped(answer: str | None, shape: dict | schema.Program, check: Callable[[dict], list[str] | None] | None = None) -> tuple[str | None, list[str], bool]:
     """(object as JSON, faults, whether it had to be mended) of an answer; an object only without faults."""
     if answer is None:
         return None, ["/: no answer"], False
@@ -151,11 +117,30 @@ def shaped_column(answer: Column, shape: dict, check: Callable[[dict], list[str]
 
     @F.pandas_udf("output string, problems array<string>, mended boolean")
     def one(answers: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shaped(a, shape, check) for a in answers], columns=["output", "problems", "mended"])
+        program = schema.compiled(shape)
+        return pd.DataFrame([shaped(a, program, check) for a in answers], columns=["output", "problems", "mended"])
 
     return one.asNondeterministic()(answer)
 
 
+def fault_column(text: Column, shape: dict) -> Column:
+    """array of what is wrong with a JSON text by a schema; empty where nothing is."""
+
+    @F.pandas_udf("array<string>")
+    def told(texts: pd.Series) -> pd.Series:
+        program = schema.compiled(shape)
+
+        def one(t: str | None) -> list[str]:
+            try:
+                return faults(json.loads(t), program) if t is not None else ["/: nothing there"]
+            except ValueError:
+                return ["/: no JSON"]
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return told(text)
+
+
 def canonical_column(text: Column) -> Column:
     """A JSON text with sorted keys and no blanks; null where it is no JSON."""
 

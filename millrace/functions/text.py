@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import unicodedata
 
 import pandas as pd
@@ -150,6 +152,15 @@ def lookup(raw: Column, dotted: str) -> Column:
 
 
 def passed_through(raw: Column, fields: list[str]) -> Column:
-    """map of the given top-level fields that a JSON text has, values as JSON; a null value is there."""
-    each = F.array(*[F.struct(F.lit(f).alias("k"), lookup(raw, f).alias("v")) for f in fields]) if fields else F.array().cast("array<struct<k:string,v:struct<state:string,value:string>>>")
-    return F.map_from_entries(F.transform(F.filter(each, lambda x: x["v"]["state"] != "missing"), lambda x: F.struct(x["k"], F.coalesce(x["v"]["value"], F.lit("null")))))
+    """JSON object of the given top-level fields that a JSON text has, with their own values; a null value is there.
+
+    A name is a name, whatever is in it: dots part nothing here.
+    """
+    parsed = F.try_parse_json(raw)
+
+    def place(name: str) -> str:
+        mark = "'" if "'" not in name else '"'
+        return f"$[{mark}{name}{mark}]"
+
+    own = [F.concat(F.lit(f"{json.dumps(f, ensure_ascii=False)}:"), F.to_json(F.try_variant_get(parsed, place(f), "variant"))) for f in dict.fromkeys(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *own) if own else F.lit(""), F.lit("}"))

@@ -109,17 +109,20 @@ def threshold_gate(aggregate: Column, threshold: float, on_unscored: str = "keep
     return F.when(aggregate.isNull(), unscored).when(aggregate >= threshold, "active").otherwise("dropped_lowq")
 
 
-def top_ratio(scored: DataFrame, pool: list[str], aggregate: str, item: str, ratio: float, on_unscored: str = "keep") -> DataFrame:
-    """`scored` with rank and status: the best ceil(ratio * n) of each pool's scored rows stay, ties by item."""
+def top_ratio(scored: DataFrame, pool: list[str], aggregate: str, item: str, ratio: float | Column, on_unscored: str | Column = "keep") -> DataFrame:
+    """`scored` with rank and status: the best ceil(ratio * n) of each pool's scored rows stay, ties by item.
+
+    ratio and on_unscored may be columns that are the same in all rows of a pool.
+    """
     known = F.col(aggregate).isNotNull()
     marked = scored.withColumn("_known", known)
     ranked = ranks(marked, [*pool, "_known"], [F.desc(aggregate), F.col(item)])
-    quota = marked.where("_known").groupBy(*[F.col(c).alias(f"_in_{c}") for c in pool]).agg(F.ceil(F.lit(ratio) * F.count("*")).alias("_quota"))
+    quota = marked.where("_known").groupBy(*[F.col(c).alias(f"_in_{c}") for c in pool]).agg(F.ceil((F.max(ratio) if isinstance(ratio, Column) else F.lit(ratio)) * F.count("*")).alias("_quota"))
     same = F.lit(True)
     for c in pool:
         same = same & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
     ranked = ranked.join(quota, same, "left").withColumn("rank", F.when(F.col("_known"), F.col("rank")))
-    unscored = "active" if on_unscored == "keep" else "dropped_lowq"
+    unscored = F.when((F.lit(on_unscored) if isinstance(on_unscored, str) else on_unscored) == "keep", "active").otherwise("dropped_lowq")
     status = F.when(~F.col("_known"), unscored).when(F.col("rank") <= F.col("_quota"), "active").otherwise("dropped_lowq")
     return ranked.withColumn("status", status).select(*[c for c in scored.columns if c not in ("rank", "status")], "rank", "status")
 

@@ -126,7 +126,8 @@ def example_faults(examples: list[dict], shape: dict, check=None) -> list[str]:
     from millrace.functions import shapes
     from millrace.judges import violations
 
-    out = [f"output.schema: {w} isn't checked here" for w in shapes.unknown_words(shape)]
+    if out := [f"output.schema: {w}" for w in shapes.unknown_words(shape)]:
+        return out
     for k, example in enumerate(examples, 1):
         told = shapes.faults(example.get("output"), shape)
         if not told and check is not None:
@@ -164,4 +165,9 @@ def _combinations(v: dict[str, dict[str, Any]], classes: dict) -> list[str]:
         (v["segment"]["window"] < 2, "segment.window: 2 at least"),
         (bool(v["generate"]["weights"]) and len(v["generate"]["weights"]) != len(v["generate"]["llms"]), "generate.weights: one for each model"),
     ]
+    shape = v["output"]["schema"]
+    if isinstance(shape, dict):
+        from millrace.functions import shapes
+
+        rules += [(True, f"output.schema: {w}") for w in shapes.unknown_words(shape)]
     return [text for bad, text in rules if bad] + [f"class.{c}: not among classify.classes" for c in classes if c not in names]

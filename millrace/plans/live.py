@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import shapes
 from millrace.judges import Judge
 from millrace.operators import quality
 from millrace.plans import calls
-from millrace.plans.config import Config
+from millrace.plans.config import Config, ConfigError
 from millrace.plans.rubrics import RUBRICS
-from millrace.plans.run import Verdicts, ingest, process, run
+from millrace.plans.run import Verdicts, judged, prepare, run, unsupported
 from millrace.runtime import Written
-from millrace.sources import jsonl
 
 Make = Callable[[], Judge]
 #: Shape of an output where the project names none.
@@ -66,10 +65,16 @@ def scores(active: DataFrame, config: Config, make: Make) -> DataFrame:
 
 
 def outputs(active: DataFrame, config: Config, make: Make, shape: dict) -> DataFrame:
-    """(id, output, problem) by the project's instruction and shape."""
-    plan = calls.annotation_calls(active, ["id"], "text", config["annotate"]["instruction"], shape)
+    """(id, output, problem, problems) by the instruction of each record's class and the project's shape."""
+    by_class = {name: told for name in config.classes if (told := config.of_class(name, "annotate")["instruction"]) != config["annotate"]["instruction"]}
+    plans = [(F.col("label") == name, told) for name, told in by_class.items()]  # the project's classes
+    plans.append((~F.coalesce(F.col("label").isin(*by_class), F.lit(False)) if by_class else F.lit(True), config["annotate"]["instruction"]))
+    plan = None
+    for own, told in plans:
+        part = calls.annotation_calls(active.where(own), ["id"], "text", told, shape)
+        plan = part if plan is None else plan.unionByName(part)
     got = calls.answered(plan, make, ["id"], shape, config["output"]["max_repair_attempts"])
-    return got.select("id", "output", F.when(F.col("output").isNull(), "schema_violation").alias("problem"))
+    return got.select("id", "output", F.when(F.col("output").isNull(), "schema_violation").alias("problem"), "problems")
 
 
 def reviews(active: DataFrame, config: Config, make: Make) -> DataFrame:
@@ -79,32 +84,41 @@ def reviews(active: DataFrame, config: Config, make: Make) -> DataFrame:
     return calls.reviews(_asked(plan, make, ["id", "judge"], shapes.REVIEW, config["output"]["max_repair_attempts"]), ["id"])
 
 
-def verdicts(records: DataFrame, config: Config, make: Make, shape: dict | None = None) -> Verdicts:
-    """Tables of all enabled stages. Each is written once, so that no call is made twice.
+def verdicts(base: DataFrame, config: Config, make: Make, shape: dict | None = None) -> Verdicts:
+    """Tables of all enabled stages over `run.deduplicated` records. Each is written once, so that no call is made twice.
 
     Records of one id are asked about once. Only what is still active is asked about, which is what the stages
     before have left.
     """
-    own = Verdicts()
+    own, spent = Verdicts(), []
 
     def active() -> DataFrame:
-        rows = process(records, config, own).where("status = 'active'")
-        first = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
-        return Written(rows.withColumn("_k", first).where("_k = 1").drop("_k"), "active").df
+        for table in spent:
+            table.drop()
+        rows = judged(base, config, own).where("status = 'active'")
+        first = rows.groupBy("id").agg(F.min("seq").alias("seq"))
+        spent[:] = [Written(rows.join(first, ["id", "seq"], "left_semi"), "active")]
+        return spent[0].df
 
     if config["classify"]["enabled"]:
         own = replace(own, labels=Written(labels(active(), config, make), "labels").df)
     if config["quality"]["enabled"]:
         own = replace(own, scores=Written(scores(active(), config, make), "scores").df)
     if config["annotate"]["enabled"]:
-        own = replace(own, outputs=Written(outputs(active(), config, make, shape or ANY_OBJECT), "outputs").df)
+        own = replace(own, outputs=Written(outputs(active(), config, make, shape or config["output"]["schema"] or ANY_OBJECT), "outputs").df)
     if config["verify"]["enabled"]:
         own = replace(own, reviews=Written(reviews(active(), config, make), "reviews").df)
+    for table in spent:
+        table.drop()
     return own
 
 
 def run_live(spark: SparkSession, config: Config, make: Make, shape: dict | None = None, limit: int | None = None) -> dict:
-    """As `run`, with verdicts that a live judge gives; the report is `run`'s."""
-    records, _ = ingest(spark, config, limit)
-    jsonl.require_some(records)
-    return run(spark, config, verdicts(records, config, make, shape), limit, strict=True)
+    """As `run`, with verdicts that a live judge gives; the report is `run`'s.
+
+    Settings that aren't honoured are told before the first call. The input is read and deduplicated once.
+    """
+    if faults := unsupported(config, live=True):
+        raise ConfigError(faults)
+    prepared = prepare(spark, config, limit)
+    return run(spark, config, verdicts(prepared[0], config, make, shape), limit, strict=True, live=True, prepared=prepared)

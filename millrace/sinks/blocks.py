@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def source(file: Column, line_no: Column, pair_index: Column, generated_from: Column | None = None, fields: Column | None = None, generator: Column | None = None) -> Column:
     """Where a record comes from, as JSON: a line's number, or else the index of a pair (null for grown records).
 
-    fields: values passed through, for delivered rows; generator: what made a grown record.
+    fields: values passed through, for delivered rows; generator: what made a grown record. Both are JSON texts; a null
+    one is written as null.
     """
     ids = generated_from if generated_from is not None else F.array().cast("array<string>")
     shared = [file.alias("file"), F.coalesce(ids, F.array().cast("array<string>")).alias("generated_from")]
-    more = ([fields.alias("fields")] if fields is not None else []) + ([generator.alias("generator")] if generator is not None else [])
-    spell = lambda place: F.to_json(F.struct(shared[0], place, shared[1], *more), {"ignoreNullFields": "false"})
-    return F.when(line_no.isNotNull(), spell(line_no.alias("line_no"))).otherwise(spell(pair_index.alias("pair_index")))
+    spell = lambda place: F.to_json(F.struct(shared[0], place, shared[1]), {"ignoreNullFields": "false"})
+    base = F.when(line_no.isNotNull(), spell(line_no.alias("line_no"))).otherwise(spell(pair_index.alias("pair_index")))
+    more = [F.concat(F.lit(f',"{name}":'), F.coalesce(text, F.lit("null"))) for name, text in (("fields", fields), ("generator", generator)) if text is not None]
+    return F.concat(F.regexp_replace(base, r"\}$", ""), *more, F.lit("}")) if more else base
 
 
 def scores(rows: DataFrame, key: list[str], mode: str, pool: str | None = None) -> DataFrame:

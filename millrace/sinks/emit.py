@@ -17,12 +17,14 @@ def channel(status: Column) -> Column:
     return F.when(status == "active", "main").when(status.isin("absorbed", "stitched"), "counted").otherwise("rejects")
 
 
-def reject_reason(status: Column, kind: Column, selection: str, noise_stage: Column, noise_reason: Column, error_stage: Column, error_kind: Column) -> Column:
-    """struct(stage, reason) of a rejected row; null for rows that aren't rejected."""
+def reject_reason(status: Column, kind: Column, selection: str | Column, noise_stage: Column, noise_reason: Column, error_stage: Column, error_kind: Column) -> Column:
+    """struct(stage, reason) of a rejected row; null for rows that aren't rejected. selection: how rows were gated, or a row's own gate."""
+    chosen = F.lit(selection) if isinstance(selection, str) else selection
+    gate = F.when(chosen == "top_ratio", "top_ratio").otherwise("below_threshold")
     pair = lambda a, b: F.struct(F.lit(a).alias("stage") if isinstance(a, str) else a.alias("stage"), F.lit(b).alias("reason") if isinstance(b, str) else b.alias("reason"))
     return (
         F.when(status == "dropped_dup", pair("dedup", kind))
-        .when(status == "dropped_lowq", pair("quality", "top_ratio" if selection == "top_ratio" else "below_threshold"))
+        .when(status == "dropped_lowq", pair("quality", gate))
         .when(status == "dropped_verify", pair("verify", "verify_fail"))
         .when(status == "dropped_noise", pair(noise_stage, noise_reason))
         .when(status == "failed", pair(error_stage, error_kind))
@@ -36,9 +38,11 @@ def accounts(items: DataFrame, status: str, bad_input: int, scanned: int, genera
     return counts.withColumn("bad_input", F.lit(bad_input)).withColumn("balanced", (out + bad_input == scanned + generated + fanout + episodes) & (F.col("unknown") == 0))
 
 
-def main_row(output: Column, meta: Column, mode: str = "inline") -> Column:
+def main_row(output: Column, meta: Column, mode: str = "inline", spelt: bool = False) -> Column:
     """JSON of a delivered row: the user's object, with `_meta` inside when inline; null fields are written.
 
+    spelt: `meta` is JSON already, not a struct.
+
     Blanks around the object go. A `_meta` of the user's own gives way; such a row's keys come in their order.
     """
     if mode != "inline":
@@ -47,7 +51,7 @@ def main_row(output: Column, meta: Column, mode: str = "inline") -> Column:
     own = F.try_variant_get(given, "$", "map<string,variant>")
     clean = F.when(F.try_variant_get(given, "$._meta", "variant").isNull(), output).otherwise(F.to_json(F.map_filter(own, lambda k, _: k != "_meta")))
     body = F.regexp_replace(F.regexp_replace(clean, "^\\s*\\{\\s*", ""), "\\s*\\}\\s*$", "")
-    return F.concat(F.lit("{"), F.when(body != "", F.concat(body, F.lit(","))).otherwise(""), F.lit('"_meta":'), F.to_json(meta, {"ignoreNullFields": "false"}), F.lit("}"))
+    return F.concat(F.lit("{"), F.when(body != "", F.concat(body, F.lit(","))).otherwise(""), F.lit('"_meta":'), meta if spelt else F.to_json(meta, {"ignoreNullFields": "false"}), F.lit("}"))
 
 
 def redacted(payload: Column, tier: str, excerpt: int = 200) -> Column:

@@ -25,7 +25,7 @@ def test_meta_has_every_key(spark):
     got = {r["id"]: json.loads(r["m"]) for r in out.select("id", blocks.meta(F.col("id"), F.lit('{"tool":"t"}'), place, scores=F.col("scores"), dedup=F.lit('{"kind":"unique"}')).alias("m")).collect()}
     one, two = got['r"1'], got["r2"]
     assert list(one) == ["id", "run", "source", "stream", "scores", "dedup", "classification", "annotation", "verification"] and one["id"] == 'r"1'
-    assert one["source"] == {"file": "a.jsonl", "line_no": 3, "generated_from": [], "fields": {"lang": '"en"', "x": "null"}}
+    assert one["source"] == {"file": "a.jsonl", "line_no": 3, "generated_from": [], "fields": {"lang": "en", "x": None}}
     assert one["scores"] == {"clarity": 0.25, "depth": None, "__aggregate__": 0.5, "mode": "pointwise", "batch_no": 2, "pool": "code"}
     assert two["scores"] is None and two["source"]["pair_index"] is None and "line_no" not in two["source"]
     with pytest.raises(ValueError):
@@ -87,7 +87,8 @@ def test_rubrics_environment_examples():
     assert loaded["run"]["batch_size"] == 7 and loaded["run"]["output"] == "/o ut"
     shape = {"type": "object", "required": ["a"], "properties": {"a": {"type": "string"}}}
     assert config.example_faults([{"output": {"a": "x"}}, {"output": {}}], shape) == ["examples 2: /a: missing"]
-    assert config.example_faults([{"output": {"a": "x"}}], shape | {"oneOf": []}, lambda o: 3) == ["output.schema: oneOf isn't checked here", "examples 1: TypeError: a check must return a list, not int"]
+    assert config.example_faults([{"output": {"a": "x"}}], shape, lambda o: 3) == ["examples 1: TypeError: a check must return a list, not int"]
+    assert config.example_faults([], shape | {"oneOff": []}) == ["output.schema: oneOff isn't known"]
     assert config.prompt_faults({"quality": 5000, "verify": 10}, 8192, 4096) == ["quality: 5000 tokens before any record, 3276 allowed"] and config.prompt_faults({"a": 9}, 0, 1) == []
 
 

@@ -45,13 +45,18 @@ def test_greedy_whatever_counts_as_few(spark, few):
     points = [rng.randrange(60) for _ in range(80)]
     rows = [(k, b) for k, p in enumerate(points) for b in (p // 4, (p + 2) // 4 + 100)]
     near = lambda a, b: abs(points[a] - points[b]) <= 1 and bool({points[a] // 4, (points[a] + 2) // 4 + 100} & {points[b] // 4, (points[b] + 2) // 4 + 100})
-    values = spark.createDataFrame(list(enumerate(points)), "seq long, p long")
+    values = spark.createDataFrame(list(enumerate(points)), "seq long, feature long")
 
-    def compare(pairs):
-        both = pairs.join(values.select(F.col("seq").alias("later"), F.col("p").alias("x")), "later").join(values.select(F.col("seq").alias("earlier"), F.col("p").alias("y")), "earlier")
-        return both.where(F.abs(F.col("x") - F.col("y")) <= 1).select("later", "earlier", (-F.abs(F.col("x") - F.col("y"))).cast("double").alias("similarity"))
+    class Close:
+        def column(self, a, b):
+            return F.when(F.abs(a - b) <= 1, (-F.abs(a - b)).cast("double"))
 
-    got = {(r["later"], r["earlier"]) for r in dedup.greedy(spark.createDataFrame(rows, "seq long, bucket long"), compare, few).collect()}
+        def __call__(self, a, b):
+            apart = np.abs(a[:, None] - b[None, :]).astype(float)
+            return np.where(apart <= 1, -apart, np.nan)
+
+    buckets = spark.createDataFrame([(k, b, 0) for k, b in rows], "seq long, bucket long, tag int")
+    got = {(r["later"], r["earlier"]) for r in dedup.greedy(buckets, values, Close(), few=few, tile=4)[0].collect()}
     kept, want = [], set()
     for k in range(len(points)):
         hits = {(k, e) for e in kept if near(k, e)}
@@ -68,7 +73,7 @@ def test_shapes():
     bad = {"frames": [{"index": 2, "relation": "x", "more": 1}], "a/b": 1}
     assert shapes.faults(bad, shape) == ["/a~1b: not expected", "/frames: 2 at least, not 1", "/frames/0/index: 1 at most, not 2", '/frames/0/more: not expected', '/frames/0/relation: one of ["continues", "advances", "returns_to_entry", "context_switch", "interruption"] expected']
     assert shapes.faults(True, {"type": "integer"}) and not shapes.faults(None, shapes.TEXT_OR_NULL) and shapes.faults([], shape) == ["/: object expected"]
-    assert shapes.unknown_words({"type": "array", "items": {"oneOf": []}, "uniqueItems": True}) == ["oneOf", "uniqueItems"]
+    assert shapes.unknown_words({"type": "array", "items": {"oneOff": []}, "uniqueItems": True}) == ["oneOff isn't known"]
     assert shapes.shaped('```json\n{"class": "a"}\n```', shapes.classes(["a"]))[:2] == ('{"class":"a"}', [])
     assert shapes.shaped('{"class": "a"', shapes.classes(["a"])) == ('{"class":"a"}', [], True)
     assert shapes.shaped("nothing", shapes.classes(["a"]))[:2] == (None, ["/: no object"]) and shapes.shaped(None, shape)[1] == ["/: no answer"]

@@ -44,8 +44,8 @@ def test_a_live_run(spark, tmp_path):
     rows = read(tmp_path / "out" / "main")
     counts = told["counts"]
     assert counts["balanced"] and (counts["dropped_dup"], counts["dropped_lowq"], counts["dropped_verify"], counts["active"]) == (1, 2, 1, 2)
-    assert sorted(r["_meta"]["label"] for r in rows) == ["food", "rest"] and all(r["topic"] == "t" and r["_meta"]["aggregate"] >= 0.4 for r in rows)
-    assert {(r["stage"], r["reason"]) for r in read(tmp_path / "out" / "rejects")} == {("dedup", "exact"), ("quality", "below_threshold"), ("verify", "verify_fail")}
+    assert sorted(r["_meta"]["classification"]["label"] for r in rows) == ["food", "rest"] and all(r["topic"] == "t" and r["_meta"]["scores"]["__aggregate__"] >= 0.4 for r in rows)
+    assert {(r["_meta"]["stage"], r["_meta"]["reason"]) for r in read(tmp_path / "out" / "rejects")} == {("dedup", "exact"), ("quality", "below_threshold"), ("verify", "verify_fail")}
 
 
 def test_ranks_of_large_and_small_pools(spark):

@@ -32,8 +32,8 @@ def test_run_accounts_for_every_row(spark, tmp_path):
     assert told["counts"]["balanced"] and told["counts"]["bad_input"] == 1
     assert (told["counts"]["active"], told["counts"]["dropped_dup"], told["counts"]["dropped_lowq"]) == (3, 1, 1)
     main_rows, rejects = read(tmp_path / "out" / "main"), read(tmp_path / "out" / "rejects")
-    assert len(main_rows) == 3 and all(r["_meta"]["source"]["source_file"] == "a.jsonl" for r in main_rows)
-    assert sorted((r["stage"], r["reason"]) for r in rejects) == [("dedup", "exact"), ("quality", "below_threshold")]
+    assert len(main_rows) == 3 and all(r["_meta"]["source"]["file"] == "a.jsonl" for r in main_rows)
+    assert sorted((r["_meta"]["stage"], r["_meta"]["reason"]) for r in rejects) == [("dedup", "exact"), ("quality", "below_threshold")]
     assert read(tmp_path / "out" / "report")[0]["quality"][9] == 2
 
 
@@ -56,7 +56,7 @@ CLASSES = '[classify]\nenabled = true\nclasses = ["a", "b"]\nfallback_class = "b
 IGNORED = {
     "dedup.semantic": "[dedup]\nsemantic = true\n", "segment.enabled": "[segment]\nenabled = true\n", "generate.enabled": "[generate]\nenabled = true\n",
     "classify.assignment": CLASSES + 'assignment = "multi"\n', "classify.self_consistency": CLASSES + "self_consistency = 3\n", "annotate.self_consistency": "[annotate]\nself_consistency = 3\n",
-    "verify.policy": '[verify]\nenabled = true\npolicy = "repair"\n', "class.a.quality.threshold": CLASSES + "[class.a.quality]\nthreshold = 0.2\n", "output.schema": '[output]\nschema = "x"\n', "trace.enabled": "[trace]\nenabled = true\n",
+    "verify.policy": '[verify]\nenabled = true\npolicy = "repair"\n', "class.a.quality.rubric": CLASSES + '[class.a.quality]\nrubric = "r"\n', "output.schema": '[output]\nschema = "x"\n',
     "stitch.enabled": "[segment]\nenabled = true\n[stitch]\nenabled = true\n",
 }
 
