@@ -14,7 +14,7 @@ from millrace.functions import fit, shapes, ui
 from millrace.functions import text as text_fn
 from millrace.operators import chains, dedup, generate, quality, review, sessions, stitch, votes
 from millrace.plans import calls
-from millrace.runtime import table
+from millrace.runtime import Written, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -434,3 +434,14 @@ def image_dedup(spark, d):
     bit = lambda i: F.when(F.get("embedding", i) >= 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     code = sum((bit(i) for i in range(1, 64)), bit(0))
     return dedup.near_image(table(spark, d, "embeddings").select("vec_id", code.alias("code")), "vec_id", "code")
+
+
+@query()
+def picture_dedup(spark, d):
+    """Every document drawn as a picture, and its perceptual code against all kept earlier ones; distance is in bits."""
+    from millrace.functions import picture
+
+    coded = table(spark, d, "documents").select("doc_id", picture.coded(picture.drawn(F.col("text"))).alias("_c")).select("doc_id", "_c.code")
+    coded = Written(coded, "picture-codes").df
+    near = dedup.near_image(coded, "doc_id", "code").select(F.col("later").alias("doc_id"), F.col("earlier").alias("kept_id"), F.col("similarity").cast("int").alias("distance"))
+    return coded.join(near, "doc_id", "left").select("doc_id", "code", F.when(F.col("kept_id").isNull(), "unique").otherwise("near_image").alias("kind"), "kept_id", "distance")

@@ -39,7 +39,11 @@ def ordered(frames: DataFrame, config: Config) -> DataFrame:
 
 
 def in_sessions(rows: DataFrame, config: Config) -> DataFrame:
-    """Rows that aren't late, with session (its id and repeat), pos in it from 0, and split: whether the length cap closed it."""
+    """Rows that aren't late, with session_id (id and repeat), session, pos from 0, split, frames and slice.
+
+    A session of more frames than a batch holds is cut hard into slices of that many (`split`): each is judged and
+    batched as a session of its own, with its own name in `session`. Others are one slice.
+    """
     s = config["stream"]
     by_time = s["order_by"] != "input_order"
     own = rows.where("not late")
@@ -48,10 +52,14 @@ def in_sessions(rows: DataFrame, config: Config) -> DataFrame:
         max_span_s=s["session_max_span_s"] if by_time else 0,
     )
     name = F.when(F.col("repeat") == 0, F.col("session_id")).otherwise(F.concat_ws("-", "session_id", F.col("repeat").cast("string")))
-    starts = cut.select("lane", F.col("first_seq").alias("seq"), F.struct("first_seq", name.alias("session"), (F.col("cause") == "max_len").alias("split")).alias("_s"))
+    starts = cut.select("lane", F.col("first_seq").alias("seq"), F.struct("first_seq", name.alias("session_id"), F.col("len").alias("frames")).alias("_s"))
     begun = lanes.parted(own.join(starts, ["lane", "seq"], "left"), ["lane"], ["seq"]).df
-    placed = lanes.scan(begun, ["seq"], peaks={"_since": F.col("_s")}).withColumn("_s", F.coalesce("_s", "_since")).select(*own.columns, "_s.session", "_s.split")
-    return placed.withColumn("pos", F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1)  # a session's length is capped
+    placed = lanes.scan(begun, ["seq"], peaks={"_since": F.col("_s")}).withColumn("_s", F.coalesce("_s", "_since")).select(*own.columns, "_s.session_id", "_s.frames")
+    at = F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1  # a session's length is capped
+    size = config["run"]["batch_size"]
+    cut = placed.withColumn("split", F.col("frames") > size).withColumn("_at", at).withColumn("slice", F.when(F.col("split"), F.floor(F.col("_at") / size)).otherwise(0))
+    named = F.when(F.col("split"), F.concat_ws("/", "session_id", F.col("slice").cast("string"))).otherwise(F.col("session_id"))
+    return cut.withColumn("session", named).withColumn("pos", F.when(F.col("split"), F.col("_at") % size).otherwise(F.col("_at")).cast("int")).drop("_at")
 
 
 def segmented(frames: DataFrame, config: Config, make: Callable[[], Judge] | None) -> DataFrame:
@@ -75,21 +83,23 @@ def segmented(frames: DataFrame, config: Config, make: Callable[[], Judge] | Non
 def episodes(frames: DataFrame, batch_size: int) -> DataFrame:
     """Records of the active frames' segments: seq, id, text, raw (the members), source_file, line_no, batch_no, session, members.
 
-    Batches take whole sessions in order while their frames fit.
+    Batches take whole sessions in order while all their frames fit, noise included; each slice of a split session is
+    a batch of its own.
     """
     member = F.struct("pos", "id", "text", "source_file", "line_no", "seq")
-    rows = frames.where("status = 'active'").groupBy("session", "segment").agg(F.array_sort(F.collect_list(member)).alias("_m"), F.bool_or("degraded").alias("degraded"), F.bool_or("split").alias("split"))  # a session's length is capped
+    rows = frames.where("status = 'active'").groupBy("session", "session_id", "slice", "segment").agg(F.array_sort(F.collect_list(member)).alias("_m"), F.bool_or("degraded").alias("degraded"), F.bool_or("split").alias("split"))  # a session's length is capped
     ids = F.transform("_m", lambda m: m["id"])
     first = F.get("_m", 0)
     rows = rows.select(
-        "session", "degraded", "split", first["seq"].alias("_first"), ids.alias("members"), F.substring(F.sha2(F.array_join(ids, "\n"), 256), 1, 16).alias("id"), F.array_join(F.transform("_m", lambda m: m["text"]), BETWEEN).alias("text"),
+        "session", "session_id", "slice", "degraded", "split", first["seq"].alias("_first"), ids.alias("members"), F.substring(F.sha2(F.array_join(ids, "\n"), 256), 1, 16).alias("id"), F.array_join(F.transform("_m", lambda m: m["text"]), BETWEEN).alias("text"),
         F.to_json(F.struct(F.lit("sequence").alias("kind"), ids.alias("member_ids"))).alias("raw"), first["source_file"].alias("source_file"), first["line_no"].alias("line_no"), F.size("_m").alias("len"),
     )
     rows = Written(ranks(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col("_first"), F.col("id")], "seq").drop("_all"), "episodes").df
-    per = rows.groupBy("session").agg(F.min("_first").alias("_at"), F.sum("len").alias("_n"))
+    per = frames.groupBy("session_id").agg(F.min("seq").alias("_at"), F.count("*").alias("_n"))
     packed = Written(chains.next_fit(per, "_at", "_n", batch_size), "packed").df
-    heads = ranks(packed.select("first").distinct().withColumn("_all", F.lit(0)), ["_all"], [F.col("first")], "batch_no").select("first", "batch_no")
-    return rows.join(packed.join(heads, "first").select("session", "batch_no"), "session").drop("_first")
+    slices = frames.select("session_id", "slice").distinct().join(packed.select("session_id", "first"), "session_id")
+    heads = ranks(slices.select("first", "slice").distinct().withColumn("_all", F.lit(0)), ["_all"], [F.col("first"), F.col("slice")], "batch_no").select("first", "slice", "batch_no")
+    return rows.join(slices.join(heads, ["first", "slice"]).select("session_id", "slice", "batch_no"), ["session_id", "slice"]).drop("_first", "slice")
 
 
 def read(spark: SparkSession, config: Config, make: Callable[[], Judge] | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -45,6 +45,7 @@ class Profile:
     timeout_s: float = 120
     retries: int = 5
     base_delay_s: float = 1.0
+    max_park_s: float = 600  # no call waits longer than this in all, whatever a service asks for
     max_output: int = 4096
     window: int = 0
     temperature: float = 0.0
@@ -223,11 +224,20 @@ class HttpJudge:
 
     def _post(self, path: str, request: dict) -> dict:
         p, last = self.profile, ""
+        waited = 0.0
+
+        def park(seconds: float) -> None:
+            nonlocal waited
+            waited += seconds
+            if waited > p.max_park_s:
+                raise ProviderError("provider_retryable_exhausted", f"{seconds:.0f} s more to wait, {p.max_park_s:.0f} s allowed in all; {last}")
+            self.sleep(seconds)
+
         data = json.dumps(request, ensure_ascii=False).encode()
         for attempt in range(p.retries + 1):
             key, wait = self.keys.take(self.clock())
             while key is None:
-                self.sleep(wait)
+                park(wait)
                 key, wait = self.keys.take(self.clock())
             auth = {"x-api-key": key} if p.wire == "messages" else {"Authorization": f"Bearer {key}"}
             status, headers, content = self.send(p.base_url.rstrip("/") + path, {"Content-Type": "application/json"} | auth, data, p.timeout_s)
@@ -246,5 +256,5 @@ class HttpJudge:
                 raise ProviderError("provider_fatal", f"{status} {text[:200]}")
             last = f"{status} {text[:200]}"
             if status not in (401, 403, 429) and attempt < p.retries:
-                self.sleep(asked if asked is not None else pause)
+                park(asked if asked is not None else pause)
         raise ProviderError("provider_retryable_exhausted", last)

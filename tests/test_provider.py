@@ -71,3 +71,13 @@ def test_bodies():
 def test_one_failure_leaves_the_others():
     j, _, _ = judge([(404, {}, b""), (404, {}, b"")])
     assert all(isinstance(a, P.ProviderError) for a in j.answer(["a", "b"])) and j.answer([]) == []
+
+
+def test_no_call_is_parked_beyond_its_limit():
+    slept = []
+    profile = P.Profile("p", "http://x", "m", ("k",), retries=5, max_park_s=100)
+    own = P.HttpJudge(profile, send=lambda *a: (503, {"Retry-After": "86400"}, b"busy"), sleep=slept.append, clock=lambda: 0.0)
+    (error,) = own.answer(["q"])
+    assert error.kind == "provider_retryable_exhausted" and sum(slept) <= 100
+    own = P.HttpJudge(profile, send=lambda *a: (429, {"Retry-After": "86400"}, b"slow"), sleep=slept.append, clock=lambda: 0.0)
+    assert own.answer(["q"])[0].kind == "provider_retryable_exhausted" and sum(slept) <= 100
