@@ -6,6 +6,7 @@ Candidates share a bucket; the greedy rule is settled in each component of match
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -16,8 +17,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.text import normalized
 from millrace.operators.graph import components
-from millrace.runtime import Written
-from millrace.sources.jsonl import batches
+from millrace.runtime import Written, shared_dir
 
 #: Similarity at which texts, pictures and vectors are duplicates.
 TEXT_THRESHOLD, PERMUTATIONS, NGRAM, IMAGE_BITS, VECTOR_THRESHOLD = 0.85, 128, 5, 8, 0.95
@@ -26,6 +26,8 @@ _PRIME = (1 << 31) - 1
 FEW, COMPACT = 24, 8
 #: Nodes of a tile, rounds that drop what matches the first nodes of large buckets, nodes of a component that one task settles.
 TILE, PEEL, SETTLE = 512, 2, 4096
+#: Vectors of a tile, pivots, and the share of all pairs above which cells aren't worth their copies.
+VECTOR_TILE, PIVOTS, PARTED = 4096, 64, 0.25
 
 
 def exact(records: DataFrame, seq: str, digest: Column, record: str) -> DataFrame:
@@ -286,11 +288,25 @@ def near_text(records: DataFrame, seq: str, text: str, threshold: float = TEXT_T
     scope: only texts of an equal value are compared.
     """
     nodes = records.groupBy((F.lit(0) if scope is None else scope).alias("_in"), F.col(text).alias("_t")).agg(F.min(seq).alias("seq")).where(F.length("_t") > 0)
-    signed = Written(nodes.select("seq", "_in", signature(F.col("_t"), ngram, permutations).alias("feature")), "signatures")
+    return near_signed(nodes.select("seq", "_in", signature(F.col("_t"), ngram, permutations).alias("feature")), None, threshold, permutations, ngram, drop=True)[0]
+
+
+def near_signed(signed: DataFrame, before: DataFrame | None, threshold: float = TEXT_THRESHOLD, permutations: int = PERMUTATIONS, ngram: int = NGRAM, drop: bool = False) -> tuple[DataFrame, Written]:
+    """(as `near_text`, the written signatures) of rows (seq, feature), `_in` where scopes are kept apart.
+
+    before: rows of the same form that are kept already and come before all of these; only those that share a bucket
+    with one of them take part.
+    """
+    fresh = Written(signed, "signatures")
     cuts = band_cuts(threshold, permutations)
     bounds = list(zip(cuts, cuts[1:], strict=False))
-    keys = F.array(*[F.struct(F.xxhash64(F.lit(k), F.col("_in"), F.slice(F.col("feature"), a + 1, z - a)).alias("bucket"), F.lit(k).alias("tag")) for k, (a, z) in enumerate(bounds)])
-    buckets = signed.df.select("seq", F.explode(keys).alias("_k")).select("seq", "_k.*")
+    scope = F.col("_in") if "_in" in fresh.df.columns else F.lit(0)
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(k), scope, F.slice(F.col("feature"), a + 1, z - a)).alias("bucket"), F.lit(k).alias("tag")) for k, (a, z) in enumerate(bounds)])
+    features = fresh.df.select("seq", "feature")
+    buckets = fresh.df.select("seq", F.explode(keys).alias("_k")).select("seq", "_k.*")
+    if before is not None:
+        older = before.select("seq", F.explode(keys).alias("_k")).select("seq", "_k.*").join(buckets.select("bucket").distinct(), "bucket", "left_semi")
+        buckets, features = buckets.unionByName(older.select("seq", "bucket", "tag")), features.union(before.select("seq", "feature"))
 
     def deal(rows: DataFrame) -> DataFrame:
         """By bands of the positions outside the bucket's own band: as many differ at most, so one of one more is equal."""
@@ -299,10 +315,10 @@ def near_text(records: DataFrame, seq: str, text: str, threshold: float = TEXT_T
         size = F.size("_rest")
         at = [F.floor(size * k / len(bounds)).cast("int") for k in range(len(bounds) + 1)]
         finer = F.array(*[F.xxhash64("bucket", F.lit(k), F.slice("_rest", a + 1, z - a)) for k, (a, z) in enumerate(zip(at, at[1:], strict=False))])
-        return rows.join(signed.df.select("seq", "feature"), "seq").withColumn("_rest", rest).select("seq", F.explode(finer).alias("bucket"), F.lit(0).alias("tag"))
+        return rows.join(features, "seq").withColumn("_rest", rest).select("seq", F.explode(finer).alias("bucket"), F.lit(0).alias("tag"))
 
-    hits, used = greedy(buckets, signed.df.select("seq", "feature"), SharedPositions(threshold, permutations), deal if cuts[-1] and len(bounds) < permutations else None)
-    return _delivered(best(hits, F.desc("similarity")), [signed, *used], "near-texts")
+    hits, used = greedy(buckets, features, SharedPositions(threshold, permutations), deal if cuts[-1] and len(bounds) < permutations else None)
+    return _delivered(best(hits, F.desc("similarity")), [*used, *([fresh] if drop else [])], "near-texts"), fresh
 
 
 def _delivered(hits: DataFrame, spent: list[Written], tag: str) -> DataFrame:
@@ -377,40 +393,92 @@ def nearest_vector(probes: DataFrame, index: DataFrame, seq: str, vector: str, t
     return hits.groupBy("probe").agg(top.alias("kept"), F.max("similarity").alias("similarity"))
 
 
-def semantic(records: DataFrame, seq: str, vector: str, threshold: float = VECTOR_THRESHOLD, block: int = 8192) -> DataFrame:
+class Cosine:
+    """Cosine of two vectors, where it reaches the threshold. Vectors of unequal length don't match."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def column(self, a: Column, b: Column) -> Column:
+        dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return F.when((F.size(a) == F.size(b)) & (dot >= self.threshold), dot)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        cosine = a @ b.T
+        return np.where(cosine >= self.threshold, cosine, np.nan)
+
+
+def _cells(units: DataFrame, threshold: float, pivots: int = PIVOTS) -> DataFrame:
+    """(seq, bucket, tag): cells of the vectors around `pivots` of them, so that every two that match share one.
+
+    A vector is at home with its nearest pivot. It can match one at home with q only if it is within twice the matching
+    angle of being at home there itself, and no further from q than the farthest one at home there plus that angle (the
+    triangle inequality of angles). It visits those cells of lower number. Where vectors have no clusters nearly every
+    cell would be visited; then each length of vectors is one cell.
+    """
+    reach = float(np.arccos(min(1.0, max(-1.0, threshold))))
+    drawn = [r for r in units.select("feature", F.size("feature").alias("n")).orderBy(F.xxhash64("seq"), "seq").limit(pivots).collect()]  # bounded
+    if len({r["n"] for r in drawn}) != 1:
+        return units.select("seq", F.size("feature").cast("long").alias("bucket"), F.lit(0).alias("tag"))
+    at = np.array([r["feature"] for r in drawn])
+    far = np.full(len(at), -1.0)
+
+    @F.pandas_udf("home int, angle double")
+    def home(features: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in features:
+            angle = np.arccos(np.clip(at @ v, -1, 1)) if len(v) == at.shape[1] else np.zeros(1)
+            out.append((int(angle.argmin()), float(angle.min())))
+        return pd.DataFrame(out, columns=["home", "angle"])
+
+    homes = units.select(home("feature").alias("_h")).select("_h.*").groupBy("home").agg(F.max("angle").alias("most"), F.count("*").alias("n")).collect()  # a row a pivot
+    sizes = np.zeros(len(at))
+    for r in homes:
+        far[r["home"]], sizes[r["home"]] = r["most"], r["n"]
+
+    @F.pandas_udf("array<long>")
+    def visits(features: pd.Series) -> pd.Series:
+        out = []
+        for v in features:
+            if len(v) != at.shape[1]:
+                out.append([-len(v) - 1])
+                continue
+            angle = np.arccos(np.clip(at @ v, -1, 1))
+            own = int(angle.argmin())
+            near = (angle - angle[own] <= 2 * reach + 1e-9) & (angle <= far + reach + 1e-9) & (np.arange(len(at)) < own)
+            out.append([own, *np.flatnonzero(near).tolist()])
+        return pd.Series(out, dtype=object)
+
+    placed = units.select("seq", F.explode(visits("feature")).alias("bucket"))
+    most = placed.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    if most >= PARTED * sizes.sum() ** 2:
+        return units.select("seq", F.size("feature").cast("long").alias("bucket"), F.lit(0).alias("tag"))
+    return placed.withColumn("tag", F.lit(0))
+
+
+def semantic(records: DataFrame, seq: str, vector: str, threshold: float = VECTOR_THRESHOLD, tile: int = VECTOR_TILE, pivots: int = PIVOTS) -> DataFrame:
     """`records` with kind (unique, near_semantic), kept_id and similarity: each vector against all kept earlier ones.
 
-    Slices of `block` rows in order: what no kept vector of the slices before matches is settled in one task, so
-    that n rows take n / block rounds and no pairs are returned. Null and empty vectors and those with null or
-    non-finite components are near to nothing. A dropped row points at the nearest kept one before it.
+    Equal vectors are one node. Candidates share a cell around a pivot; cells and their tiles are compared side by side
+    and give matches alone, and the greedy rule is settled in each component of matches (see `greedy`). Null and empty
+    vectors and those with null or non-finite components are near to nothing, and so are zero ones. A dropped row points
+    at the nearest kept one before it, the earlier of equally near ones.
     """
-    sound = F.col("_v").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = F.col("_v").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
     rows = records.select(F.col(seq).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")).where(sound)
-    rows = Written(batches(rows, ["_id"], block).select("_id", "_v", "batch_no"), "vectors").df
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_id")
-        unit = np.stack(pdf["_v"].to_list())
-        unit /= np.maximum(np.sqrt((unit * unit).sum(1))[:, None], 1e-300)
-        open_ = np.ones(len(unit), bool)
-        for k in range(len(unit)):
-            if open_[k]:
-                open_[k + 1 :] &= unit[k + 1 :] @ unit[k] < threshold
-        return pdf[["_id", "_v"]][open_]
-
-    kept = None
-    for n in range(1, (rows.agg(F.max("batch_no")).first()[0] or 0) + 1):
-        own = rows.where(F.col("batch_no") == n).select("_id", "_v")
-        if kept is not None:
-            near = nearest_vector(own, kept, "_id", "_v", threshold)
-            own = own.join(near.select(F.col("probe").alias("_id")), "_id", "left_anti")
-        new = Written(own.groupBy().applyInPandas(settle, "_id long, _v array<double>"), "kept").df
-        kept = new if kept is None else kept.union(new)
-    if kept is None:
-        kept = rows.select("_id", "_v")
-    dropped = rows.select("_id", "_v").join(kept.select("_id"), "_id", "left_anti")
-    near = nearest_vector(dropped, kept, "_id", "_v", threshold, earlier=True).select(F.col("probe").alias("_id"), F.col("kept").alias("kept_id"), "similarity")
-    out = records.join(near, F.col(seq).cast("long") == F.col("_id"), "left")
+    peak = F.array_max(F.transform("_v", lambda x: F.abs(x)))  # so that no square overflows
+    scaled = F.transform("_v", lambda x: x / F.col("_peak"))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    units = rows.withColumn("_peak", peak).withColumn("_v", scaled).withColumn("_norm", norm).select("_id", F.transform("_v", lambda x: x / F.col("_norm")).alias("_u"))
+    owned = Written(units, "units")
+    distinct = Written(owned.df.groupBy("_u").agg(F.min("_id").alias("seq"), F.count("*").alias("_n")).select("seq", F.col("_u").alias("feature"), "_n"), "vectors")
+    features = distinct.df.select("seq", "feature")
+    hits, used = greedy(_cells(features, threshold, pivots), features, Cosine(threshold), tile=tile)
+    near = best(hits, F.desc("similarity"))
+    firsts = distinct.df.join(near, F.col("seq") == F.col("later"), "left").select("feature", "seq", "earlier", "similarity")
+    told = owned.df.join(firsts, F.col("_u") == F.col("feature")).select("_id", F.when(F.col("earlier").isNotNull(), F.col("earlier")).when(F.col("_id") != F.col("seq"), F.col("seq")).alias("kept_id"), F.when(F.col("earlier").isNotNull(), F.col("similarity")).when(F.col("_id") != F.col("seq"), F.lit(1.0)).alias("similarity"))
+    told = _delivered(told.where("kept_id is not null"), [owned, distinct, *used], "near-vectors")
+    out = records.join(told, F.col(seq).cast("long") == F.col("_id"), "left")
     return out.select(*records.columns, F.when(F.col("kept_id").isNull(), "unique").otherwise("near_semantic").alias("kind"), "kept_id", "similarity")
 
 
@@ -445,3 +513,47 @@ def composed(tree: Column, image: Column, requires: str, image_failed: Column) -
     rule = {"both": by_tree & by_image, "tree": by_tree, "image": by_image}[requires]
     dup = F.when(image_failed, by_tree).otherwise(rule)
     return F.when(~dup, "unique").when(by_tree & by_image & ~image_failed, "near_both").when(by_tree, "near_text").otherwise("near_image")
+
+
+class Index:
+    """Deduplicated texts as stored tables that later batches probe and extend, so that nothing is signed twice.
+
+    `texts` has every distinct text once (digest, first seq, id, kind and what it points at), `signatures` those of the
+    kept ones. A batch comes behind all before it: its seqs are larger. Adding batches one by one gives what one run
+    over all of them gives, as an index row is kept whatever comes later, and no two kept ones match.
+    """
+
+    def __init__(self, spark, path: str | None = None, threshold: float = TEXT_THRESHOLD, permutations: int = PERMUTATIONS, ngram: int = NGRAM):
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/millrace/index-{uuid.uuid4().hex}"
+        self.limits = {"threshold": threshold, "permutations": permutations, "ngram": ngram}
+        self.batches = 0
+        names = spark._jvm.org.apache.hadoop.fs.Path
+        store = names(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        while store.exists(names(f"{self.path}/texts/{self.batches}/_SUCCESS")):  # texts are written last
+            self.batches += 1
+
+    def _stored(self, name: str) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.path}/{name}/{k}" for k in range(self.batches)]) if self.batches else None
+
+    def add(self, records: DataFrame, seq: str, record: str, text: str) -> DataFrame:
+        """`records` with kind, cluster_key and kept_id, as `dedup` over all batches gives them; the index then holds them too."""
+        own = Written(records.withColumn("_text", normalized(F.coalesce(F.col(text), F.lit("")))).withColumn("_d", F.sha2("_text", 256)), "dedup")
+        first = own.df.groupBy("_d").agg(F.min(seq).alias("seq"), F.min_by(record, seq).cast("string").alias("id"), F.first("_text").alias("_text"))
+        known, signs = self._stored("texts"), self._stored("signatures")
+        fresh = Written(first if known is None else first.join(known.select("_d"), "_d", "left_anti"), "fresh")
+        signed = fresh.df.where(F.length("_text") > 0).select("seq", signature(F.col("_text"), self.limits["ngram"], self.limits["permutations"]).alias("feature"))
+        near, new = near_signed(signed, signs, **self.limits)
+        names = fresh.df.select("seq", "id", "_d") if known is None else fresh.df.select("seq", "id", "_d").unionByName(known.select("seq", "id", "_d"))
+        named = near.join(names.select(F.col("seq").alias("earlier"), F.col("id").alias("near_id"), F.col("_d").alias("near_d")), "earlier").select(F.col("later").alias("seq"), "near_id", "near_d")
+        part = f"{self.path}/{{}}/{self.batches}"
+        told = fresh.df.select("_d", "seq", "id").join(named, "seq", "left")
+        new.df.join(named, "seq", "left_anti").write.mode("overwrite").parquet(part.format("signatures"))
+        told.write.mode("overwrite").parquet(part.format("texts"))
+        self.batches += 1
+        stored = self._stored("texts").select("_d", F.col("seq").alias("_seq"), F.col("id").alias("_id"), F.col("near_id").alias("_near_id"), F.col("near_d").alias("_near_d"))
+        out = own.df.join(stored, "_d")
+        kind = F.when(F.col("_near_id").isNotNull(), "near_text").when(F.col(seq) != F.col("_seq"), "exact").otherwise("unique")
+        for spent in (fresh, new):
+            spent.drop()
+        kept = F.when(kind == "near_text", F.col("_near_id")).when(kind == "exact", F.col("_id"))
+        return out.select(*records.columns, kind.alias("kind"), F.substring(F.coalesce("_near_d", "_d"), 1, 16).alias("cluster_key"), kept.alias("kept_id"))

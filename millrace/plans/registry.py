@@ -44,6 +44,16 @@ def flagship_dedup(spark, d):
     return dedup.dedup(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "doc_id", "text")
 
 
+@query()
+def indexed_dedup(spark, d):
+    """As `flagship_dedup`, in two batches: the later half of the ids probes and extends what the earlier half left in the index."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("doc_id").cast("string").alias("id"))
+    half = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0] or 0
+    index = dedup.Index(spark)
+    parts = [index.add(docs.where(own), "doc_id", "id", "text") for own in (F.col("doc_id") <= half, F.col("doc_id") > half)]
+    return parts[0].unionByName(parts[1]).select("doc_id", "text", "kind", "cluster_key", F.col("kept_id").cast("long").alias("kept_id"))
+
+
 @query("""
 WITH f AS (SELECT sha256(coalesce(text, '')) AS h, min(doc_id) AS first FROM documents GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.doc_id <> first THEN 'exact' ELSE 'unique' END AS kind, substr(h, 1, 16) AS cluster_key,
