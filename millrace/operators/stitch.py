@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Generator
 from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,14 +47,9 @@ def apart(a: Thread, b: Thread) -> int:
     return max(0, a.head_pos - b.tail_pos, b.head_pos - a.tail_pos)
 
 
-def walk(episodes: pd.DataFrame, max_open: int = MAX_OPEN, stale: int = 0, conservative: bool = True, judge=by_columns, repass: bool = False) -> list[str]:
-    """Thread of each episode of a session, by position; a thread is named by its first episode.
-
-    judge: takes the open threads, latest first, the episode and whether it is the second pass; gives resume or new
-    and the 1-based place of the thread. The verdict joins an episode to a thread only if a prior holds too, two of
-    them where the thread has been idle for more than `stale` steps. A full pool closes its idlest thread, stale ones
-    first. repass: threads of one episode are then judged once more, in order, against the others, the `max_open`
-    nearest ones where there are more; one that joins another takes that one's name.
+def walking(episodes: pd.DataFrame, max_open: int = MAX_OPEN, stale: int = 0, conservative: bool = True, repass: bool = False) -> Generator[tuple[list[Thread], Any, bool], tuple[str, float | None], list[str]]:
+    """A session's walk as a dialogue: yields each question (open threads, latest first; the episode; whether it is the
+    second pass), takes its verdict (resume or new, and the 1-based place of the thread), and returns what `walk` does.
     """
     pool: list[Thread] = []
     threads: list[Thread] = []
@@ -60,8 +57,8 @@ def walk(episodes: pd.DataFrame, max_open: int = MAX_OPEN, stale: int = 0, conse
     own: list[Thread] = []
     clock = 0
 
-    def target_of(cards: list[Thread], e, again: bool) -> Thread | None:
-        verdict, ref = judge(cards, e, again)
+    def joined(cards: list[Thread], e, told: tuple[str, float | None]) -> Thread | None:
+        verdict, ref = told
         if verdict != "resume" or ref is None or ref != ref or not 1 <= int(ref) <= len(cards):
             return None
         thread = cards[int(ref) - 1]
@@ -78,7 +75,8 @@ def walk(episodes: pd.DataFrame, max_open: int = MAX_OPEN, stale: int = 0, conse
             target.pages.add(e.tail_page)
 
     for e in rows:
-        target = target_of(sorted(pool, key=lambda t: -t.active), e, False)
+        cards = sorted(pool, key=lambda t: -t.active)
+        target = joined(cards, e, (yield cards, e, False))
         if target is None:
             if len(pool) >= max_open:
                 idle = [t for t in pool if stale and e.head_pos - t.tail_pos > stale] or pool
@@ -97,7 +95,8 @@ def walk(episodes: pd.DataFrame, max_open: int = MAX_OPEN, stale: int = 0, conse
             continue
         near = sorted(others, key=lambda t: (apart(single, t), t.head_pos))[:max_open] if len(others) > max_open else others
         e = rows[own.index(single)]
-        target = target_of(sorted(near, key=lambda t: -t.active), e, True)
+        cards = sorted(near, key=lambda t: -t.active)
+        target = joined(cards, e, (yield cards, e, True))
         if target is not None:
             single.alive = False
             target.parts += 1
@@ -107,6 +106,25 @@ def walk(episodes: pd.DataFrame, max_open: int = MAX_OPEN, stale: int = 0, conse
     return [t.name for t in own]
 
 
+def walk(episodes: pd.DataFrame, max_open: int = MAX_OPEN, stale: int = 0, conservative: bool = True, judge=by_columns, repass: bool = False) -> list[str]:
+    """Thread of each episode of a session, by position; a thread is named by its first episode.
+
+    judge: takes the open threads, latest first, the episode and whether it is the second pass; gives resume or new
+    and the 1-based place of the thread. The verdict joins an episode to a thread only if a prior holds too, two of
+    them where the thread has been idle for more than `stale` steps. A full pool closes its idlest thread, stale ones
+    first. repass: threads of one episode are then judged once more, in order, against the others, the `max_open`
+    nearest ones where there are more; one that joins another takes that one's name.
+    """
+    dialogue = walking(episodes, max_open, stale, conservative, repass)
+    told = None
+    while True:
+        try:
+            question = dialogue.send(told)
+        except StopIteration as end:
+            return end.value
+        told = judge(*question)
+
+
 def fragments(stitched: DataFrame, session: str) -> DataFrame:
     """(session, thread_id, first_pos, last_pos, len, cause) of each run of a thread's episodes: origin, then resumed.
 
