@@ -21,7 +21,11 @@ CJK_RANGES = (
 MARGIN_FLOOR, MARGIN_RATIO, ASCII_PER_TOKEN, OTHER_PER_TOKEN = 256, 0.10, 3.0, 2.0
 PATCH_PX, PATCH_CAP, FIT_PX, SHORT_PX, TILE_PX, TILE_BASE, TILE_TOKENS = 28, 1568, 2048, 768, 512, 85, 170
 #: What counts as white space in texts to compare.
-SPACE = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+OTHER_SPACE = "\\t\\n\\x0B\\f\\r\\x1C-\\x1F\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+#: White space that isn't a single blank already; most characters are told from it by one range.
+UNEVEN_SPACE = f"(?![!-~])(?:[{OTHER_SPACE}][ {OTHER_SPACE}]*| [ {OTHER_SPACE}]+)"
+#: What NFC may change or put together with its neighbours; all that is below U+0300 is in NFC, whatever its order.
+COMPOSABLE = "[^\\x00-\\u02FF]"
 
 
 def record_id(raw_json: Column) -> Column:
@@ -35,9 +39,10 @@ def nfc(texts: pd.Series) -> pd.Series:
 
 
 def normalized(text: Column) -> Column:
-    """NFC, runs of Unicode white space as one blank, no blanks around. Pure ASCII skips the Python step."""
-    composed = F.when(text.rlike("^[\\x00-\\x7F]*$"), text).otherwise(nfc(text))
-    return F.trim(F.regexp_replace(composed, SPACE + "+", " "))
+    """NFC, runs of Unicode white space as one blank, no blanks around. Only texts that NFC may change are sent to Python."""
+    sent = text.rlike(COMPOSABLE)
+    composed = F.when(sent, nfc(F.when(sent, text))).otherwise(text)
+    return F.trim(F.regexp_replace(composed, UNEVEN_SPACE, " "))
 
 
 def sequence_text(members: Column) -> Column:

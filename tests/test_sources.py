@@ -1,5 +1,8 @@
 import json
+import re
+import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,23 @@ def test_normalized_and_shingles(spark):
     assert [r[0] for r in grams] == [["abcde", "bcdef", "cdefa"], ["abc"], []]
 
 
+def test_normalized_sends_python_only_what_nfc_may_change(spark, monkeypatch):
+    texts = ["plain", "caf\u00e9 \u0142\u00f3d\u017a\u00a0 x", " \n two  \t words\x85", "e\u0301 cafe\u0301", "\u1112\u1161\u11ab", "\u212b\u2003\u2003x", "q\u0323\u0307 \u2028", "\U0001d15e", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [None if t is None else re.sub(f"[ {text_fn.OTHER_SPACE}]+".encode().decode("unicode_escape"), " ", unicodedata.normalize("NFC", t)).strip(" ") for t in texts]
+    assert [r[0] for r in df.select(text_fn.normalized(F.col("t"))).collect()] == want
+
+    @F.pandas_udf("string")
+    def refused(given: pd.Series) -> pd.Series:
+        if given.notna().any():
+            raise ValueError("a text in NFC was sent")
+        return given
+
+    monkeypatch.setattr(text_fn, "nfc", refused)
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts[:3]], "t string").select(text_fn.normalized(F.col("t"))).collect()] == want[:3]
+    assert all(unicodedata.is_normalized("NFC", chr(k)) and not unicodedata.combining(chr(k)) for k in range(0x300))
+
+
 def test_bounds_visible_estimate(spark):
     df = spark.createDataFrame([("[1,2][3,-4]", "No "), ("x", None)], "b string, v string")
     assert [tuple(r) for r in df.select(text_fn.bounds(F.col("b")), text_fn.visible(F.col("v"))).collect()] == [([1, 2, 3, -4], False), ([0, 0, 0, 0], True)]
