@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as text_fn
 from millrace.operators import dedup, generate, lanes, quality, ranks, sessions, votes
-from millrace.runtime import table
+from millrace.runtime import table, written
 from millrace.sinks import emit
 from millrace.sources import jsonl
 
@@ -72,8 +72,8 @@ WITH n AS (SELECT doc_id, {_NORMAL} AS h FROM documents), f AS (SELECT h, min(do
 SELECT doc_id, CASE WHEN doc_id <> first THEN 'exact' ELSE 'unique' END AS kind, substr(n.h, 1, 16) AS cluster_key, CASE WHEN doc_id <> first THEN first END AS kept_id FROM n JOIN f ON n.h = f.h""")
 def dedup_exact_normalized(spark, d):
     """Exact verdict over normalised texts, as runs take it; `dedup_exact` is the one over raw texts that its SQL fixes."""
-    docs = table(spark, d, "documents").select("doc_id", text_fn.normalized(F.coalesce("text", F.lit(""))).alias("text"))
-    return dedup.exact(docs, "doc_id", F.sha2("text", 256), "doc_id").drop("text")
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(text_fn.normalized(F.coalesce("text", F.lit(""))), 256).alias("digest"))
+    return dedup.exact(written(docs, "digests"), "doc_id", F.col("digest"), "doc_id").drop("digest")
 
 
 @query("""
