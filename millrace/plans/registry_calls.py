@@ -14,7 +14,7 @@ from millrace.functions import fit, shapes, ui
 from millrace.functions import text as text_fn
 from millrace.operators import chains, dedup, generate, quality, review, sessions, stitch, votes
 from millrace.plans import calls
-from millrace.runtime import Written, table
+from millrace.runtime import Written, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -287,8 +287,8 @@ k AS (SELECT *, doc_id <> min(doc_id) OVER (PARTITION BY h) AS again FROM n)
 SELECT CASE WHEN again THEN 'exact' ELSE 'unique' END AS kind, count(*) AS n, count(DISTINCT CASE WHEN again THEN substr(h, 1, 16) END) AS clusters FROM k GROUP BY 1""")
 def dedup_counts(spark, d):
     """Rows of each kind and the clusters among the copies."""
-    docs = table(spark, d, "documents").select("doc_id", text_fn.normalized(F.coalesce("text", F.lit(""))).alias("text"))
-    kinds = dedup.exact(docs, "doc_id", F.sha2("text", 256), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(text_fn.normalized(F.coalesce("text", F.lit(""))), 256).alias("digest"))
+    kinds = dedup.exact(written(docs, "digests"), "doc_id", F.col("digest"), "doc_id")
     return kinds.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("kind") != "unique", F.col("cluster_key"))).alias("clusters"))
 
 
