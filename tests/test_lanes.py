@@ -174,3 +174,31 @@ def test_empty_and_no_lane(spark, table):
     nothing = table.where("false")
     assert sessions.sessions(nothing, ["lane"], "seq", "at", "what", max_len=5).collect() == [] and sessions.in_order(nothing, ["lane"], "seq", "at").collect() == []
     assert [r["n"] for r in lanes.numbered(table, [], ["seq"], "n").orderBy("seq").collect()] == list(range(1, 1501))
+
+
+def test_chains_send_no_table_through_the_driver(spark, capsys):
+    """Every join of a chain shuffles both sides, however small its tables look on disk."""
+    from millrace.operators import chains
+
+    rows = spark.range(3000).select(F.col("id").alias("k"), (1 + F.col("id") * 7919 % 90).alias("n"))
+    out = chains.next_fit(rows, "k", "n", 64)
+    out.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    seen = []
+    plain = type(rows).hint
+
+    def hinted(self, name, *more):
+        seen.append(name)
+        return plain(self, name, *more)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(rows), "hint", hinted)
+        reached = chains.chain(spark.range(100).select(F.lit(0).alias("p"), "id", (F.col("id") + 3).alias("to")), ["p"], "id", "to")
+    assert len(seen) > 10 and set(seen) == {"merge"}
+    assert sorted(r["id"] for r in reached.collect()) == list(range(0, 100, 3))
+    want, first, filled = {}, None, 65
+    for k in range(3000):
+        n = 1 + k * 7919 % 90
+        first, filled = (k, n) if filled + n > 64 else (first, filled + n)
+        want[k] = first
+    assert {r["k"]: r["first"] for r in out.collect()} == want
