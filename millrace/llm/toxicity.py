@@ -6,7 +6,8 @@
 2. Label model. Votes are noisy readings of a hidden class. EM fits the class share, each voter's P(vote | class)
    and a forest of pairs of voters that depend on each other beyond the class, with a table for each pair, on
    labelled and unlabelled training documents. The given labels start it, which says which class is which, and are one more
-   noisy reading whose accuracy is estimated; rows without one lack it.
+   noisy reading whose accuracy is estimated; rows without one lack it, and weigh less where they would draw the class
+   away from the labels: with lexicons of several languages, silence on the largest one isn't what makes a text clean.
 3. Classifier. Logistic regression on stem presence is trained on the posteriors, which are those of the votes
    alone: no given label reaches it. Only this classifier scores documents.
 
@@ -37,6 +38,8 @@ COUNTED = 100_000
 MIN_TOXIC_ROWS, MIN_PRECISION = 3, 0.75
 #: Rows without a label that the label model sees too, and among how many rows (times that) they are sought.
 SAMPLE_UNKNOWN, SOUGHT = 4000, 4
+#: What a row without a label may weigh in the label model, and how many times the least loss of the labels is put up with for it.
+UNKNOWN_WEIGHTS, LOSS_KEPT = (1.0, 0.1, 0.01), 1.2
 #: First posteriors of labelled rows, and the classifier's penalty.
 FIRST, PENALTY = (0.05, 0.9), 0.3
 #: Clean rows joined into long ones for the classifier: how many at a time, how often each, and below which posterior a row is surely clean.
@@ -136,6 +139,25 @@ class LabelModel:
             own.parent = forest
         return own
 
+    def loss(self, votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
+        """Mean -log P(label | votes) of the rows that have a label."""
+        told = labels >= 0
+        q = self.posterior(votes[told])
+        return float(-(weight[told] * np.log((np.stack([1 - q, q], 1) * self.labelled[:, labels[told]].T).sum(1))).sum() / weight[told].sum())
+
+    @staticmethod
+    def fit_told(votes: np.ndarray, start: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> LabelModel:
+        """As `fit`, with rows without a label weighing as much as they may.
+
+        Where the class falls into kinds that share no voters, the likeliest model of many rows without a label is one kind
+        against all the rest, whatever the labels say. So of UNKNOWN_WEIGHTS the largest is taken at which the votes
+        tell the labels about as well as at the best one.
+        """
+        told = labels >= 0
+        models = [LabelModel.fit(votes, start, labels, np.where(told, weight, weight * k)) for k in (UNKNOWN_WEIGHTS if not told.all() else UNKNOWN_WEIGHTS[:1])]
+        losses = [m.loss(votes, labels, weight) for m in models]
+        return next(m for m, x in zip(models, losses, strict=True) if x <= LOSS_KEPT * min(losses))
+
     def _maximise(self, votes: np.ndarray, q: np.ndarray, labels: np.ndarray | None, weight: np.ndarray) -> None:
         at, mass = votes + 1, np.stack([weight * (1 - q), weight * q], 1)
         leans = np.where(self.parent >= 0, at[:, self.parent], 0)
@@ -349,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     votes = np.c_[x[:, _voters(x)].astype(int), np.array([r["shape"] for r in got])]
     weight = np.where(label < 0, 1.0, np.where(label > 0, there[1] / n1, there[0] / n0) * (n1 + n0) / (there[1] + there[0]))  # labelled rows in their shares
     start = np.where(label < 0, base, np.where(label > 0, FIRST[1], FIRST[0]))
-    q = LabelModel.fit(votes, start, label, weight).posterior(votes)
+    q = LabelModel.fit_told(votes, start, label, weight).posterior(votes)
     long_x, long_q = joined_texts(x, q, size)
     w = bounded_logistic(np.r_[x * length_scale(size)[:, None], long_x], np.r_[q, long_q], PENALTY, np.r_[weight, np.ones(len(long_q))])  # a stem never speaks for a text
     return Model({s: float(v) for s, v in zip(stems, w, strict=False) if v > 1e-6}, float(w[-1]))

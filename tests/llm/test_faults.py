@@ -49,6 +49,47 @@ def test_long_clean_texts_stay_clean(spark):
     assert np.mean([model.score(t) >= 0.5 for t in held[held.toxic == 1].text]) >= 0.9
 
 
+def kinds_of_toxic_rows(n, seed=3):
+    """Votes of ten voters that come together in six tenths of the toxic rows, and of one voter of its own for each other part; a class and a label (half lack it) a row."""
+    rng = np.random.default_rng(seed)
+    y = (rng.random(n) < 0.1).astype(int)
+    kind = rng.choice(4, n, p=[0.61, 0.13, 0.13, 0.13])
+    votes = np.zeros((n, 13), int)
+    votes[:, :10] = (y & (kind == 0))[:, None] & (rng.random((n, 10)) < 0.6)
+    for k in (1, 2, 3):
+        votes[:, 9 + k] = y & (kind == k)
+    return votes, y, kind, np.where(rng.random(n) < 0.5, y, -1)
+
+
+def test_rows_without_a_label_leave_no_kind_out():
+    """Kinds of toxic rows that share no voter: none is given up for the largest, whose silence would make it clean."""
+    votes, y, kind, label = kinds_of_toxic_rows(9000)
+    start = np.where(label < 0, 0.1, np.where(label > 0, *toxicity.FIRST[::-1]))
+    found = toxicity.LabelModel.fit_told(votes, start, label, np.ones(len(y))).posterior(votes) > 0.5
+    assert not found[y == 0].any()
+    assert all(found[(y == 1) & (kind == k)].mean() > 0.95 for k in range(4))
+
+
+def test_each_language_s_toxic_words_are_learned(spark):
+    """Through the whole fit: the texts of smaller languages are found by their only toxic stem."""
+    rng = random.Random(8)
+    own = {lang: ["".join(rng.choices(letters, k=4)) for _ in range(60)] for lang, letters in (("a", "abcdefgh"), ("b", "ijklmnop"), ("c", "qrstuvwx"), ("d", "aeioumnt"))}
+    bad = {"a": ["zzmor", "zypath", "zxtra", "zwscu", "zvdis", "zuclo", "ztidi", "zsstup", "zrwort", "zqlose"], "b": ["yyklo"], "c": ["yxchl"], "d": ["ywveq"]}
+    docs, labels = [], []
+    for k in range(6000):
+        lang, toxic = rng.choices("abcd", (61, 13, 13, 13))[0], rng.random() < 0.1
+        words = rng.choices(own[lang], k=25)
+        if toxic:
+            words += rng.sample(bad[lang], min(len(bad[lang]), rng.randint(4, 8)))
+        docs.append((k, " ".join(words), lang, toxic))
+        if rng.random() < 0.5:
+            labels.append((k, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for lang in "abcd":
+        assert np.mean([model.score(t) >= 0.5 for _, t, own_lang, toxic in docs if toxic and own_lang == lang]) > 0.95
+    assert not any(model.score(t) >= 0.5 for _, t, _, toxic in docs if not toxic)
+
+
 def sentences(seed, n):
     rng = random.Random(seed)
     own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(8)]
